@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import exact, mixing, packing, sharding
+from inkwell.llm import exact, mixing, near, order_minhash, packing, sharding
 from inkwell.llm._tables import read
 
 
@@ -25,16 +25,24 @@ def op2_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents")).drop("lang", "source")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_classes(read(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprint_documents(read(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_hilbert, op5_exact_dedup, op8_packing)}
+    return {f.__name__: f for f in (op1_mixing, op2_hilbert, op4_near_dedup, op5_exact_dedup, op7_order_minhash, op8_packing)}
 
 
 OP5_SQL = r"""
