@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import exact, mixing, near, order_minhash, packing, sharding
+from inkwell.llm import exact, licenses, mixing, near, order_minhash, packing, pii, sharding
 from inkwell.llm._tables import read
 
 
@@ -25,6 +25,10 @@ def op2_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents")).drop("lang", "source")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(read(spark, sf_dir, "documents"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_classes(read(spark, sf_dir, "documents"))
 
@@ -41,8 +45,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_pii(spark: SparkSession, sf_dir: str, key: str = "inkwell demonstration key") -> DataFrame:
+    return pii.pseudonymise(read(spark, sf_dir, "documents"), key).select("doc_id", "kinds", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_hilbert, op4_near_dedup, op5_exact_dedup, op7_order_minhash, op8_packing)}
+    return {f.__name__: f for f in (op1_mixing, op2_hilbert, op3_licenses, op4_near_dedup, op5_exact_dedup, op7_order_minhash, op8_packing, op10_pii)}
 
 
 OP5_SQL = r"""
