@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15
+#: An odd multiplier.
+FACTOR = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes of text that are worked on at once (a longer document is taken whole).
 STEP = 1 << 21
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import exact, licenses, mixing, near, order_minhash, packing, pii, sharding
+from inkwell.llm import brown, exact, licenses, mixing, near, order_minhash, packing, pii, quality, sharding
 from inkwell.llm._tables import read
 
 
@@ -37,6 +37,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op6_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_documents(read(spark, sf_dir, "documents")).drop("class_tokens")
+
+
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprint_documents(read(spark, sf_dir, "documents"))
 
@@ -45,12 +49,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str, key: str = "inkwell demonstration key") -> DataFrame:
     return pii.pseudonymise(read(spark, sf_dir, "documents"), key).select("doc_id", "kinds", "text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_hilbert, op3_licenses, op4_near_dedup, op5_exact_dedup, op7_order_minhash, op8_packing, op10_pii)}
+    return {f.__name__: f for f in (op1_mixing, op2_hilbert, op3_licenses, op4_near_dedup, op5_exact_dedup, op6_brown, op7_order_minhash, op8_packing, op9_quality, op10_pii)}
 
 
 OP5_SQL = r"""
