@@ -30,11 +30,11 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.near_classes(read(spark, sf_dir, "documents"))
+    return near.near_classes(read(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.exact_groups(read(spark, sf_dir, "documents"))
+    return exact.exact_groups(read(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op6_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +57,14 @@ def op10_pii(spark: SparkSession, sf_dir: str, key: str = "inkwell demonstration
     return pii.pseudonymise(read(spark, sf_dir, "documents"), key).select("doc_id", "kinds", "text")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_hilbert, op3_licenses, op4_near_dedup, op5_exact_dedup, op6_brown, op7_order_minhash, op8_packing, op9_quality, op10_pii)}
+    return {f.__name__: f for f in (op1_mixing, op2_hilbert, op3_licenses, op4_near_dedup, op5_exact_dedup, op6_brown, op7_order_minhash, op8_packing, op9_quality, op10_pii, pipeline)}
 
 
 OP5_SQL = r"""

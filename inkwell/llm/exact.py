@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm import _text
-from inkwell.llm._tables import stash
+from inkwell.llm._tables import stash, text_hash
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: A cut follows a byte where the 13 upper bits of the rolling hash are zero (8 KB on average), from 2 KB to 64 KB after the last.
@@ -68,15 +68,15 @@ def recipes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     begin = end
                 at.append(len(keys))
             chunks = pa.StructArray.from_arrays([pa.array(keys, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64())], names=["key", "digest", "size"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(points, pa.int64()), pa.array(whole, pa.string()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), chunks)], names=["row", "id", "n_points", "text_sha256", "chunks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(points, pa.int64()), pa.array(whole, pa.string()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), chunks)], names=["row", "id", "text_hash", "n_points", "text_sha256", "chunks"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(chunk, f"row long, id {kind}, n_points long, text_sha256 string, chunks array<struct<key: long, digest: binary, size: long>>")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string"), text_hash(text_col))
+    return rows.mapInArrow(chunk, f"row long, id {kind}, text_hash long, n_points long, text_sha256 string, chunks array<struct<key: long, digest: binary, size: long>>")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, keep_id (of the row of its group that stays), group_size, kept, text_sha256.
+    """One row a document: id, keep_id (of the row of its group that stays), group_size, kept, text_sha256, text_hash.
 
     Texts are equal when identical without space, tab, LF, VT, FF and CR; null counts as empty, and all empty texts are
     one group. The row with the most code points in its original text stays, then the smallest id (null last). Of
@@ -89,11 +89,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = chunks.join(catalogue, ["key", "digest", "size"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "key", "variant"))).alias("parts"))
     lists = named.select("row", F.transform("parts", lambda p: F.struct(p["key"], p["variant"])).alias("recipe"))
     empty = F.array().cast("array<struct<key: bigint, variant: int>>")
-    known = rows.select("row", "id", "n_points", "text_sha256").join(lists, "row", "left").select("row", "id", "n_points", "text_sha256", F.coalesce("recipe", empty).alias("recipe"))
+    known = rows.drop("chunks").join(lists, "row", "left").select("row", "id", "text_hash", "n_points", "text_sha256", F.coalesce("recipe", empty).alias("recipe"))
     known = stash(known, "known")
     # Null sorts first in a struct's order: the flag puts null ids last.
     best = F.min(F.struct((-F.col("n_points")).alias("n"), F.col("id").isNull().alias("none"), "id", "row"))
     groups = known.groupBy("recipe").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
     return known.join(groups, "recipe").select(
-        F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256"
+        F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256", "text_hash"
     )

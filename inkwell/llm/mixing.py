@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm._tables import stash
+from inkwell.llm._tables import stash, text_hash
 
 #: Rows that one window of the prefix sums has on average at most, and the most windows a source is cut into.
 ROWS, SLICES = 50_000, 4096
@@ -53,8 +53,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: flo
     size, and once more if the prefix sum at its middle lies within the rest: a source's taken words differ from its
     target by at most half the last document drawn. Null text: size 0, as the empty one. Documents of size 0 are taken
     as often as whole epochs say. Repeated rows draw the same key and are ordered among themselves."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64(text).alias("text_hash"), (quality if quality is not None else F.lit(1.0)).cast("double").alias("_quality"))
+    rows = docs.select("doc_id", "source", word_count("text").alias("size"), text_hash("text").alias("text_hash"), (quality if quality is not None else F.lit(1.0)).cast("double").alias("_quality"))
     rows = rows.withColumn("_row", F.monotonically_increasing_id())
     rows = stash(rows.withColumn("_key", -F.log(uniform("doc_id", "text_hash", seed=seed)) / F.greatest("_quality", F.lit(1e-9))), "keys")
     sources = rows.groupBy(F.col("source").alias("key")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import _registers, _text
-from inkwell.llm._tables import stash
+from inkwell.llm._tables import stash, text_hash
 
 WORDS, THRESHOLD = 5, 0.8
 #: Registers (a power of 2) and those in a band. At similarity 0.8 a pair shares one of 32 bands with probability 0.997.
@@ -94,14 +94,14 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 marks = pa.FixedSizeListArray.from_arrays(pa.array(marks[pick].ravel()), marks.shape[1]).cast(pa.list_(pa.int64()))
                 none = pa.array([[]] * (b - a), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(whole, pa.binary()), lists, pa.compute.if_else(some, none, marks)], names=["row", "id", "whole", "shingles", "bands"]
+                    [*(batch.column(k).slice(a, b - a) for k in (0, 1, 3)), pa.array(whole, pa.binary()), lists, pa.compute.if_else(some, none, marks)], names=["row", "id", "text_hash", "whole", "shingles", "bands"]
                 )
 
     import pyarrow.compute  # noqa: F401
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(sketch, f"row long, id {kind}, whole binary, shingles array<int>, bands array<long>")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string"), text_hash(text_col))
+    return rows.mapInArrow(sketch, f"row long, id {kind}, text_hash long, whole binary, shingles array<int>, bands array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -140,7 +140,7 @@ def close(a: Column, b: Column, threshold: float) -> Column:
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, class_id (the least id of its class), class_size, kept (exactly one row a class).
+    """One row a document: id, class_id (the least id of its class), class_size, kept (exactly one row a class), text_hash.
 
     Documents are alike if the Jaccard similarity of their five-word shingles (words lower-cased in A-Z) is at least the
     threshold, or if their words are the same; fewer than five words are one shingle. Null, empty and blank texts have
@@ -171,4 +171,4 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     classes = nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     total = classes.groupBy("label").agg(F.min("best").alias("top"), F.sum("n").alias("class_size"))
     named = classes.join(total, "label").select("whole", "top", "class_size")
-    return rows.select("id", "row", "whole").join(named, "whole").select(F.col("id").alias(id_col), F.col("top.id").alias("class_id"), "class_size", (F.col("row") == F.col("top.row")).alias("kept"))
+    return rows.select("id", "row", "text_hash", "whole").join(named, "whole").select(F.col("id").alias(id_col), F.col("top.id").alias("class_id"), "class_size", (F.col("row") == F.col("top.row")).alias("kept"), "text_hash")
