@@ -75,8 +75,10 @@ RULES = (
 )
 #: Unknown sentences that may stand between two of a rule.
 GAP = 2
-#: A sentence ends with . ; ! or ? (and marks after it) before white space, with : at a line's end, or at an empty line.
-END = re.compile(r"[.;!?][^\w\s]*(?=\s|$)|:(?=\s*\n)|\n[ \t]*(?=\n)")
+#: A sentence ends with . ; ! or ? (and marks after it) before white space, at an empty line, or with : if it is long:
+#: "License: MIT" is one sentence, the grant before a list of conditions another.
+END = re.compile(r"[.;!?][^\w\s]*(?=\s|$)|:(?=\s)|\n[ \t]*(?=\n)")
+LONG = 60
 OTHER = re.compile(r"[\W_]+")
 
 
@@ -104,6 +106,8 @@ def tables() -> tuple[dict[str, str], list[tuple[str, tuple[str, ...]]]]:
 def split(text: str) -> list[tuple[int, int]]:
     spans, at = [], 0
     for m in END.finditer(text):
+        if m.group() == ":" and m.end() - at < LONG:
+            continue
         spans.append((at, m.end()))
         at = m.end()
     return [*spans, (at, len(text))] if at < len(text) else spans
