@@ -7,7 +7,9 @@ threshold. Classes are the connected components of the links.
 
 Groups are never expanded into all pairs: equal texts are one node; in each bucket nodes are verified against the
 bucket's first node; then only nodes that are not yet in one component with it are verified against the others there.
-A pair of one component needs no check, so no link between classes is lost, whatever a bucket's size."""
+A pair of one component needs no check, so no link between classes is lost, whatever a bucket's size. A pair is made
+only if one bit of each register lets the registers' agreement be near the threshold (the limit lies 4.5 deviations
+beyond what is expected there). Sets of shingles are made in a second reading, of documents that share a bucket."""
 
 from __future__ import annotations
 
@@ -26,6 +28,8 @@ WORDS, THRESHOLD = 5, 0.8
 #: Registers (a power of 2) and those in a band. At similarity 0.8 a pair shares one of 32 bands with probability 0.997.
 REGISTERS, ROWS = 256, 8
 #: Multipliers of a shingle's words and of a band's registers, odd numbers made from this rule.
+#: Places in the bitmap that tells the second reading which documents are needed; the others that pass cost time only.
+PLACES = 1 << 26
 FACTORS = _text.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -66,8 +70,17 @@ def bands(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return _text.mix(parts.sum(axis=2, dtype=np.uint64) + np.arange(registers // rows, dtype=np.uint64) * FACTORS[60]).view(np.int64)
 
 
+def most_bits(threshold: float) -> int:
+    p = (1 - threshold) / 2
+    return int(REGISTERS * p + 4.5 * (REGISTERS * p * (1 - p)) ** 0.5) + 1
+
+
+def name(words: np.ndarray) -> bytes:
+    return hashlib.blake2b(words.tobytes(), digest_size=16).digest()
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row, id, whole (hash of the words in order), shingles (distinct, as 32 bits) and band hashes of each document."""
+    """row, id, text_hash, whole (hash of the words in order), size (of the set of shingles), bits (one a register), bands."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,7 +90,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 whole, place, sets, counts = [], {}, [], []
                 for i in range(b - a):
                     own = words[at[i] : at[i + 1]]
-                    key = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+                    key = name(own)
                     if key not in place:  # equal texts are worked on once
                         place[key] = len(sets)
                         x, n = np.unique(shingles(own), return_counts=True)
@@ -86,22 +99,48 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     whole.append(key)
                 starts = np.cumsum([0, *map(len, sets)])
                 elements, n = np.concatenate(sets), np.concatenate(counts)
-                marks = bands(prob_minhash(elements, 1.0 + np.log(n), starts))
-                short = [np.unique(x.astype(np.uint32)).view(np.int32) for x in sets]
+                signatures = prob_minhash(elements, 1.0 + np.log(n), starts)
                 pick = np.array([place[k] for k in whole])
-                some = pa.array(np.diff(starts)[pick] == 0)
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, short)]), pa.int32()), pa.array(np.concatenate(short), pa.int32())).take(pa.array(pick))
-                marks = pa.FixedSizeListArray.from_arrays(pa.array(marks[pick].ravel()), marks.shape[1]).cast(pa.list_(pa.int64()))
-                none = pa.array([[]] * (b - a), pa.list_(pa.int64()))
+                size = np.diff(starts)[pick]
+                marks = bands(signatures)[pick]
+                bits = np.packbits((_text.mix(signatures) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)[pick]
+                lists = lambda x, some: pa.array([r if k else [] for r, k in zip(x.tolist(), some, strict=True)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).slice(a, b - a) for k in (0, 1, 3)), pa.array(whole, pa.binary()), lists, pa.compute.if_else(some, none, marks)], names=["row", "id", "text_hash", "whole", "shingles", "bands"]
+                    [*(batch.column(k).slice(a, b - a) for k in (0, 1, 3)), pa.array(whole, pa.binary()), pa.array(size, pa.int64()), lists(bits, size >= 0), lists(marks, size > 0)],
+                    names=["row", "id", "text_hash", "whole", "size", "bits", "bands"],
                 )
 
-    import pyarrow.compute  # noqa: F401
-
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string"), text_hash(text_col))
-    return rows.mapInArrow(sketch, f"row long, id {kind}, text_hash long, whole binary, shingles array<int>, bands array<long>")
+    return rows.mapInArrow(sketch, f"row long, id {kind}, text_hash long, whole binary, size long, bits array<long>, bands array<long>")
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
+    """row, shingles (as 32 bits) of the nodes in wanted (row, whole).
+
+    A bitmap of fixed size tells tasks which texts to look at; what passes by chance is left out by the join."""
+    place = F.conv(F.hex(F.substring("whole", 1, 4)), 16, 10).cast("long").bitwiseAND(F.lit(PLACES - 1))
+    marks = wanted.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("bits")).toArrow()
+    bitmap = np.zeros(PLACES // 64, dtype=np.uint64)
+    bitmap[marks.column("w").to_numpy()] = marks.column("bits").to_numpy().view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            data, offsets = _text.buffers(batch.column(0))
+            for a, b in _text.steps(offsets):
+                words, at = _text.words(data, offsets[a : b + 1])
+                found = {}
+                for i in range(b - a):
+                    key = name(words[at[i] : at[i + 1]])
+                    p = int.from_bytes(key[:4], "big") & (PLACES - 1)
+                    if key not in found and (int(own[p >> 6]) >> (p & 63)) & 1:
+                        found[key] = np.unique(shingles(words[at[i] : at[i + 1]]).astype(np.uint32)).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.list_(pa.int32()))], names=["whole", "shingles"])
+
+    found = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(build, "whole binary, shingles array<int>")
+    return found.groupBy("whole").agg(F.first("shingles").alias("shingles")).join(wanted, "whole").select("row", "shingles")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -134,9 +173,11 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def close(a: Column, b: Column, threshold: float) -> Column:
-    """Sizes of sets that can reach the threshold."""
-    return F.least(a, b) >= F.lit(threshold) * F.greatest(a, b)
+def plausible(x: str, y: str, threshold: float) -> Column:
+    """Sizes and signatures (columns size and bits of two sides) that don't rule the threshold out."""
+    sizes = F.least(f"{x}.size", f"{y}.size") >= F.lit(threshold) * F.greatest(f"{x}.size", f"{y}.size")
+    differing = [F.bit_count(F.get(f"{x}.bits", F.lit(k)).bitwiseXOR(F.get(f"{y}.bits", F.lit(k)))) for k in range(REGISTERS // 64)]
+    return sizes & (sum(differing[1:], differing[0]) <= most_bits(threshold))
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,27 +189,29 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     table gives no rows."""
     rows = stash(sketches(docs, id_col, text_col), "sketches")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
-    nodes = rows.groupBy("whole").agg(F.min("row").alias("node"), best.alias("best"), F.count(F.lit(1)).alias("n"))
-    nodes = stash(nodes, "nodes")
-    sets = rows.select("row", "shingles").join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
-    marks = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select("row", F.size("shingles").alias("size"), F.explode("bands").alias("bucket"))
-    shared = marks.groupBy("bucket").agg(F.min(F.struct("row", "size")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    nodes = stash(rows.groupBy("whole").agg(F.min("row").alias("row"), best.alias("best"), F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("size", "bits", "bands"))), "nodes")
+    marks = nodes.select("row", F.explode("bands").alias("bucket"))
+    shared = marks.groupBy("bucket").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     live = stash(marks.join(shared, "bucket"), "live")
-    with_first = live.filter((F.col("row") != F.col("first.row")) & close(F.col("size"), F.col("first.size"), threshold))
-    links = stash(verified(with_first.select(F.col("first.row").alias("a"), F.col("row").alias("b")).distinct(), sets, threshold), "links")
+    facts = nodes.select("row", F.struct("size", "bits").alias("own"))
+    live = live.join(facts, "row").join(facts.select(F.col("row").alias("first"), F.col("own").alias("head")), "first")
+    live = stash(live, "members")
+    sets = stash(sets_of(docs, nodes.select("row", "whole").join(live.select("row"), "row", "left_semi"), text_col), "sets")
+    with_first = live.filter((F.col("row") != F.col("first")) & plausible("own", "head", threshold))
+    links = stash(verified(with_first.select(F.col("first").alias("a"), F.col("row").alias("b")).distinct(), sets, threshold), "links")
     label = components(links).withColumnsRenamed({"node": "row", "label": "part"})
-    parts = live.join(label, "row", "left").select("bucket", "row", "size", F.col("first.row").alias("first"), F.coalesce("part", "row").alias("part"))
+    parts = live.join(label, "row", "left").select("bucket", "row", "own", "first", F.coalesce("part", "row").alias("part"))
     heads = parts.filter(F.col("row") == F.col("first")).select("bucket", F.col("part").alias("head"))
     parts = parts.join(heads, "bucket")
-    mixed = parts.groupBy("bucket").agg(F.max(F.col("part") != F.col("head")).alias("mixed")).filter("mixed").select("bucket")
-    parts = stash(parts.join(mixed, "bucket", "left_semi").filter(F.col("row") != F.col("first")), "parts")
+    torn = parts.groupBy("bucket").agg(F.max(F.col("part") != F.col("head")).alias("torn")).filter("torn").select("bucket")
+    parts = stash(parts.join(torn, "bucket", "left_semi").filter(F.col("row") != F.col("first")), "parts")
     x, y = parts.filter(F.col("part") != F.col("head")).alias("x"), parts.alias("y")
-    alike = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") != F.col("y.part")) & close(F.col("x.size"), F.col("y.size"), threshold)
+    alike = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") != F.col("y.part")) & plausible("x.own", "y.own", threshold)
     alike &= (F.col("y.part") == F.col("y.head")) | (F.col("x.row") < F.col("y.row"))  # pairs of others once
     rest = x.join(y, alike).select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
     links = links.union(stash(verified(rest, sets, threshold), "more"))
-    label = components(links)
-    classes = nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    label = components(links).withColumnRenamed("node", "row")
+    classes = nodes.join(label, "row", "left").select("whole", "best", "n", F.coalesce("label", "row").alias("label"))
     total = classes.groupBy("label").agg(F.min("best").alias("top"), F.sum("n").alias("class_size"))
-    named = classes.join(total, "label").select("whole", "top", "class_size")
+    named = stash(classes.join(total, "label").select("whole", "top", "class_size"), "classes")
     return rows.select("id", "row", "text_hash", "whole").join(named, "whole").select(F.col("id").alias(id_col), F.col("top.id").alias("class_id"), "class_size", (F.col("row") == F.col("top.row")).alias("kept"), "text_hash")
