@@ -48,6 +48,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def in_ranges(df: DataFrame, order: list[Column], name: str = "_part") -> DataFrame:
+    """Writes df dealt out by ranges of a total order, with the number of each row's range: a running sum in the order
+    is then one within the range and one over ranges, whatever the sizes of groups."""
+    return stash(df.repartitionByRange(partitions(df.sparkSession), *order).withColumn(name, F.spark_partition_id()), "ranges")
+
+
 def with_position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """Adds each row's place (long, from 0) in the given order over all rows.
 

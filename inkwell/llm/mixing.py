@@ -9,10 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm._tables import stash, text_hash
+from inkwell.llm._tables import in_ranges, stash, text_hash
 
-#: Rows that one window of the prefix sums has on average at most, and the most windows a source is cut into.
-ROWS, SLICES = 50_000, 4096
 SEED = 20_240_607
 
 
@@ -60,19 +58,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: flo
     turn = F.row_number().over(Window.orderBy(F.col("key").asc_nulls_last())) - 1
     sources = stash(sources.withColumn("weight", F.get(F.lit([float(w) for w in weights]), (turn % len(weights)).cast("int"))), "sources")
     targets = stash(fill_targets(sources, F.sum("size"), most), "targets")
-    largest = targets.agg(F.max("n")).first()[0] or 0
-    slices = int(min(SLICES, max(1, -(-largest // ROWS))))
-    # 1 - exp(-key) grows with the key and is even in (0, 1) where weights are 1: a slice is a range of keys.
-    slice_ = F.least(F.floor((1 - F.exp(-F.col("_key"))) * slices), F.lit(slices - 1)).cast("int")
-    rows = rows.withColumn("_slice", slice_)
-    known = rows.select(F.col("source").alias("key"), "_slice", "size").groupBy("key", "_slice").agg(F.sum("size").alias("_size"))
-    before = Window.partitionBy("key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = known.select("key", "_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    draw = [F.col("_key"), F.col("doc_id").asc_nulls_last(), F.col("text_hash"), F.col("_row")]
+    rows = in_ranges(rows.drop("_quality"), [F.col("source").asc_nulls_last(), *draw])
+    known = rows.groupBy(F.col("source").alias("key"), F.col("_part").alias("part")).agg(F.sum("size").alias("_size"))
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = known.select("key", "part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     starts = starts.join(targets.withColumnsRenamed({"key": "_key2", "size": "source_size"}).drop("n", "weight"), F.col("key").eqNullSafe(F.col("_key2"))).drop("_key2")
-    starts = starts.withColumnRenamed("_slice", "_slice2")
-    within = Window.partitionBy("source", "_slice").orderBy("_key", F.col("doc_id").asc_nulls_last(), "text_hash", "_row").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "_part").orderBy(*draw).rowsBetween(Window.unboundedPreceding, -1)
     run = rows.withColumn("_before", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    run = run.join(starts, run["source"].eqNullSafe(starts["key"]) & (run["_slice"] == starts["_slice2"]))
+    run = run.join(starts, run["source"].eqNullSafe(starts["key"]) & (run["_part"] == starts["part"]))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.col("target") - epochs * F.col("source_size")
     once = (F.col("size") > 0) & (F.col("_start") + F.col("_before") + F.col("size") / 2 <= rest)
