@@ -93,7 +93,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = stash(known, "known")
     # Null sorts first in a struct's order: the flag puts null ids last.
     best = F.min(F.struct((-F.col("n_points")).alias("n"), F.col("id").isNull().alias("none"), "id", "row"))
-    groups = known.groupBy("recipe").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+    # Written, so that the join can split the rows of a large group among tasks.
+    groups = stash(known.groupBy("recipe").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")), "groups")
     return known.join(groups, "recipe").select(
         F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256", "text_hash"
     )
