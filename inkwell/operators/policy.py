@@ -45,6 +45,7 @@ def python_decision(function: Callable[..., dict[str, Any]], *columns: str) -> C
     @F.pandas_udf(DECISION)
     def decide(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for series in batches:
+            series = (series,) if isinstance(series, pd.Series) else series
             rows = [{"action": "allow", "disclose_metadata": True, "disclose_source": True, "disclose_attributes": True} | function(*values) for values in zip(*series, strict=True)]
             if any(set(r) != {"action", "disclose_metadata", "disclose_source", "disclose_attributes"} or r["action"] not in ("allow", "hide", "null") for r in rows):
                 raise ValueError("a policy gave no valid decision")
