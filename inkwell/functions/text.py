@@ -21,17 +21,18 @@ def folding() -> tuple[str, str]:
 
 
 def tokens(text: Column | str) -> Column:
-    """Lower-case words without diacritics: maximal runs of letters, numbers, private-use characters, marks inside."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\p{Mn}]*"), F.lit(0))
-    return F.transform(found, lambda t: F.translate(F.regexp_replace(t, r"\p{Mn}", ""), *folding()))
+    """Lower-case words without diacritics: maximal runs of letters, numbers and private-use characters; combining marks
+    count as nothing."""
+    plain = F.regexp_replace(F.translate(F.lower(text), *folding()), r"\p{Mn}", "")
+    return F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
 
 
 def fold(text: str) -> list[str]:
     """The same of a Python string, for queries."""
     import regex
 
-    out = regex.findall(r"[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\p{Mn}]*", text.lower())
-    return [regex.sub(r"\p{Mn}", "", t).translate(str.maketrans(*folding())) for t in out]
+    plain = regex.sub(r"\p{Mn}", "", text.lower().translate(str.maketrans(*folding())))
+    return regex.findall(r"[\p{L}\p{N}\p{Co}]+", plain)
 
 
 def phrase_count(words: Column, phrase: list[str]) -> Column:
