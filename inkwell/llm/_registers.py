@@ -32,12 +32,19 @@ def arrivals(elements: np.ndarray, weights: np.ndarray | None, owner: np.ndarray
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def settle(n: int, first: np.ndarray, fill: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:
-    """Calls fill(rows, until) for all n rows, then with doubled times for those that it says are not done."""
-    rows, until = np.arange(n), first.copy()
-    while len(rows):
-        rows = rows[~fill(rows, until)]
-        until[rows] *= 2
+#: Arrivals that are held at once, about.
+HELD = 1 << 20
+
+
+def settle(n: int, first: np.ndarray, each: float, fill: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:
+    """Calls fill(rows, until) for all n rows, then with doubled times for those that it says are not done; for so many
+    rows at once that their arrivals, of which a row has about `each`, stay few."""
+    until, block = first.copy(), max(1, int(HELD / each))
+    for a in range(0, n, block):
+        rows = np.arange(a, min(a + block, n))
+        while len(rows):
+            rows = rows[~fill(rows, until)]
+            until[rows] *= 2
 
 
 def pick(starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

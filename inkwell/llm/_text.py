@@ -12,8 +12,8 @@ import pyarrow as pa
 BASE = 0x9E3779B97F4A7C15
 #: An odd multiplier.
 FACTOR = np.uint64(0xD6E8FEB86659FD93)
-#: Bytes of text that are worked on at once (a longer document is taken whole).
-STEP = 1 << 21
+#: Bytes of text and rows that are worked on at once (a longer document is taken whole).
+STEP, ROWS = 1 << 21, 4096
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -57,8 +57,9 @@ def steps(offsets: np.ndarray, limit: int = STEP) -> Iterator[tuple[int, int]]:
     a, n = 0, len(offsets) - 1
     while a < n:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, side="right")) - 1)
-        yield a, min(b, n)
-        a = min(b, n)
+        b = min(b, n, a + ROWS)
+        yield a, b
+        a = b
 
 
 def spans(space: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,6 +1,6 @@
 """Near-duplicate classes by ProbMinHash, banding and verification.
 
-A document is its set of five-word shingles, each weighted by 1 + ln(occurrences). ProbMinHash signatures agree in a
+A document is its set of five-word shingles, each weighted by 1 + ln(occurrences) / 8. ProbMinHash signatures agree in a
 register with the probability Jaccard similarity of two documents; documents whose signatures agree in a whole band
 are candidates, and a candidate counts as a link only if the exact Jaccard similarity of the shingle sets reaches the
 threshold. Classes are the connected components of the links.
@@ -8,8 +8,8 @@ threshold. Classes are the connected components of the links.
 Groups are never expanded into all pairs: equal texts are one node; in each bucket nodes are verified against the
 bucket's first node; then only nodes that are not yet in one component with it are verified against the others there.
 A pair of one component needs no check, so no link between classes is lost, whatever a bucket's size. A pair is made
-only if one bit of each register lets the registers' agreement be near the threshold (the limit lies 4.5 deviations
-beyond what is expected there). Sets of shingles are made in a second reading, of documents that share a bucket."""
+only if a few bits of each register let the registers' agreement be near the threshold (limits lie 4.5 deviations beyond
+what is expected there). Sets of shingles are made in a second reading, of documents that share a bucket."""
 
 from __future__ import annotations
 
@@ -25,8 +25,11 @@ from inkwell.llm import _registers, _text
 from inkwell.llm._tables import stash, text_hash
 
 WORDS, THRESHOLD = 5, 0.8
-#: Registers (a power of 2) and those in a band. At similarity 0.8 a pair shares one of 32 bands with probability 0.997.
-REGISTERS, ROWS = 256, 8
+#: Divides the logarithm of a shingle's occurrences in its weight: near 1, weights keep the probability Jaccard similarity
+#: near that of the sets, which decides.
+DAMPED = 8
+#: Registers (a power of 2) and those in a band. At similarity 0.8 a pair shares none of 64 bands with probability 8e-6.
+REGISTERS, ROWS = 512, 8
 #: Multipliers of a shingle's words and of a band's registers, odd numbers made from this rule.
 #: Places in the bitmap that tells the second reading which documents are needed; the others that pass cost time only.
 PLACES = 1 << 26
@@ -60,7 +63,8 @@ def prob_minhash(elements: np.ndarray, weights: np.ndarray, starts: np.ndarray,
         out[rows] = own.reshape(len(rows), registers)
         return np.isfinite(least).reshape(len(rows), registers).all(axis=1) | (weight[rows] == 0)
 
-    _registers.settle(docs, registers / np.maximum(weight, 1e-9) * (np.log(registers) + 2), fill)
+    each = np.log(registers) + 2
+    _registers.settle(docs, registers / np.maximum(weight, 1e-9) * each, registers * each, fill)
     return out
 
 
@@ -70,9 +74,10 @@ def bands(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return _text.mix(parts.sum(axis=2, dtype=np.uint64) + np.arange(registers // rows, dtype=np.uint64) * FACTORS[60]).view(np.int64)
 
 
-def most_bits(threshold: float) -> int:
-    p = (1 - threshold) / 2
-    return int(REGISTERS * p + 4.5 * (REGISTERS * p * (1 - p)) ** 0.5) + 1
+def most_differing(threshold: float, registers: int, bits: int) -> int:
+    """Registers in which so many bits may differ, at most, 4.5 deviations beyond what is expected at the threshold."""
+    p = (1 - threshold) * (1 - 0.5**bits)
+    return int(registers * p + 4.5 * (registers * p * (1 - p)) ** 0.5) + 1
 
 
 def name(words: np.ndarray) -> bytes:
@@ -80,7 +85,8 @@ def name(words: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row, id, text_hash, whole (hash of the words in order), size (of the set of shingles), bits (one a register), bands."""
+    """row, id, text_hash, whole (hash of the words in order), size (of the set of shingles), bits (one a register),
+    nibbles (four bits a register), bands."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,20 +105,23 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     whole.append(key)
                 starts = np.cumsum([0, *map(len, sets)])
                 elements, n = np.concatenate(sets), np.concatenate(counts)
-                signatures = prob_minhash(elements, 1.0 + np.log(n), starts)
+                signatures = prob_minhash(elements, 1.0 + np.log(n) / DAMPED, starts)
                 pick = np.array([place[k] for k in whole])
                 size = np.diff(starts)[pick]
                 marks = bands(signatures)[pick]
-                bits = np.packbits((_text.mix(signatures) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)[pick]
+                mixed = _text.mix(signatures)
+                bits = np.packbits((mixed & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)[pick]
+                upper = (mixed >> np.uint64(60)).astype(np.uint8)
+                nibbles = np.ascontiguousarray(upper[:, 0::2] << 4 | upper[:, 1::2]).view(np.int64)[pick]
                 lists = lambda x, some: pa.array([r if k else [] for r, k in zip(x.tolist(), some, strict=True)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).slice(a, b - a) for k in (0, 1, 3)), pa.array(whole, pa.binary()), pa.array(size, pa.int64()), lists(bits, size >= 0), lists(marks, size > 0)],
-                    names=["row", "id", "text_hash", "whole", "size", "bits", "bands"],
+                    [*(batch.column(k).slice(a, b - a) for k in (0, 1, 3)), pa.array(whole, pa.binary()), pa.array(size, pa.int64()), lists(bits, size >= 0), lists(nibbles, size >= 0), lists(marks, size > 0)],
+                    names=["row", "id", "text_hash", "whole", "size", "bits", "nibbles", "bands"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string"), text_hash(text_col))
-    return rows.mapInArrow(sketch, f"row long, id {kind}, text_hash long, whole binary, size long, bits array<long>, bands array<long>")
+    return rows.mapInArrow(sketch, f"row long, id {kind}, text_hash long, whole binary, size long, bits array<long>, nibbles array<long>, bands array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
@@ -174,10 +183,16 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def plausible(x: str, y: str, threshold: float) -> Column:
-    """Sizes and signatures (columns size and bits of two sides) that don't rule the threshold out."""
+    """Sizes and signatures (columns size, bits and nibbles of two sides) that don't rule the threshold out."""
     sizes = F.least(f"{x}.size", f"{y}.size") >= F.lit(threshold) * F.greatest(f"{x}.size", f"{y}.size")
-    differing = [F.bit_count(F.get(f"{x}.bits", F.lit(k)).bitwiseXOR(F.get(f"{y}.bits", F.lit(k)))) for k in range(REGISTERS // 64)]
-    return sizes & (sum(differing[1:], differing[0]) <= most_bits(threshold))
+    one = [F.bit_count(F.get(f"{x}.bits", F.lit(k)).bitwiseXOR(F.get(f"{y}.bits", F.lit(k)))) for k in range(REGISTERS // 64)]
+
+    def differing(total: Column, v: Column) -> Column:
+        v = v.bitwiseOR(F.shiftrightunsigned(v, 2))
+        return total + F.bit_count(v.bitwiseOR(F.shiftrightunsigned(v, 1)).bitwiseAND(F.lit(0x1111111111111111)))
+
+    four = F.aggregate(F.zip_with(f"{x}.nibbles", f"{y}.nibbles", lambda p, q: p.bitwiseXOR(q)), F.lit(0), differing)
+    return sizes & (sum(one[1:], one[0]) <= most_differing(threshold, REGISTERS, 1)) & (four <= most_differing(threshold, REGISTERS, 4))
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,11 +204,11 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     table gives no rows."""
     rows = stash(sketches(docs, id_col, text_col), "sketches")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
-    nodes = stash(rows.groupBy("whole").agg(F.min("row").alias("row"), best.alias("best"), F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("size", "bits", "bands"))), "nodes")
+    nodes = stash(rows.groupBy("whole").agg(F.min("row").alias("row"), best.alias("best"), F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("size", "bits", "nibbles", "bands"))), "nodes")
     marks = nodes.select("row", F.explode("bands").alias("bucket"))
     shared = marks.groupBy("bucket").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     live = stash(marks.join(shared, "bucket"), "live")
-    facts = nodes.select("row", F.struct("size", "bits").alias("own"))
+    facts = nodes.select("row", F.struct("size", "bits", "nibbles").alias("own"))
     live = live.join(facts, "row").join(facts.select(F.col("row").alias("first"), F.col("own").alias("head")), "first")
     live = stash(live, "members")
     sets = stash(sets_of(docs, nodes.select("row", "whole").join(live.select("row"), "row", "left_semi"), text_col), "sets")
@@ -204,10 +219,12 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     heads = parts.filter(F.col("row") == F.col("first")).select("bucket", F.col("part").alias("head"))
     parts = parts.join(heads, "bucket")
     torn = parts.groupBy("bucket").agg(F.max(F.col("part") != F.col("head")).alias("torn")).filter("torn").select("bucket")
-    parts = stash(parts.join(torn, "bucket", "left_semi").filter(F.col("row") != F.col("first")), "parts")
+    parts = parts.join(torn, "bucket", "left_semi").filter(F.col("row") != F.col("first"))
+    parts = stash(parts.join(nodes.select("row", "bands"), "row"), "parts")
     x, y = parts.filter(F.col("part") != F.col("head")).alias("x"), parts.alias("y")
     alike = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") != F.col("y.part")) & plausible("x.own", "y.own", threshold)
     alike &= (F.col("y.part") == F.col("y.head")) | (F.col("x.row") < F.col("y.row"))  # pairs of others once
+    alike &= F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == F.col("x.bucket")  # and in the first bucket they share
     rest = x.join(y, alike).select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
     links = links.union(stash(verified(rest, sets, threshold), "more"))
     label = components(links).withColumnRenamed("node", "row")

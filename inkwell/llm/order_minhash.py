@@ -85,7 +85,7 @@ def fingerprints(texts: list[str], k: int = K, take: int = TAKE, components: int
         out[rows] = np.where((places >= 0).any(axis=0), _text.mix(total) >> np.uint64(48), 0).astype(np.uint16).reshape(len(rows), components)
         return done
 
-    _registers.settle(len(texts), components / np.maximum(sizes, 1) * 10.0, fill)
+    _registers.settle(len(texts), components / np.maximum(sizes, 1) * 10.0, components * 10.0, fill)
     return out
 
 
