@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm._tables import in_ranges, stash, text_hash
+from inkwell.llm._tables import in_ranges, stash, text_hash, with_position
 
 SEED = 20_240_607
 
@@ -24,22 +24,22 @@ def uniform(*columns: str, seed: int = SEED) -> Column:
     return (bits + F.lit(0.5)) / F.lit(float(1 << 53))
 
 
-def fill_targets(sources: DataFrame, total: Column, most: float) -> DataFrame:
-    """Adds target double to rows (key, size, weight): shares of the total by weight, none above most times its size.
+def fill_targets(sources: DataFrame, most: float) -> DataFrame:
+    """Adds target double to rows (key, size, weight): shares of the total size by weight, none above most times its size.
 
-    What a capped source can't take is shared by weight among the others until none is above. So every target is
-    min(cap, level * weight) for one level, which prefix sums over the sources in order of cap / weight give: one row a
-    source, a table as small as the mix's recipe."""
+    What sources can't take is shared by weight among the others until none is above. So every target is the lesser of
+    its cap and level * weight; each round finds the level from two sums over the sources, and as capped ones stay
+    capped, few rounds suffice."""
     cap = F.col("size") * F.lit(float(most))
-    rows = sources.withColumn("_cap", cap).withColumn("_ratio", F.col("_cap") / F.col("weight"))
-    order = Window.orderBy("_ratio", F.col("key").asc_nulls_last())
-    before, everything = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    rows = rows.withColumn("_capped", F.coalesce(F.sum("_cap").over(before), F.lit(0.0))).withColumn("_spent", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    rows = rows.withColumn("_total", total.over(everything)).withColumn("_weights", F.sum("weight").over(everything))
-    rows = rows.withColumn("_level", (F.col("_total") - F.col("_capped")) / (F.col("_weights") - F.col("_spent")))
-    # Sources before the first whose ratio exceeds its level are capped. Levels fall from there on, so it has the largest.
-    rows = rows.withColumn("_final", F.max(F.when(F.col("_ratio") > F.col("_level"), F.col("_level"))).over(everything))
-    return rows.withColumn("target", F.coalesce(F.least("_cap", F.col("_final") * F.col("weight")), F.col("_cap"))).select(*sources.columns, "target")
+    total, weights = sources.agg(F.sum("size"), F.sum("weight")).first()
+    level, capped = (total or 0) / weights if weights else 0.0, 0
+    while True:
+        above = cap < F.lit(level) * F.col("weight")
+        spent, free, n = sources.agg(F.sum(F.when(above, cap)), F.sum(F.when(~above, F.col("weight"))), F.count_if(above)).first()
+        if n == capped or not free:
+            break
+        level, capped = (total - spent) / free, n
+    return sources.withColumn("target", F.least(cap, F.lit(level) * F.col("weight")))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, quality: Column | None = None, seed: int = SEED) -> DataFrame:
@@ -54,16 +54,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: flo
     rows = docs.select("doc_id", "source", word_count("text").alias("size"), text_hash("text").alias("text_hash"), (quality if quality is not None else F.lit(1.0)).cast("double").alias("_quality"))
     rows = rows.withColumn("_row", F.monotonically_increasing_id())
     rows = stash(rows.withColumn("_key", -F.log(uniform("doc_id", "text_hash", seed=seed)) / F.greatest("_quality", F.lit(1e-9))), "keys")
-    sources = rows.groupBy(F.col("source").alias("key")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
-    turn = F.row_number().over(Window.orderBy(F.col("key").asc_nulls_last())) - 1
-    sources = stash(sources.withColumn("weight", F.get(F.lit([float(w) for w in weights]), (turn % len(weights)).cast("int"))), "sources")
-    targets = stash(fill_targets(sources, F.sum("size"), most), "targets")
+    sources = rows.groupBy(F.col("source").alias("key")).agg(F.sum("size").alias("size"))
+    ranked = with_position(sources, [F.col("key").asc_nulls_last()], "turn")
+    sources = ranked.withColumn("weight", F.get(F.lit([float(w) for w in weights]), (F.col("turn") % len(weights)).cast("int"))).drop("turn")
+    targets = stash(fill_targets(sources, most), "targets")
     draw = [F.col("_key"), F.col("doc_id").asc_nulls_last(), F.col("text_hash"), F.col("_row")]
     rows = in_ranges(rows.drop("_quality"), [F.col("source").asc_nulls_last(), *draw])
     known = rows.groupBy(F.col("source").alias("key"), F.col("_part").alias("part")).agg(F.sum("size").alias("_size"))
     before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = known.select("key", "part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    starts = starts.join(targets.withColumnsRenamed({"key": "_key2", "size": "source_size"}).drop("n", "weight"), F.col("key").eqNullSafe(F.col("_key2"))).drop("_key2")
+    starts = starts.join(targets.withColumnsRenamed({"key": "_key2", "size": "source_size"}).drop("weight"), F.col("key").eqNullSafe(F.col("_key2"))).drop("_key2")
     within = Window.partitionBy("source", "_part").orderBy(*draw).rowsBetween(Window.unboundedPreceding, -1)
     run = rows.withColumn("_before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     run = run.join(starts, run["source"].eqNullSafe(starts["key"]) & (run["_part"] == starts["part"]))
