@@ -13,7 +13,7 @@ BASE = 0x9E3779B97F4A7C15
 #: An odd multiplier.
 FACTOR = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes of text and rows that are worked on at once (a longer document is taken whole).
-STEP, ROWS = 1 << 21, 4096
+STEP, ROWS = 1 << 20, 4096
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

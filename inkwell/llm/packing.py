@@ -19,7 +19,7 @@ from inkwell.llm import _text
 from inkwell.llm._tables import stash, with_position
 
 #: Pre-tokens that a worker keeps ids of.
-KEPT = 2_000_000
+KEPT = 600_000
 
 
 class CapacityTree:
