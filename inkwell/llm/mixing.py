@@ -12,12 +12,24 @@ from pyspark.sql import functions as F
 from inkwell.llm._tables import in_ranges, stash, text_hash, with_position
 
 SEED = 20_240_607
+#: How sharply quality weights tell prose from junk: at 4 the median good text of sf0.01 weighs 7 times the median bad one.
+SHARP = 4
 
 
 def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def text_quality(text: str) -> Column:
+    """A weight in (0, 1] from the text alone: the share of lower-case (or caseless) letters, marks on them and white
+    space, times ln(distinct words) / ln(words), which hardly depends on a text's length; to the power SHARP."""
+    value = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    plain = F.regexp_count(value, F.lit(r"[\p{Ll}\p{Lo}\p{M}\s]")) / F.greatest(F.length(value), F.lit(1))
+    words = F.split(F.lower(value), r"[\x20\x09-\x0D]+")
+    variety = F.log(F.size(F.array_distinct(words)) + F.lit(1.0)) / F.log(F.size(words) + F.lit(1.0))
+    return F.greatest(F.pow(plain * variety, F.lit(float(SHARP))), F.lit(1e-6))
+
+
 def uniform(*columns: str, seed: int = SEED) -> Column:
     """In (0, 1), from the columns' values alone: reruns agree."""
     bits = F.call_function("shiftrightunsigned", F.xxhash64(F.lit(seed), *(F.col(c) for c in columns)), F.lit(11))
@@ -46,12 +58,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: flo
     """One row a document: doc_id, source, size (words), text_hash, source_size, target (of its source), copies, taken.
 
     Sources in order of code points (null last) get the weights in turn and share the total size of all documents;
-    targets stop at `most` times a source's size. quality: a positive weight of each document (1 if None); the greater,
-    the earlier a document is drawn. A document is taken in full as often as its source's target holds the source's
+    targets stop at `most` times a source's size. quality: a positive weight of each document (text_quality if None); the
+    greater, the earlier a document is drawn. A document is taken in full as often as its source's target holds the source's
     size, and once more if the prefix sum at its middle lies within the rest: a source's taken words differ from its
     target by at most half the last document drawn. Null text: size 0, as the empty one. Documents of size 0 are taken
     as often as whole epochs say. Repeated rows draw the same key and are ordered among themselves."""
-    rows = docs.select("doc_id", "source", word_count("text").alias("size"), text_hash("text").alias("text_hash"), (quality if quality is not None else F.lit(1.0)).cast("double").alias("_quality"))
+    rows = docs.select("doc_id", "source", word_count("text").alias("size"), text_hash("text").alias("text_hash"), (quality if quality is not None else text_quality("text")).cast("double").alias("_quality"))
     rows = rows.withColumn("_row", F.monotonically_increasing_id())
     rows = stash(rows.withColumn("_key", -F.log(uniform("doc_id", "text_hash", seed=seed)) / F.greatest("_quality", F.lit(1e-9))), "keys")
     sources = rows.groupBy(F.col("source").alias("key")).agg(F.sum("size").alias("size"))

@@ -66,6 +66,15 @@ def test_quality_weights_draw_good_documents_first(spark):
     assert 0 < len(chosen) < 300 and sum(chosen) > 0.8 * len(chosen)
 
 
+def test_registered_mix_prefers_good_texts(spark, tmp_path):
+    good = F.concat_ws(" ", *(F.concat(F.lit(x), F.translate(F.col("id").cast("string"), "0123456789", "klmnopqrst")) for x in ("the", "of", "and", "in", "was", "to")))
+    junk = F.concat_ws(" ", *(F.concat(F.lit("BUY!!$"), F.col("id").cast("string")) for _ in range(6)))
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 1, good).otherwise(junk).alias("text"), F.when(F.col("id") < 300, "b").otherwise("a").alias("source"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    chosen = [r["doc_id"] % 2 for r in rows(entry.op1_mixing(spark, str(tmp_path))) if r["taken"] and r["doc_id"] < 300]
+    assert 0 < len(chosen) < 300 and sum(chosen) > 0.8 * len(chosen)
+
+
 # 2 Sharding
 
 
