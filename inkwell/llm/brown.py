@@ -1,13 +1,14 @@
 """Language-model scores by Brown classes.
 
-Frequent words of the training documents are clustered by the exchange algorithm: each moves to the class in which the
+Words of the training documents that occur LEAST times or more are clustered by the exchange algorithm: each moves to the class in which the
 class bigrams' likelihood rises most. A token's probability is that of its class after the class before, times that of
-the word in its class, mixed with the smoothed unigram model. Words beyond the clustered ones form one open class, in
+the word in its class, mixed with the smoothed unigram model. Rarer words form one open class, in
 which unseen words have a share too; the end of a text is a class of its own.
 
 All counts are over all training documents. Word counts and the clustered words' bigrams are gathered by shuffles; an
-exchange round is one pass over bigram blocks in which each task holds the words of one block. What the driver and all
-tasks hold is bounded by the parameters `clustered`, `known` and `classes`; counts of other words are joined."""
+exchange round is one pass over bigram blocks in which each task holds the words of one block. The driver and
+all tasks hold the clustered words (a hash and a class each; their number grows with the vocabulary) and counts of the
+`known` most frequent words; counts of other words are joined."""
 
 from __future__ import annotations
 
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from inkwell.llm import _text
 from inkwell.llm._tables import partitions, stash
 
-CLASSES, CLUSTERED, KNOWN, ROUNDS = 48, 1 << 15, 1 << 20, 8
+#: CLUSTERED None: all words with LEAST occurrences, however many there are.
+CLASSES, CLUSTERED, KNOWN, ROUNDS = 48, None, 1 << 20, 8
 #: Words with fewer occurrences aren't clustered: they tell little of their neighbours, and how often the open class is
 #: met among them tells how often unseen words are.
 LEAST = 3
@@ -29,6 +31,8 @@ LEAST = 3
 SHARE, SMOOTH = 0.95, 5.0
 #: Entries that a task gathers before it sums them up.
 HELD = 1 << 21
+#: Words whose classes are chosen at once.
+STEP = 512
 
 
 def unique_sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,6 +216,39 @@ def best_class(m: np.ndarray, own: int, right: np.ndarray, left: np.ndarray, sel
     return best, float(gain[best] - gain[own])
 
 
+def best_classes(m: np.ndarray, own: np.ndarray, right: np.ndarray, left: np.ndarray, loops: np.ndarray, free: int) -> tuple[np.ndarray, np.ndarray]:
+    """best_class of many words (rows of right and left), by the cells that each word has neighbours in."""
+    m = m.astype(float)
+    each, k = np.arange(len(own)), np.arange(free)
+    gain = np.zeros((len(own), free))
+    for near, far, cells_of in ((right, left, m), (left, right, m.T)):
+        n = near.astype(float)
+        n[each, own] -= loops
+        i, d = np.nonzero(n)
+        cells = cells_of[:free, d].T.copy()  # without the word itself
+        cells[np.arange(len(i)), own[i]] -= near[i, d]
+        inner = np.flatnonzero(d == own[i])
+        cells[inner] -= far[i[inner], :free]
+        cells[inner, d[inner]] += loops[i[inner]]
+        rise = xlogx(cells + n[i, d][:, None]) - xlogx(cells)
+        low = np.flatnonzero(d < free)
+        rise[low, d[low]] = 0.0
+        if len(i):
+            head = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+            gain[i[head]] += np.add.reduceat(rise, head)
+        sums = np.tile(cells_of.sum(axis=1)[:free], (len(own), 1))
+        a = near.sum(axis=1)
+        sums[each, own] -= a
+        gain -= xlogx(sums + a[:, None]) - xlogx(sums)
+    corner = np.tile(m[k, k], (len(own), 1))
+    corner[each, own] += loops - right[each, own] - left[each, own]
+    more = (right + left)[:, :free].astype(float)
+    more[each, own] -= 2 * loops
+    gain += xlogx(corner + more + loops[:, None]) - xlogx(corner)
+    best = gain.argmax(axis=1)
+    return best, gain[each, best] - gain[each, own]
+
+
 def moves(table: DataFrame, classes, matrix, free: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
     """Words whose turn it is and that should change their class, and the classes: at most as many rows as words."""
 
@@ -224,14 +261,20 @@ def moves(table: DataFrame, classes, matrix, free: int, turn: int) -> tuple[np.n
                     continue
                 (rw, ro, rn), (lw, lo, ln) = map(expand, sides)
                 words = np.unique(np.concatenate([rw, lw]))
-                counts = [np.bincount(np.searchsorted(words, w) * total + own[o], weights=n, minlength=len(words) * total).reshape(-1, total) for w, o, n in ((rw, ro, rn), (lw, lo, ln))]
-                loops = np.zeros(len(words))
-                same = rw == ro
-                loops[np.searchsorted(words, rw[same])] = rn[same]
-                mine = np.flatnonzero(_text.mix(words.astype(np.uint64) + np.uint64(turn // 2 * 1_000_003)) % np.uint64(2) == turn % 2)
-                chosen = [best_class(m, own[words[i]], counts[0][i], counts[1][i], loops[i], free) for i in mine]
-                moved = [(int(words[i]), c) for i, (c, gain) in zip(mine, chosen, strict=True) if gain > 1e-6 and c != own[words[i]]]
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in moved], pa.int64()), pa.array([c for _, c in moved], pa.int64())], names=["word", "to"])
+                words = words[_text.mix(words.astype(np.uint64) + np.uint64(turn // 2 * 1_000_003)) % np.uint64(2) == turn % 2]
+                for begin in range(0, len(words), STEP):
+                    some = words[begin : begin + STEP]
+                    counts, loops = [], np.zeros(len(some))
+                    for w, o, n in ((rw, ro, rn), (lw, lo, ln)):  # in order of w
+                        at = slice(*np.searchsorted(w, [some[0], some[-1] + 1]))
+                        place = places(some, w[at], -1)
+                        there = place >= 0
+                        counts.append(np.bincount(place[there] * total + own[o[at][there]], weights=n[at][there], minlength=len(some) * total).reshape(-1, total))
+                        same = there & (w[at] == o[at])
+                        loops[place[same]] = n[at][same]
+                    to, gain = best_classes(m, own[some], *counts, loops, free)
+                    moved = (gain > 1e-6) & (to != own[some])
+                    yield pa.RecordBatch.from_arrays([pa.array(some[moved], pa.int64()), pa.array(to[moved], pa.int64())], names=["word", "to"])
 
     found = table.mapInArrow(choose, "word long, to long").toArrow()
     return found.column("word").to_numpy(), found.column("to").to_numpy()
@@ -241,10 +284,11 @@ def cluster(table: DataFrame, counts: np.ndarray, classes: int, rounds: int) ->
     """Class of each clustered word (then the open class and the end), and the counts of class pairs.
 
     The most frequent words start in classes of their own in turn. In a round half of the words, in turn, see the same
-    state and move."""
+    state and move. It ends when both halves of a division had no move, one after the other, or after `rounds`."""
     context, size = table.sparkSession.sparkContext, len(counts)
     own = np.append(np.zeros(size, dtype=np.int64), [classes, classes + 1])
     own[np.argsort(-counts, kind="stable")] = np.arange(size) % classes
+    quiet = 0
     for turn in range(rounds):
         shared = context.broadcast(own)
         matrix = context.broadcast(class_bigrams(table, shared, classes + 2))
@@ -253,12 +297,13 @@ def cluster(table: DataFrame, counts: np.ndarray, classes: int, rounds: int) ->
         own[word] = to
         shared.unpersist()
         matrix.unpersist()
-        if turn and not len(word):
+        quiet = 0 if len(word) else quiet + 1
+        if quiet > 1 and turn % 2:  # turns 2k and 2k + 1 are the halves of one division
             break
     return own, class_bigrams(table, context.broadcast(own), classes + 2)
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, clustered: int = CLUSTERED, known: int = KNOWN, rounds: int = ROUNDS) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, clustered: int | None = CLUSTERED, known: int = KNOWN, rounds: int = ROUNDS) -> DataFrame:
     """One row a document: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), class_tokens.
 
     Documents whose crc32(id as text) leaves 1 modulo 5 are held out of training; a null id counts as the empty text,
@@ -275,8 +320,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = train.count()
     n_all, types = (total[0] or 0) + ends, total[1] + (ends > 0)
     least = least_count(words, known)
+    if clustered is None:
+        least = min(least, LEAST)  # known are all that are clustered
     word, count = frequent(words, least)
-    enough = count >= max(LEAST, least_count(words, clustered))
+    enough = count >= (LEAST if clustered is None else max(LEAST, least_count(words, clustered)))
     head, head_n = word[enough], count[enough]
     table = blocks(texts, context.broadcast(head), partitions(spark))
     own, pairs = cluster(table, head_n, classes, rounds)
