@@ -2,13 +2,15 @@
 
 A document is its set of five-word shingles, each weighted by 1 + ln(occurrences) / 8. ProbMinHash signatures agree in a
 register with the probability Jaccard similarity of two documents; documents whose signatures agree in a whole band
-are candidates, and a candidate counts as a link only if the exact Jaccard similarity of the shingle sets reaches the
+are candidates. As repetition moves weighted similarity away from that of the sets, a document with repeated shingles
+also has a signature and bands of its plain set (weights 1); without repeats the two are the same, so any two documents
+can meet by their sets. A candidate counts as a link only if the exact Jaccard similarity of the shingle sets reaches the
 threshold. Classes are the connected components of the links.
 
 Groups are never expanded into all pairs: equal texts are one node; in each bucket nodes are verified against the
 bucket's first node; then only nodes that are not yet in one component with it are verified against the others there.
 A pair of one component needs no check, so no link between classes is lost, whatever a bucket's size. A pair is made
-only if a few bits of each register let the registers' agreement be near the threshold (limits lie 4.5 deviations beyond
+only if a few bits of each register of the plain sets' signatures let the registers' agreement be near the threshold (limits lie 4.5 deviations beyond
 what is expected there). Sets of shingles are made in a second reading, of documents that share a bucket."""
 
 from __future__ import annotations
@@ -86,7 +88,7 @@ def name(words: np.ndarray) -> bytes:
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """row, id, text_hash, whole (hash of the words in order), size (of the set of shingles), bits (one a register),
-    nibbles (four bits a register), bands."""
+    nibbles (four bits a register), bands. bits and nibbles are of the plain set's signature, bands of both signatures."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,14 +110,22 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 signatures = prob_minhash(elements, 1.0 + np.log(n) / DAMPED, starts)
                 pick = np.array([place[k] for k in whole])
                 size = np.diff(starts)[pick]
-                marks = bands(signatures)[pick]
-                mixed = _text.mix(signatures)
+                plain = signatures.copy()
+                torn = [k for k, x in enumerate(counts) if len(x) and x.max() > 1]
+                if torn:
+                    own = [sets[k] for k in torn]
+                    plain[torn] = prob_minhash(np.concatenate(own), np.ones(sum(map(len, own))), np.cumsum([0, *map(len, own)]))
+                marks = bands(signatures).tolist()
+                for k, more in zip(torn, bands(plain[torn]).tolist(), strict=True):
+                    marks[k] = list(dict.fromkeys([*marks[k], *more]))
+                marks = [marks[k] for k in pick]
+                mixed = _text.mix(plain)
                 bits = np.packbits((mixed & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)[pick]
                 upper = (mixed >> np.uint64(60)).astype(np.uint8)
                 nibbles = np.ascontiguousarray(upper[:, 0::2] << 4 | upper[:, 1::2]).view(np.int64)[pick]
-                lists = lambda x, some: pa.array([r if k else [] for r, k in zip(x.tolist(), some, strict=True)], pa.list_(pa.int64()))
+                lists = lambda x, some: pa.array([r if k else [] for r, k in zip(x, some, strict=True)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).slice(a, b - a) for k in (0, 1, 3)), pa.array(whole, pa.binary()), pa.array(size, pa.int64()), lists(bits, size >= 0), lists(nibbles, size >= 0), lists(marks, size > 0)],
+                    [*(batch.column(k).slice(a, b - a) for k in (0, 1, 3)), pa.array(whole, pa.binary()), pa.array(size, pa.int64()), lists(bits.tolist(), size >= 0), lists(nibbles.tolist(), size >= 0), lists(marks, size > 0)],
                     names=["row", "id", "text_hash", "whole", "size", "bits", "nibbles", "bands"],
                 )
 
