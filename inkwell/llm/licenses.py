@@ -116,37 +116,38 @@ def split(text: str) -> list[tuple[int, int]]:
 class Scanner:
     def __init__(self):
         self.known, self.rules = tables()
-        self.widest = max(len(k) for k in self.known) + 40
+        self.widest = max(len(k) for k in self.known)
+        self.lasts = {k.rsplit(" ", 1)[-1] for k in self.known}
 
-    def identify(self, text: str, a: int, b: int) -> tuple[str, int, int] | None:
-        """Identifier and span of a sentence: the whole, or its last lines, or its first one."""
+    def identify(self, text: str, a: int, b: int) -> list[tuple[str, int, int]]:
+        """Identifiers and spans within a sentence, in order: of the whole, or of all known runs of its lines.
+
+        Notices without a full stop stand in one sentence. Runs are sought from the last line up and don't overlap."""
         own = text[a:b]
         found = self.known.get(normal(own)) if len(own) <= 2 * self.widest else None
         if found:
-            return found, a, b
-        at = own.rfind("\n", 0, len(own.rstrip()))
-        while at >= 0 and len(own) - at <= 2 * self.widest:
-            if found := self.known.get(normal(own[at:])):
-                return found, a + at, b
-            at = own.rfind("\n", 0, at)
-        return None
-
-    def lines(self, text: str, a: int, b: int) -> list[tuple[str, int, int]]:
-        """Known lines within a sentence that isn't known itself: notices without a full stop."""
-        out = []
-        for line in re.finditer(r"[^\n]+", text[a:b]):
-            if line.end() - line.start() <= self.widest and (found := self.known.get(normal(line.group()))):
-                out.append((found, a + line.start(), a + line.end()))
-        return out
+            return [(found, a, b)]
+        if "\n" not in own.strip():
+            return []
+        lines = [(m.start(), m.end(), n) for m in re.finditer(r"[^\n]+", own) if (n := normal(m.group()))]
+        out, end = [], len(lines) - 1
+        while end >= 0:
+            begin, run = end, lines[end][2]
+            if run.rsplit(" ", 1)[-1] in self.lasts:
+                while (found := self.known.get(run)) is None and begin and len(run) < self.widest:
+                    begin -= 1
+                    run = f"{lines[begin][2]} {run}"
+                if found:
+                    out.append((found, a + lines[begin][0], a + lines[end][1]))
+                    end = begin
+            end -= 1
+        return out[::-1]
 
     def scan(self, text: str) -> list[tuple[str, str, int, int]]:
         """Licence, rule, start and length in code points of each match, in the order of their starts."""
         found = []  # (place among sentences, identifier, start, end)
         for place, (a, b) in enumerate(split(text)):
-            if one := self.identify(text, a, b):
-                found.append((place, *one))
-            elif "\n" in text[a:b].strip():
-                found += [(place, *x) for x in self.lines(text, a, b)]
+            found += [(place, *x) for x in self.identify(text, a, b)]
         used, out = set(), []
         for licence, rule in self.rules if found else ():
             for i in range(len(found)):
