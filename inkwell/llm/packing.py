@@ -7,6 +7,7 @@ and gives a table of runs. Each piece then finds its bin from its rank among pie
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -97,7 +98,8 @@ class Encoder:
     """Ids of whole texts by a byte-level BPE of the tokenizers library.
 
     Such a tokenizer splits a text into pre-tokens that it encodes one by one. The splits are found here for many
-    texts at once, and each distinct pre-token is given to the tokenizer once."""
+    texts at once, and each distinct pre-token is given to the tokenizer once. An added token that stands in a text
+    literally is a pre-token with an id of its own, as for the library; what is around it is split on its own."""
 
     def __init__(self, path: str):
         import os
@@ -107,7 +109,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.literal = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         points = "".join(map(chr, [*range(0xD800), *([0xFFFD] * 0x800), *range(0xE000, 0x110000)]))
         self.kind = np.zeros(0x110000, dtype=np.uint8)  # 0: other
         for kind, pattern in ((1, r"\p{L}+"), (2, r"\p{N}+"), (3, r"\p{White_Space}+")):
@@ -117,6 +120,8 @@ class Encoder:
         self.forget()
 
     def one(self, pre_token: str) -> list[int]:
+        if pre_token in self.added:
+            return [self.added[pre_token]]
         return [x.id for x in self.tokenizer.model.tokenize(pre_token.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))]
 
     def forget(self) -> None:
@@ -154,6 +159,17 @@ class Encoder:
                 start[at[at < n]] = True
         return np.flatnonzero(start | begins)
 
+    def spans(self, text: str, rows: np.ndarray) -> np.ndarray:
+        """Starts and ends of added tokens in rows (their bounds) one after another."""
+        out, at = [], 0
+        while self.literal and (m := self.literal.search(text, at)):
+            end = int(rows[np.searchsorted(rows, m.start(), side="right")])
+            inside = m if m.end() <= end else self.literal.search(text, m.start(), end)
+            if inside:
+                out.append(inside.span())
+            at = inside.end() if inside else m.start() + 1
+        return np.array(out, dtype=np.int64).reshape(-1, 2)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, and where each row's begin."""
         raw = data[offsets[0] : offsets[-1]]
@@ -164,7 +180,12 @@ class Encoder:
         rows = lead[offsets - offsets[0]]
         if not len(points):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(offsets), dtype=np.int64)
-        starts = self.starts(points, np.unique(rows[:-1][rows[:-1] < len(points)]))
+        spans = self.spans(text, rows)
+        first = np.concatenate([rows[:-1], spans.ravel()])
+        starts = self.starts(points, np.unique(first[first < len(points)]))
+        if len(spans):
+            at = np.searchsorted(spans[:, 0], starts, side="right") - 1
+            starts = starts[(at < 0) | (starts == spans[at, 0]) | (starts >= spans[at, 1])]
         ends = np.append(starts[1:], len(points))
         keys = _text.hashes(points, starts, ends)
         order = np.argsort(keys)
