@@ -17,23 +17,27 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 def arrivals(elements: np.ndarray, weights: np.ndarray | None, owner: np.ndarray, until: np.ndarray, registers: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All arrivals before the owner's time: index of the element, register (a power of 2 of them), time."""
-    at, found, k = np.arange(len(elements)), [], 0
+    at, found = np.arange(len(elements)), []
     now, state = np.zeros(len(elements)), elements.copy()
     ends = until[owner]
     while len(at):
-        k += 1
-        state += GOLDEN
-        x = mix(state)
-        delay = -np.log((x >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54)
-        now = now + (delay if weights is None else delay / weights[at])
-        alive = now < ends
-        at, now, state, ends, x = at[alive], now[alive], state[alive], ends[alive], x[alive]
-        found.append((at, (x & np.uint64(registers - 1)).astype(np.int64), now))
+        many = max(1, FEW // len(at))  # where few elements are left, each sends several at once
+        x = mix(state[:, None] + GOLDEN * np.arange(1, many + 1, dtype=np.uint64))
+        time = -np.log((x >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54)
+        if weights is not None:
+            time /= weights[at][:, None]
+        time[:, 0] += now
+        if many > 1:
+            np.cumsum(time, axis=1, out=time)
+        alive = time < ends[:, None]  # ends with the first that is too late
+        found.append((np.repeat(at, alive.sum(axis=1)), (x[alive] & np.uint64(registers - 1)).astype(np.int64), time[alive]))
+        on = alive[:, -1]
+        at, now, state, ends = at[on], time[on, -1], state[on] + GOLDEN * np.array([many], dtype=np.uint64), ends[on]
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-#: Arrivals that are held at once, about.
-HELD = 1 << 20
+#: Arrivals that are held at once, about, and those that a step makes at least.
+HELD, FEW = 1 << 19, 1 << 13
 
 
 def settle(n: int, first: np.ndarray, each: float, fill: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:
