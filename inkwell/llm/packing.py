@@ -281,7 +281,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Tokenises, cuts and packs documents; one row a piece, with a checksum in place of the ids."""
     cut = tokenise(docs, tokenizer, capacity, end_id)
-    return pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), capacity)
+    # Written, as ordering them by ranges reads them twice.
+    return pack(stash(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces"), capacity)
 
 
-__all__ = ["CapacityTree", "best_fit", "encoder", "pack", "pack_documents", "stash", "tokenise"]
+__all__ = ["CapacityTree", "best_fit", "encoder", "pack", "pack_documents", "tokenise"]
