@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: monotonically_increasing_id keeps the row of a partition in the lower 33 bits.
@@ -23,24 +26,45 @@ def text_hash(column: str) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where it is unset (local runs, tests) a temporary one is made."""
+    """The folder in spark.checkpoint.dir. Only where it is unset and all tasks run in the driver's own process (local runs,
+    tests) a temporary one is made: on a cluster each executor would write to a disk of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("on a cluster, spark.checkpoint.dir has to name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="inkwell-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+#: Folders of the tables written within each open scratch().
+_open: list[list] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that stash() writes within are deleted at its end: what is still needed has to be written elsewhere by then."""
+    own: list = []
+    _open.append(own)
+    try:
+        yield
+    finally:
+        _open.pop()
+        for folder in own:
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def stash(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: later jobs don't repeat its work, a lost executor
     costs nothing that was written, and ids that depend on the order of evaluation are fixed. Gone when the
-    application ends."""
+    application ends, or (unless keep is set) the scratch() around it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/inkwell-{uuid.uuid4().hex}/{name}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    if _open and not keep:
+        _open[-1].append(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,3 +92,21 @@ def with_position(df: DataFrame, order: list[Column], name: str = "position") ->
     # One row a partition: a size that is known.
     before = spark.createDataFrame([(p, s) for (p, _), s in zip(counts, starts, strict=False)], "_part long, _start long")
     return placed.withColumn("_part", part.cast("long")).join(F.broadcast(before), "_part").withColumn(name, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << ROW_BITS) - 1))).drop("_part", "_start", "_at")
+
+
+def running_sum(df: DataFrame, group: list[str], order: list[Column], value: Column, name: str = "before") -> DataFrame:
+    """Adds the sum of value (long) over the rows before each one in its group; nulls in group are one.
+
+    Ranges of (group, order) hold the rows, so that a group of any size is split; a window sees one range of one group, and
+    another the sums of a group's ranges. The order has to tell a group's rows apart."""
+    rows = in_ranges(df, [*(F.col(g).asc_nulls_last() for g in group), *order])
+    up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*group, "_part").agg(F.sum(value).alias("_sum"))
+    start = F.coalesce(F.sum("_sum").over(up_to(Window.partitionBy(*group).orderBy("_part"))), F.lit(0))
+    starts = sums.select(*(F.col(g).alias(f"_of_{g}") for g in group), F.col("_part").alias("_in"), start.alias("_start"))
+    within = F.coalesce(F.sum(value).over(up_to(Window.partitionBy(*group, "_part").orderBy(*order))), F.lit(0))
+    same = F.col("_part") == F.col("_in")
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+    rows = rows.withColumn("_within", within).join(starts, same)
+    return rows.withColumn(name, (F.col("_start") + F.col("_within")).cast("long")).select(*df.columns, name)

@@ -50,7 +50,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.assess(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return quality.assess(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("text_hash")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str, key: str = "inkwell demonstration key") -> DataFrame:

@@ -6,12 +6,19 @@ in order of their keys until the prefix sum of sizes meets the rest."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm._tables import in_ranges, stash, text_hash, with_position
+from inkwell.llm._tables import running_sum, stash, text_hash, with_position
+from inkwell.llm.stages import MINE, TIMES, repeat_mixed, repeated
 
 SEED = 20_240_607
+#: Weights of sources in turn, and how many times its size a source's target may be.
+WEIGHTS, MOST = (5.0, 2.0, 1.0), 3.0
+#: Sources whose numbers are sent to all tasks, at most.
+SOURCES = 100_000
+#: Keys that differ by a smaller share count as equal when they are computed again.
+ROUNDING = 1e-9
 #: How sharply quality weights tell prose from junk: at 4 the median good text of sf0.01 weighs 7 times the median bad one.
 SHARP = 4
 
@@ -30,9 +37,9 @@ def text_quality(text: str) -> Column:
     return F.greatest(F.pow(plain * variety, F.lit(float(SHARP))), F.lit(1e-6))
 
 
-def uniform(*columns: str, seed: int = SEED) -> Column:
-    """In (0, 1), from the columns' values alone: reruns agree."""
-    bits = F.call_function("shiftrightunsigned", F.xxhash64(F.lit(seed), *(F.col(c) for c in columns)), F.lit(11))
+def uniform(*values: Column, seed: int = SEED) -> Column:
+    """In (0, 1), from the values alone: reruns agree."""
+    bits = F.call_function("shiftrightunsigned", F.xxhash64(F.lit(seed), *values), F.lit(11))
     return (bits + F.lit(0.5)) / F.lit(float(1 << 53))
 
 
@@ -54,7 +61,32 @@ def fill_targets(sources: DataFrame, most: float) -> DataFrame:
     return sources.withColumn("target", F.least(cap, F.lit(level) * F.col("weight")))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, quality: Column | None = None, seed: int = SEED) -> DataFrame:
+def draw_key(text: str, quality: Column | None, seed: int) -> Column:
+    """The exponential key of a document (columns doc_id and text): -ln(u) divided by its quality weight.
+
+    A null or NaN weight counts as 1e-9, as do zero and negative ones: such documents come last."""
+    weight = (quality if quality is not None else text_quality(text)).cast("double")
+    weight = F.when(F.isnan(weight), F.lit(None)).otherwise(weight)
+    return -F.log(uniform(F.col("doc_id"), text_hash(text), seed=seed)) / F.greatest(F.coalesce(weight, F.lit(0.0)), F.lit(1e-9))
+
+
+def draws(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, quality: Column | None = None, seed: int = SEED) -> DataFrame:
+    """One row a document: doc_id, source, size, text_hash, key, source_size, target, epochs, once (taken for the rest)."""
+    rows = docs.select("doc_id", "source", word_count("text").alias("size"), text_hash("text").alias("text_hash"), draw_key("text", quality, seed).alias("key"))
+    rows = stash(rows.withColumn("_row", F.monotonically_increasing_id()), "keys")
+    sources = rows.groupBy(F.col("source").alias("key")).agg(F.sum("size").alias("size"))
+    ranked = with_position(sources, [F.col("key").asc_nulls_last()], "turn")
+    sources = ranked.withColumn("weight", F.get(F.lit([float(w) for w in weights]), (F.col("turn") % len(weights)).cast("int"))).drop("turn")
+    targets = stash(fill_targets(sources, most), "targets").select(F.col("key").alias("_source"), F.col("size").alias("source_size"), "target")
+    run = running_sum(rows, ["source"], [F.col("key"), F.col("doc_id").asc_nulls_last(), F.col("text_hash"), F.col("_row")], F.col("size"), "_before")
+    run = run.join(F.broadcast(targets) if targets.count() <= SOURCES else targets, F.col("source").eqNullSafe(F.col("_source")))
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    rest = F.col("target") - epochs * F.col("source_size")
+    once = (F.col("size") > 0) & (F.col("_before") + F.col("size") / 2 <= rest)
+    return run.select("doc_id", "source", "size", "text_hash", "key", "source_size", "target", epochs.alias("epochs"), once.alias("once"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, quality: Column | None = None, seed: int = SEED) -> DataFrame:
     """One row a document: doc_id, source, size (words), text_hash, source_size, target (of its source), copies, taken.
 
     Sources in order of code points (null last) get the weights in turn and share the total size of all documents;
@@ -62,25 +94,30 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: flo
     greater, the earlier a document is drawn. A document is taken in full as often as its source's target holds the source's
     size, and once more if the prefix sum at its middle lies within the rest: a source's taken words differ from its
     target by at most half the last document drawn. Null text: size 0, as the empty one. Documents of size 0 are taken
-    as often as whole epochs say. Repeated rows draw the same key and are ordered among themselves."""
-    rows = docs.select("doc_id", "source", word_count("text").alias("size"), text_hash("text").alias("text_hash"), (quality if quality is not None else text_quality("text")).cast("double").alias("_quality"))
-    rows = rows.withColumn("_row", F.monotonically_increasing_id())
-    rows = stash(rows.withColumn("_key", -F.log(uniform("doc_id", "text_hash", seed=seed)) / F.greatest("_quality", F.lit(1e-9))), "keys")
-    sources = rows.groupBy(F.col("source").alias("key")).agg(F.sum("size").alias("size"))
-    ranked = with_position(sources, [F.col("key").asc_nulls_last()], "turn")
-    sources = ranked.withColumn("weight", F.get(F.lit([float(w) for w in weights]), (F.col("turn") % len(weights)).cast("int"))).drop("turn")
-    targets = stash(fill_targets(sources, most), "targets")
-    draw = [F.col("_key"), F.col("doc_id").asc_nulls_last(), F.col("text_hash"), F.col("_row")]
-    rows = in_ranges(rows.drop("_quality"), [F.col("source").asc_nulls_last(), *draw])
-    known = rows.groupBy(F.col("source").alias("key"), F.col("_part").alias("part")).agg(F.sum("size").alias("_size"))
-    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = known.select("key", "part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    starts = starts.join(targets.withColumnsRenamed({"key": "_key2", "size": "source_size"}).drop("weight"), F.col("key").eqNullSafe(F.col("_key2"))).drop("_key2")
-    within = Window.partitionBy("source", "_part").orderBy(*draw).rowsBetween(Window.unboundedPreceding, -1)
-    run = rows.withColumn("_before", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    run = run.join(starts, run["source"].eqNullSafe(starts["key"]) & (run["_part"] == starts["part"]))
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = F.col("target") - epochs * F.col("source_size")
-    once = (F.col("size") > 0) & (F.col("_start") + F.col("_before") + F.col("size") / 2 <= rest)
-    copies = epochs + once.cast("long")
-    return run.select("doc_id", "source", "size", "text_hash", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    as often as whole epochs say. Repeated rows draw the same key and are ordered among themselves. An empty table gives
+    no rows; other columns don't matter."""
+    copies = F.col("epochs") + F.col("once").cast("long")
+    return draws(docs, weights, most, quality, seed).select("doc_id", "source", "size", "text_hash", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, quality: Column | None = None, seed: int = SEED) -> DataFrame:
+    """The documents as often as mix() takes them, with all their columns.
+
+    In a source, the documents drawn for the rest are those up to a key. Each source's epochs and last key are sent to all
+    tasks, which compute the keys again: no text moves. Documents whose keys lie within rounding of the last one are looked
+    up by id, source and text; so are all documents if sources are too many to be sent."""
+    found = stash(draws(docs, weights, most, quality, seed), "draws")
+    marks = found.withColumn("copies", F.col("epochs") + F.col("once").cast("long"))
+    ends = found.groupBy(F.xxhash64("source", F.isnull("source")).alias(MINE + "source")).agg(F.first("epochs").alias(MINE + "epochs"), F.max(F.when(F.col("once"), F.col("key"))).alias(MINE + "end"))
+    ends = stash(ends, "ends")
+    if ends.count() > SOURCES:
+        return repeat_mixed(docs, marks)
+    rows = docs.withColumns({MINE + "source": F.xxhash64("source", F.isnull("source")), MINE + "key": draw_key("text", quality, seed)})
+    rows = rows.join(F.broadcast(ends), MINE + "source")  # two numbers a source
+    key, end = F.col(MINE + "key"), F.col(MINE + "end")
+    tied = F.coalesce(F.abs(key - end) <= ROUNDING * end, F.lit(False))
+    once = (word_count("text") > 0) & F.coalesce(key < end, F.lit(False))
+    clear = repeated(rows.filter(~tied).withColumn(TIMES, F.col(MINE + "epochs") + once.cast("long")).filter(F.col(TIMES) > 0), docs.columns)
+    near = marks.withColumn(MINE + "source", F.xxhash64("source", F.isnull("source"))).join(F.broadcast(ends), MINE + "source")
+    near = near.filter(F.coalesce(F.abs(F.col("key") - end) <= 2 * ROUNDING * end, F.lit(False)))
+    return clear.unionByName(repeat_mixed(rows.filter(tied).select(*docs.columns), near))

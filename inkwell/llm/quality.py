@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import _text
-from inkwell.llm._tables import stash
+from inkwell.llm._tables import stash, text_hash
+from inkwell.llm.stages import keep_marked
 
 #: Labelled rows that the classifier is fitted on at most, chosen by a hash of their ids; it has 2 * FEATURES + 1 weights.
 SAMPLE = 20_000
@@ -110,11 +111,12 @@ def over_texts(docs: DataFrame, text_col: str, name: str, kind: str, work) -> Da
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Classifier:
-    """Fits the classifier on at most `sample` labelled documents."""
+    """Fits the classifier on at most `sample` labelled ids and 2 * sample documents, the first by their hashes."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.avg(label_col).alias("_y"))
     chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).join(F.broadcast(chosen), id_col).select("_y", text_col)  # at most `sample` rows
-    found = over_texts(rows, text_col, "_x", "array<double>", features).select("_y", "_x").limit(2 * sample).toArrow()
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), text_hash(text_col).alias("_hash")).join(F.broadcast(chosen.withColumnRenamed(id_col, "_id")), "_id")  # at most `sample` rows
+    found = over_texts(rows, "_text", "_x", "array<double>", features).select(F.xxhash64("_id").alias("_order"), "_hash", "_y", "_x")
+    found = found.orderBy("_order", "_hash").limit(2 * sample).toArrow()  # repeated ids, too, have a bound and an order
     x = np.array(found.column("_x").to_pylist(), dtype=float).reshape(-1, FEATURES)
     return Classifier.fit(x, (found.column("_y").to_numpy() >= 0.5).astype(float))
 
@@ -123,6 +125,13 @@ def with_probability(docs: DataFrame, model: Classifier, text_col: str, name: st
     return over_texts(docs, text_col, name, "double", lambda data, offsets: model.probability(features(data, offsets)))
 
 
+def with_value(scored: DataFrame, labels: DataFrame, label_col: str, id_col: str) -> DataFrame:
+    """Adds _y, what a document counts for in its sites' sums: its label, or its probability _p without one."""
+    known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_label_id")).agg(F.avg(label_col).cast("double").alias("_label"))
+    known = stash(known, "labels")  # so that the join can split the rows of one id among tasks
+    return scored.join(known, scored["_id"] == known["_label_id"], "left").withColumn("_y", F.coalesce("_label", "_p")).drop("_label_id", "_label")
+
+
 def strength(rows: DataFrame, parent: Column) -> float:
     """How many documents the prior of a level counts for, by moments of rows (n, s): the less sites differ from their
     parent's rate, the more. One row reaches the driver."""
@@ -144,10 +153,8 @@ class Sites:
     paths: float
 
 
-def sites(scored: DataFrame, labels: DataFrame, label_col: str, id_col: str) -> Sites:
-    """Grouped counts and rates over all documents (columns id, _host, _path, _p), labels in place of probabilities."""
-    known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.avg(label_col).cast("double").alias("_y"))
-    rows = scored.join(known, scored[id_col] == known["_id"], "left").select("_host", "_path", F.coalesce("_y", "_p").alias("_y"))
+def sites(rows: DataFrame) -> Sites:
+    """Grouped counts and rates over all documents (columns _host, _path, _y)."""
     paths = rows.groupBy("_host", "_path").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("s"))
     paths = stash(paths, "paths")
     hosts = paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
@@ -166,13 +173,14 @@ def logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def judged(scored: DataFrame, known: Sites, keep: float = KEEP) -> DataFrame:
-    """Adds host_posterior, path_posterior (both without the document itself), posterior and kept."""
+def judged(rows: DataFrame, known: Sites, keep: float = KEEP) -> DataFrame:
+    """Adds host_posterior, path_posterior (both without the document's own value _y), posterior and kept."""
     table = known.table.withColumnsRenamed({"_host": "_host2", "_path": "_path2", "n": "_n", "s": "_s", "host_n": "_hn", "host_s": "_hs"})
     if known.table.count() <= SITES:
         table = F.broadcast(table)
-    rows = scored.join(table, scored["_host"].eqNullSafe(table["_host2"]) & scored["_path"].eqNullSafe(table["_path2"]))
-    without = lambda s, n, prior, k: F.greatest(F.lit(0.0), (s - F.col("_p") + prior * k) / (n - 1 + k))
+    rows = rows.join(table, rows["_host"].eqNullSafe(table["_host2"]) & rows["_path"].eqNullSafe(table["_path2"]))
+    # Sums of floating numbers may miss what was added by a rounding error.
+    without = lambda s, n, prior, k: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (s - F.col("_y") + prior * k) / (n - 1 + k)))
     rows = rows.withColumn("host_posterior", without(F.col("_hs"), F.col("_hn"), F.lit(known.rate), known.hosts))
     rows = rows.withColumn("path_posterior", without(F.col("_s"), F.col("_n"), F.col("host_posterior"), known.paths))
     odds = logit(F.col("_p")) + logit(F.col("path_posterior")) - logit(F.lit(known.rate))
@@ -180,31 +188,32 @@ def judged(scored: DataFrame, known: Sites, keep: float = KEEP) -> DataFrame:
     return rows.withColumn("kept", F.col("posterior") >= keep).drop("_host2", "_path2", "_n", "_s", "_hn", "_hs")
 
 
+def url_site(url: Column) -> tuple[Column, Column]:
+    """Host (without www., in lower case) and first folder of the path of a URL; null where there is none."""
+    host = F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
+    folder = F.regexp_extract(F.try_parse_url(url, F.lit("PATH")), r"^(/[^/]+)/", 1)
+    return host, F.when(folder != "", folder)
+
+
 def assess(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, document_probability, host_posterior, path_posterior, posterior, kept.
+    """One row a document: id, document_probability, host_posterior, path_posterior, posterior, kept, text_hash.
 
-    host and path default to the columns source and lang; null is a site of its own. Labels (id, 0 or 1; repeated ones
+    host and path default to the columns source and lang, which stand for a site and its parts where there is no URL
+    (url_site() gives both of one); null is a site of its own. Labels (id, 0 or 1; repeated ones
     are averaged, nulls ignored) may cover any part of the documents, or none: then all have the same rate. A null text
     counts as empty. Extra columns don't matter; an empty table gives no rows."""
     model = fit(docs, labels, label_col, id_col, text_col)
-    scored = stash(with_probability(sited(docs, host, path, id_col, text_col), model, text_col).drop(text_col), "scored")
-    out = judged(scored, sites(scored, labels, label_col, id_col))
-    return out.select(id_col, F.col("_p").alias("document_probability"), "host_posterior", "path_posterior", "posterior", "kept")
-
-
-def sited(docs: DataFrame, host: Column | None, path: Column | None, *names: str) -> DataFrame:
     host, path = F.col("source") if host is None else host, F.col("lang") if path is None else path
-    return docs.select(*(F.col(n).cast("string").alias(n) if n == names[-1] else F.col(n) for n in names), host.alias("_host"), path.alias("_path"))
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), text_hash(text_col).alias("_hash"), host.alias("_host"), path.alias("_path"))
+    scored = stash(with_probability(own, model, "_text").drop("_text"), "scored")
+    valued = stash(with_value(scored, labels, label_col, id_col), "valued")
+    out = judged(valued, sites(valued))
+    return out.select(F.col("_id").alias(id_col), F.col("_p").alias("document_probability"), "host_posterior", "path_posterior", "posterior", "kept", F.col("_hash").alias("text_hash"))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that assess() keeps, with all their columns. Their texts aren't shuffled if sites are few: the
-    classifier reads them twice instead."""
-    model = fit(docs, labels, label_col, id_col, text_col)
-    scored = stash(with_probability(sited(docs, None, None, id_col, text_col), model, text_col).drop(text_col), "scored")
-    known = sites(scored, labels, label_col, id_col)
-    again = with_probability(docs.withColumns({text_col: F.col(text_col).cast("string"), "_host": F.col("source"), "_path": F.col("lang")}), model, text_col)
-    return judged(again, known).filter("kept").select(*docs.columns)
+    """The documents that assess() keeps, with all their columns, whatever their names."""
+    return keep_marked(docs, assess(docs, labels, label_col=label_col, id_col=id_col, text_col=text_col), id_col, text_col)
 
 
-__all__ = ["Classifier", "assess", "features", "fit", "kept_documents"]
+__all__ = ["Classifier", "assess", "features", "fit", "kept_documents", "url_site"]

@@ -450,8 +450,8 @@ def test_the_classifier_holds_out_of_sample(spark):
 def test_sparse_sites_shrink_to_their_parents(spark):
     site = lambda h, p, n, rate: [(h, p, float(k < n * rate)) for k in range(n)]
     data = [*site("good", "a", 200, 0.99), *site("good", "b", 2, 0.0), *site("bad", "a", 200, 0.3), *site("mid", "a", 200, 0.7), *site("new", "a", 1, 0.0)]
-    scored = spark.createDataFrame([(k, *r) for k, r in enumerate(data)], "doc_id long, _host string, _path string, _p double")
-    found = quality.sites(scored, spark.createDataFrame([], "doc_id long, quality int"), "quality", "doc_id")
+    scored = spark.createDataFrame([(*r, r[2]) for r in data], "_host string, _path string, _p double, _y double")
+    found = quality.sites(scored)
     out = rows(quality.judged(scored, found).groupBy("_host", "_path").agg(F.avg("host_posterior").alias("h"), F.avg("path_posterior").alias("p")))
     rate = {(r["_host"], r["_path"]): r for r in out}
     assert rate["good", "a"]["h"] > 0.95 and rate["bad", "a"]["h"] < 0.4
