@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -75,66 +76,124 @@ def reply(text: str) -> dict:
     return out | {"risk_score": max(0, min(10, round(float(risk))))}
 
 
+FINDINGS = "array<struct<type: string, line: int, preview: string>>"
+REASON = 500
+
+
 @dataclass
 class AuditConfig:
+    """Hooks are columns over the items' columns (domain, sha256, content, source_paths, ...), built-in expressions or pandas
+    UDFs: pre_scan says whether an item is scanned; on_oversize gives a text in place of one over the limit, or null;
+    heuristic_rules gives more findings (their previews are masked); prompt_context gives a template with {content};
+    risk_policy, given the evaluated rows, the risk. post_scan gets the stored rows of a batch."""
+
     key: str = "secret_scan"
     limits: dict[str, int] = field(default_factory=lambda: {"chunk": 4000, "document": 50_000})
     prompt: str = "Rate from 0 to 10 how secret this is, as JSON with risk_score and reason.\n{content}"
     version: str = "1"
     #: generate(prompt) -> reply, run within tasks; None leaves the model layer out.
     generate: Callable[[str], str] | None = None
+    model: str | None = None
+    #: load() -> generate, called once a worker, before its first prompt: what fails there fails the pass.
+    load: Callable[[], Callable[[str], str]] | None = None
+    #: Rows of a batch; None: all at once.
+    batch: int | None = None
+    pre_scan: Callable[[], Column] | None = None
+    on_oversize: Callable[[Column], Column] | None = None
+    heuristic_rules: Callable[[Column], Column] | None = None
+    prompt_context: Callable[[Column], Column] | None = None
     #: risk(struct of the result's columns) -> risk.
     risk_policy: Callable[[DataFrame], Column] | None = None
+    post_scan: Callable[[DataFrame], None] | None = None
+
+
+_loaded: dict[str, Callable[[str], str]] = {}
+
+
+def answers(config: AuditConfig) -> Callable[..., Column]:
+    """The model layer as a pandas UDF of text, template, matched, skip reason."""
+    generate, load, name = config.generate, config.load, f"{config.model}/{config.version}"
+
+    @F.pandas_udf("status string, risk int, confidence int, reason string, snippets array<string>, error string")
+    def ask(texts: pd.Series, templates: pd.Series, matched: pd.Series, skipped: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, template, hit, why in zip(texts, templates, matched, skipped, strict=True):
+            if why is not None:
+                out.append(("skipped", 0, 0, why, [], None))
+                continue
+            if template is None or "{content}" not in template:
+                out.append(("error", 5, 0, None, [], "hook:prompt_context: ValueError"))
+                continue
+            if load is not None and name not in _loaded:
+                _loaded[name] = load()
+            try:
+                answer = (generate or _loaded[name])(template.replace("{content}", text))
+            except Exception as e:  # a model's failure is a result, told by its class alone
+                out.append(("error", 5, 0, None, [], f"layer:llm: {type(e).__name__}"))
+                continue
+            try:
+                found = reply(answer)
+                snippets = [masked(x) for x in found.get("flagged_snippets") or [] if isinstance(x, str)]
+                sure = found.get("llm_confidence_score", 0)
+                sure = max(0, min(10, round(float(sure)))) if isinstance(sure, (int, float)) else 0
+                out.append(("ok", found["risk_score"], sure, str(found.get("reason", ""))[:REASON], snippets, None))
+            except (ValueError, TypeError) as e:
+                out.append(("parse_error", 5 if hit else 0, 0, None, [], f"parse: {type(e).__name__}"))
+        return pd.DataFrame(out, columns=["status", "risk", "confidence", "reason", "snippets", "error"])
+
+    return ask
+
+
+def masked(text: str) -> str:
+    """As mask(), of a Python string."""
+    text = text.strip()
+    return text[:2] + "***" if len(text) > 4 else "***"
 
 
 def evaluate(items: DataFrame, config: AuditConfig | None = None) -> DataFrame:
-    """Adds findings, matched, llm_status, llm_risk, reason and risk_score to items (domain, sha256, content)."""
+    """Adds oversize, skip_reason, findings, matched, llm (status, risk, confidence, reason, snippets, error), layers and
+    risk_score to items (domain, sha256, content)."""
     config = config or AuditConfig()
     most = F.create_map(*(F.lit(x) for pair in config.limits.items() for x in pair))[F.col("domain")]
-    rows = items.withColumn("oversize", F.length("content") > most)
-    rows = rows.withColumn("findings", F.when(~F.col("oversize"), by_line(F.col("content"))).otherwise(F.array().cast("array<struct<type: string, line: int, preview: string>>")))
+    over = F.length("content") > most
+    instead = config.on_oversize(most) if config.on_oversize else F.lit(None).cast("string")
+    rows = items.withColumn("_text", F.when(over, instead).otherwise(F.col("content")))
+    unwanted = ~F.coalesce(config.pre_scan(), F.lit(False)) if config.pre_scan else F.lit(False)
+    rows = rows.withColumn("skip_reason", F.when(unwanted, "pre_scan").when(F.col("_text").isNull() & F.col("content").isNotNull(), "oversize"))
+    rows = rows.withColumn("oversize", F.coalesce(F.col("skip_reason") == "oversize", F.lit(False)))
+    found = by_line(F.col("_text"))
+    if config.heuristic_rules:
+        more = F.transform(config.heuristic_rules(F.col("_text")), lambda f: F.struct(f["type"].alias("type"), f["line"].cast("int").alias("line"), mask(f["preview"]).alias("preview")))
+        found = F.concat(found, F.coalesce(more, F.array().cast(FINDINGS)))
+    rows = rows.withColumn("findings", F.when(F.col("skip_reason").isNull(), F.coalesce(found, F.array().cast(FINDINGS))).otherwise(F.array().cast(FINDINGS)))
     rows = rows.withColumn("matched", F.size("findings") > 0)
-    if config.generate is None:
-        rows = rows.withColumn("llm", F.struct(F.when(F.col("oversize"), "skipped").otherwise("disabled").alias("status"), F.lit(None).cast("int").alias("risk"), F.lit(None).cast("string").alias("reason")))
+    layers = ["heuristic"]
+    if config.generate is None and config.load is None:
+        nothing = {"risk": "int", "confidence": "int", "reason": "string", "snippets": "array<string>", "error": "string"}
+        status = F.when(F.col("skip_reason").isNotNull(), "skipped").otherwise("disabled")
+        rows = rows.withColumn("llm", F.struct(status.alias("status"), *(F.lit(None).cast(t).alias(k) for k, t in nothing.items())))
     else:
-        generate, prompt = config.generate, config.prompt
-
-        @F.pandas_udf("status string, risk int, reason string")
-        def ask(texts: pd.Series, matched: pd.Series, oversize: pd.Series) -> pd.DataFrame:
-            out = []
-            for text, hit, large in zip(texts, matched, oversize, strict=True):
-                if large:
-                    out.append(("skipped", 0, "oversize"))
-                    continue
-                try:
-                    answer = generate(prompt.replace("{content}", text))
-                except Exception as e:  # a model's failure is a result, told by its class alone
-                    out.append(("error", 5, type(e).__name__))
-                    continue
-                try:
-                    found = reply(answer)
-                    out.append(("ok", found["risk_score"], str(found.get("reason", ""))))
-                except (ValueError, TypeError):
-                    out.append(("parse_error", 5 if hit else 0, None))
-            return pd.DataFrame(out, columns=["status", "risk", "reason"])
-
-        rows = rows.withColumn("llm", ask("content", "matched", "oversize"))
-    rows = rows.withColumn("risk_score", fused_risk(F.col("matched"), F.col("llm.risk")))
+        layers.append("llm")
+        template = F.lit(config.prompt)
+        rows = rows.withColumn("_template", config.prompt_context(template) if config.prompt_context else template)
+        rows = rows.withColumn("llm", answers(config)("_text", "_template", "matched", "skip_reason")).drop("_template")
+    rows = rows.withColumn("layers", F.when(F.col("skip_reason").isNull(), F.lit(layers)).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("risk_score", fused_risk(F.col("matched"), F.col("llm.risk"))).drop("_text")
     if config.risk_policy:
-        rows = rows.withColumn("risk_score", clamp(config.risk_policy(rows)))
+        rows = rows.withColumn("risk_score", F.when(F.col("skip_reason").isNotNull(), F.col("risk_score")).otherwise(clamp(config.risk_policy(rows))))
     return rows
 
 
 def work(documents: DataFrame, chunks: DataFrame, attributes: DataFrame, limit: int | None = None) -> DataFrame:
-    """Content that has no attributes yet, once each: domain, sha256, content, source_paths, chunk_ordinals. Chunks come
-    first, then documents, each in the order of first occurrence."""
+    """Content that has no attributes yet, once each: domain, sha256, content, n_places, first_path, first_ordinal. Chunks
+    come first, then documents, each in the order of first occurrence. All its places are in places()."""
 
     def items(rows: DataFrame, domain: str, hash_col: str, text: str, path: str, ordinal: Column) -> DataFrame:
         own = rows.select(F.col(hash_col).alias("sha256"), F.col(text).alias("content"), F.struct(F.col(path).alias("path"), ordinal.cast("int").alias("ordinal")).alias("at"))
         new = unscanned(own, "sha256", "at", attributes, domain)
-        places = own.join(new, "sha256").groupBy("sha256").agg(F.min("content").alias("content"), F.array_sort(F.collect_list("at")).alias("places"), F.min("first").alias("first"))
-        paths = F.array_distinct(F.transform("places", lambda p: p["path"]))
-        return places.select(F.lit(domain).alias("domain"), "sha256", "content", paths.alias("source_paths"), F.transform("places", lambda p: p["ordinal"]).alias("chunk_ordinals"), "first")
+        # The paths of one content are summed up before they are shuffled: its number and the first ones.
+        top = own.join(F.broadcast(new) if limit is not None else new, "sha256").groupBy("sha256").agg(F.min("content").alias("content"), F.count(F.lit(1)).alias("n_places"), F.min("first").alias("first"))
+        return top.select(F.lit(domain).alias("domain"), "sha256", "content", "n_places", F.col("first.path").alias("first_path"), F.col("first.ordinal").alias("first_ordinal"), "first")
 
     both = items(chunks, "chunk", "content_sha256", "content", "source_path", F.col("ordinal")).unionByName(items(documents, "document", "body_sha256", "body", "path", F.lit(None)))
     if limit is not None:
@@ -142,21 +201,33 @@ def work(documents: DataFrame, chunks: DataFrame, attributes: DataFrame, limit:
     return both.drop("first")
 
 
+def places(documents: DataFrame, chunks: DataFrame, items: DataFrame) -> DataFrame:
+    """Where items (domain, sha256) occur: domain, sha256, path, ordinal (null of documents) and the document's metadata_json,
+    a row each, so that content with any number of copies is no large row."""
+    own = documents.select(F.lit("document").alias("domain"), F.col("body_sha256").alias("sha256"), "path", F.lit(None).cast("int").alias("ordinal"), "metadata_json")
+    each = chunks.select("content_sha256", F.col("source_path").alias("path"), "ordinal").join(documents.select("path", "metadata_json"), "path", "left")
+    both = own.unionByName(each.select(F.lit("chunk").alias("domain"), F.col("content_sha256").alias("sha256"), "path", "ordinal", "metadata_json"))
+    return both.join(items.select("domain", "sha256"), ["domain", "sha256"], "left_semi")
+
+
 def results(evaluated: DataFrame, config: AuditConfig | None = None, now: Column | None = None) -> DataFrame:
     """Attribute rows of evaluated items; fields without a value are left out."""
     config = config or AuditConfig()
     now = F.current_timestamp() if now is None else now
+    by_model = config.generate is not None or config.load is not None
+    provenance = F.struct(F.lit(config.version).alias("scanner_version"), *([F.lit(config.model).alias("model_id"), F.sha2(F.lit(config.prompt), 256).alias("prompt_sha256")] if by_model else []))
     result = F.struct(
-        F.col("risk_score").alias("risk_score"), F.size("findings").alias("regex_matches_found"), F.col("findings").alias("heuristic_findings"), F.col("llm.status").alias("llm_status"),
-        F.col("llm.reason").alias("reason"), F.when(F.col("oversize"), "oversize").alias("skip_reason"), F.lit(config.version).alias("scanner_version"), F.sha2(F.lit(config.prompt), 256).alias("prompt_sha256"), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("scanned_at"),
+        F.col("risk_score"), F.col("matched").alias("regex_matches_found"), F.coalesce("llm.confidence", F.lit(0)).alias("llm_confidence_score"), F.coalesce("llm.reason", F.lit("")).alias("reason"),
+        F.coalesce("llm.snippets", F.array().cast("array<string>")).alias("flagged_snippets"), F.col("findings").alias("heuristic_findings"), F.col("layers"), F.col("llm.status").alias("llm_status"), F.col("skip_reason"),
+        F.col("llm.error").alias("error"), provenance.alias("provenance"), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("scanned_at"),
     )
     return evaluated.select("domain", "sha256", F.to_json(F.struct(result.alias(config.key))).alias("attributes_json"), now.alias("updated_at"))
 
 
 def report(evaluated: DataFrame) -> DataFrame:
-    """One row: scanned, skipped, flagged, errors."""
+    """One row: scanned (all that were looked at), skipped among them, flagged, errors."""
     return evaluated.agg(
-        F.count_if(~F.col("oversize")).alias("scanned"), F.count_if("oversize").alias("skipped"), F.count_if(F.col("matched") | (F.col("risk_score") >= FLAG_RISK)).alias("flagged"), F.count_if(F.col("llm.status") == "error").alias("errors")
+        F.count(F.lit(1)).alias("scanned"), F.count_if(F.col("llm.status") == "skipped").alias("skipped"), F.count_if(F.col("matched") | (F.col("risk_score") >= FLAG_RISK)).alias("flagged"), F.count_if(F.col("llm.status") == "error").alias("errors")
     )
 
 
@@ -166,20 +237,25 @@ def run_pass(documents: DataFrame, chunks: DataFrame, attributes: DataFrame, con
     return insert_absent(attributes, results(evaluated, config)), evaluated
 
 
-def reset(attributes: DataFrame, key: str = "secret_scan", domain: str | None = None, sha256: str | None = None, statuses: tuple[str, ...] = (), least_risk: int | None = None) -> DataFrame:
-    """Attributes without the key in the rows chosen; a row that holds nothing else goes."""
+def chosen(key: str = "secret_scan", domain: str | None = None, sha256: str | None = None, statuses: tuple[str, ...] = (), least_risk: int | None = None) -> Column:
+    """Rows of attributes that hold the scanner's key and meet all that is asked for."""
     value = F.try_parse_json("attributes_json")
-    chosen = json_kind("attributes_json", key).isNotNull()
+    out = json_kind("attributes_json", key).isNotNull()
     if domain:
-        chosen &= F.col("domain") == domain
+        out &= F.col("domain") == domain
     if sha256:
-        chosen &= F.col("sha256") == sha256
+        out &= F.col("sha256") == sha256
     if statuses:
-        chosen &= F.coalesce(F.try_variant_get(value, f"$.{key}.llm_status", "string").isin(*statuses), F.lit(False))
+        out &= F.coalesce(F.try_variant_get(value, f"$.{key}.llm_status", "string").isin(*statuses), F.lit(False))
     if least_risk is not None:
-        chosen &= F.coalesce(F.try_variant_get(value, f"$.{key}.risk_score", "double") >= least_risk, F.lit(False))
-    rest = drop_key(F.col("attributes_json"), F.lit(key))
-    rows = attributes.withColumn("_chosen", chosen)
-    kept = rows.filter("not _chosen").drop("_chosen")
-    changed = rows.filter("_chosen").drop("_chosen").withColumn("attributes_json", rest).filter(F.col("attributes_json") != "{}")
-    return kept.unionByName(changed)
+        out &= F.coalesce(F.try_variant_get(value, f"$.{key}.risk_score", "double") >= least_risk, F.lit(False))
+    return out
+
+
+def reset(attributes: DataFrame, key: str = "secret_scan", now: Column | None = None, **selection: Any) -> DataFrame:
+    """Attributes without the key in the rows chosen, which are as new; a row that holds nothing else goes."""
+    rows = attributes.withColumn("_chosen", chosen(key, **selection))
+    rest = F.when(F.col("_chosen"), drop_key(F.when(F.col("_chosen"), F.col("attributes_json")), F.lit(key))).otherwise(F.col("attributes_json"))
+    stamp = F.when(F.col("_chosen"), F.current_timestamp() if now is None else now).otherwise(F.col("updated_at"))
+    rows = rows.withColumns({"attributes_json": rest, "updated_at": stamp})
+    return rows.filter(~F.col("_chosen") | (F.col("attributes_json") != "{}")).drop("_chosen")

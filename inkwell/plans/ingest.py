@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import content_hash, error_text, tokens
-from inkwell.sources.index import Index
-from inkwell.sources.markdown import Parsing, hashing_embedding, listing, parse, read_vault
+from inkwell.sources.index import Change, Index
+from inkwell.sources.markdown import PARSED, Parsing, hashing_embedding, parse, read_vault, walked
 
 
 def changed(files: DataFrame, documents: DataFrame, fingerprint: Column | str) -> DataFrame:
@@ -29,7 +33,7 @@ def ledger(errors: DataFrame, outcomes: DataFrame, removed: DataFrame | None = N
     """Errors after outcomes (path, source_hash, stage and error, null for success; one a path) and removed paths.
 
     A failure counts an attempt of its (path, hash, stage) and opens it; its path's errors of other bytes are
-    superseded, those of other stages resolved. A success resolves its bytes' errors and supersedes others'. A removed
+    superseded, those of other stages resolved (which counts as an attempt's time, too). A success resolves its bytes' errors and supersedes others'. A removed
     path's are superseded. Only open errors change."""
     now = F.current_timestamp() if now is None else now
     own = outcomes.select(F.col("path").alias("source_path"), F.col("source_hash").alias("_hash"), F.col("stage").alias("_stage"), error_text(F.col("error")).alias("_error"))
@@ -49,7 +53,7 @@ def ledger(errors: DataFrame, outcomes: DataFrame, removed: DataFrame | None = N
     )
     kept = rows.select(
         "source_path", "source_hash", "stage", F.when(again, F.col("_error")).otherwise(F.col("error_details")).alias("error_details"), (F.col("attempt_count") + again.cast("int")).alias("attempt_count"),
-        "first_seen_at", F.when(again, now).otherwise(F.col("last_attempt_at")).alias("last_attempt_at"), status.alias("status"),
+        "first_seen_at", F.when(again | (status != F.col("status")), now).otherwise(F.col("last_attempt_at")).alias("last_attempt_at"), status.alias("status"),
     )
     failed = own.filter("_stage is not null").select("source_path", F.col("_hash").alias("source_hash"), F.col("_stage").alias("stage"), F.col("_error").alias("error_details"))
     new = failed.join(errors.select("source_path", "source_hash", "stage"), ["source_path", "source_hash", "stage"], "left_anti")
@@ -58,12 +62,27 @@ def ledger(errors: DataFrame, outcomes: DataFrame, removed: DataFrame | None = N
 
 @dataclass
 class Embedding:
+    """The vectors of chunks. embed(texts) -> one finite vector of so many dimensions a text, in order, run in Arrow batches
+    within tasks; None: the hashing embedder."""
+
     dimensions: int = 384
     model: str = "hashing"
     version: str = "1"
+    embed: Callable[[list[str]], list[list[float]]] | None = None
 
     def column(self, text: str) -> Column:
-        return hashing_embedding(self.dimensions)[1](text)
+        if self.embed is None:
+            return hashing_embedding(self.dimensions)[1](text)
+        embed, size = self.embed, self.dimensions
+
+        @F.pandas_udf("array<float>")
+        def vectors(texts: pd.Series) -> pd.Series:
+            found = np.asarray(embed(texts.tolist()), dtype=np.float64).reshape(-1, size) if len(texts) else np.zeros((0, size))
+            if len(found) != len(texts) or not np.isfinite(found.astype(np.float32)).all():
+                raise ValueError("an embedder gives one finite vector a text")
+            return pd.Series(list(found.astype(np.float32)))
+
+        return vectors(text)
 
 
 def new_rows(parsed: DataFrame, fingerprint: str, embedding: Embedding) -> tuple[DataFrame, DataFrame]:
@@ -78,22 +97,18 @@ def new_rows(parsed: DataFrame, fingerprint: str, embedding: Embedding) -> tuple
     return documents, chunks
 
 
-def replaced(rows: DataFrame, key: str, gone: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows without those whose key is gone (a column path), and new ones."""
-    return rows.join(gone.select(F.col("path").alias(key)).distinct(), key, "left_anti").unionByName(new.select(*rows.columns))
-
-
-def ingest_files(index: Index, files: DataFrame, parsing: Parsing | None = None, embedding: Embedding | None = None, present: DataFrame | None = None, deleted: DataFrame | None = None) -> dict[str, Any]:
+def ingest_files(index: Index, files: DataFrame, parsing: Parsing | None = None, embedding: Embedding | None = None, present: DataFrame | None = None, deleted: DataFrame | None = None, failed: DataFrame | None = None) -> dict[str, Any]:
     """Ingests files (path, content, error) and commits. present: all paths there are, if the listing was complete (the
-    others' documents are removed); deleted: paths that are known to be gone."""
+    others' documents are removed); deleted: paths that are known to be gone; failed: outcomes of what couldn't be listed."""
     parsing, embedding = parsing or Parsing(), embedding or Embedding()
     base, old = index.version(), index.tables()
+    index.check_dimensions(embedding.dimensions)
     fingerprint = parsing.fingerprint() + f"/{embedding.model}/{embedding.version}/{embedding.dimensions}"
     hashed = files.withColumn("sha256", F.sha2("content", 256))
     todo = changed(hashed, old["documents"], fingerprint)
-    staged = f"{index.root.rstrip('/')}/staged/v={base + 1}"
-    parse(todo, parsing).write.mode("overwrite").parquet(staged)  # parsed once, used by three tables
-    parsed = index.spark.read.schema("path string, sha256 string, body string, metadata_json string, stage string, error string, chunks array<struct<chunk_id: string, ordinal: int, content: string>>").parquet(staged)
+    staged = f"{index.root.rstrip('/')}/staged/{uuid.uuid4().hex}"
+    parse(todo, parsing).write.parquet(staged)  # parsed once, used by three tables
+    parsed = index.spark.read.schema(PARSED).parquet(staged)
     documents, chunks = new_rows(parsed, fingerprint, embedding)
     removed = deleted
     if present is not None:
@@ -101,12 +116,11 @@ def ingest_files(index: Index, files: DataFrame, parsing: Parsing | None = None,
         removed = lost if removed is None else removed.select("path").union(lost).distinct()
     gone = documents.select("path") if removed is None else documents.select("path").union(removed.select("path"))
     outcomes = parsed.select("path", F.col("sha256").alias("source_hash"), "stage", "error")
-    tables = {
-        "documents": replaced(old["documents"], "path", gone, documents),
-        "chunks": replaced(old["chunks"], "source_path", gone, chunks),
-        "errors": ledger(old["errors"], outcomes, removed),
-    }
-    index.commit(tables, base)
+    outcomes = outcomes if failed is None else outcomes.unionByName(failed)
+    told = outcomes.select("path") if removed is None else outcomes.select("path").union(removed.select("path"))
+    open_before = old["errors"].join(told.select(F.col("path").alias("source_path")).distinct(), "source_path", "left_semi").select(*old["errors"].columns)
+    changes = {"documents": Change(gone, documents), "chunks": Change(gone, chunks), "errors": Change(told, ledger(open_before, outcomes, removed))}
+    index.commit(changes, base, embedding.dimensions)
     done = parsed.agg(F.count_if(F.col("stage").isNull()), F.count_if(F.col("stage").isNotNull())).first()
     seen = files.count()
     return {
@@ -116,10 +130,15 @@ def ingest_files(index: Index, files: DataFrame, parsing: Parsing | None = None,
 
 
 def ingest(index: Index, root: str, parsing: Parsing | None = None, embedding: Embedding | None = None) -> dict[str, Any]:
-    """A whole vault. If a folder couldn't be listed, nothing is removed."""
-    paths, complete = listing(root)
-    present = index.spark.createDataFrame([(p,) for p in paths], "path string") if complete else None
-    return ingest_files(index, read_vault(index.spark, root), parsing, embedding, present) | {"discovery_complete": complete}
+    """A whole vault. If a folder couldn't be listed, nothing is removed and the ledger has it as a failure to discover."""
+    spark = index.spark
+    paths, unread = walked(root)
+    files = read_vault(spark, root)
+    if unread:
+        failed = spark.createDataFrame([(folder, "", "discover", error) for folder, error in unread], "path string, source_hash string, stage string, error string")
+        return ingest_files(index, files, parsing, embedding, failed=failed) | {"discovery_complete": False}
+    present = spark.createDataFrame([(p,) for p in paths], "path string")
+    return ingest_files(index, files, parsing, embedding, present) | {"discovery_complete": True}
 
 
 def backoff(attempt: Column, base: float = 1.0, most: float = 30.0) -> Column:

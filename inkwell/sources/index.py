@@ -1,13 +1,19 @@
-"""An index in Parquet: each commit is a folder of tables, and one small file names the current folder.
+"""An index in Parquet: rows in buckets of their key's hash, and a small manifest that names the folders of a version.
 
-Readers open the folder that is current and keep it; a commit writes a new folder and then replaces the name. One writer
-at a time: a commit fails if another one came between."""
+A commit writes the buckets that it touches to new folders, then publishes a manifest under the next version's name, which
+fails if there is one: of two writers one loses, and a reader sees the whole of one version or of another. Readers take the
+highest version and keep its folders until vacuum() removes them. A change of one note costs one bucket of a table."""
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
 from dataclasses import dataclass
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = {
     "documents": "path string, sha256 string, processing_fingerprint string, metadata_json string, embedding_model string, embedding_version string, ingested_at timestamp, body string, body_sha256 string",
@@ -15,10 +21,25 @@ TABLES = {
     "attributes": "domain string, sha256 string, attributes_json string, updated_at timestamp",
     "errors": "source_path string, source_hash string, stage string, error_details string, attempt_count int, first_seen_at timestamp, last_attempt_at timestamp, status string",
 }
+#: The column whose hash says a row's bucket, and the number of buckets.
+KEYS = {"documents": "path", "chunks": "source_path", "attributes": "sha256", "errors": "source_path"}
+BUCKETS = 64
 
 
 class IndexSchemaError(Exception):
-    """A table or a column is missing."""
+    """A table or a column is missing, or vectors have other dimensions."""
+
+
+@dataclass
+class Change:
+    """New rows for some keys of a table: all rows of the keys (one column) go, rows come."""
+
+    keys: DataFrame
+    rows: DataFrame
+
+
+def bucket_of(key: Column | str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
 @dataclass
@@ -32,38 +53,121 @@ class Index:
     def _files(self):
         return self._path().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _names(self, *parts: str) -> list[str]:
+        path = self._path(*parts)
+        return [s.getPath().getName() for s in self._files().listStatus(path)] if self._files().exists(path) else []
+
+    # Versions --------------------------------------------------------------------------------------------------------
+
     def version(self) -> int:
         """0 if there is no index yet."""
-        if not self._files().exists(self._path("CURRENT")):
-            return 0
-        return int(self.spark.read.text(str(self._path("CURRENT"))).first()[0])
+        found = (re.fullmatch(r"v(\d{12})\.json", n) for n in self._names("manifests"))
+        return max((int(m[1]) for m in found if m), default=0)
 
-    def table(self, name: str, version: int | None = None) -> DataFrame:
+    def manifest(self, version: int | None = None) -> dict[str, Any]:
         version = self.version() if version is None else version
         if not version:
+            return {"tables": {name: {} for name in TABLES}, "dimensions": None}
+        try:
+            return json.loads(self.spark.read.text(str(self._path("manifests", f"v{version:012d}.json")), wholetext=True).first()[0])
+        except Exception as e:
+            raise IndexSchemaError(f"version {version} can't be read") from e
+
+    def _publish(self, version: int, manifest: dict[str, Any]) -> None:
+        """Writes beside and renames without overwriting."""
+        jvm = self.spark.sparkContext._jvm
+        beside, there = self._path("manifests", f".{uuid.uuid4().hex}"), self._path("manifests", f"v{version:012d}.json")
+        out = self._files().create(beside, True)
+        out.write(bytearray(json.dumps(manifest), "utf-8"))
+        out.close()
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._files().getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            context.rename(self._files().makeQualified(beside), self._files().makeQualified(there), options)
+        except Exception as e:
+            self._files().delete(beside, False)
+            raise RuntimeError("another writer has committed") from e
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Deletes what no one of the last `keep` versions names: older manifests, folders of data, staged tables."""
+        last = self.version()
+        kept = {n.split("/")[2] for v in range(max(1, last - keep + 1), last + 1) for t in self.manifest(v)["tables"].values() for n in t.values()}
+        old = [("manifests", n) for n in self._names("manifests") if not n.startswith("v") or int(n[1:13]) <= last - keep]
+        old += [("data", name, n) for name in TABLES for n in self._names("data", name) if n not in kept] + [("staged", n) for n in self._names("staged")]
+        for parts in old:
+            self._files().delete(self._path(*parts), True)
+        return len(old)
+
+    # Tables ----------------------------------------------------------------------------------------------------------
+
+    def _read(self, name: str, folders: list[str]) -> DataFrame:
+        if not folders:
             return self.spark.createDataFrame([], TABLES[name])
         try:
-            rows = self.spark.read.parquet(str(self._path(f"v={version}", name)))
+            rows = self.spark.read.parquet(*(str(self._path(f)) for f in folders))
         except Exception as e:
             raise IndexSchemaError(f"{name} can't be read") from e
         wanted = {f.name: f.dataType for f in self.spark.createDataFrame([], TABLES[name]).schema}
         if any(k not in rows.columns or rows.schema[k].dataType != v for k, v in wanted.items()):
             raise IndexSchemaError(f"{name} lacks a column")
-        return rows
+        return rows.select(*wanted)
+
+    def table(self, name: str, version: int | None = None) -> DataFrame:
+        return self._read(name, sorted(self.manifest(version)["tables"][name].values()))
 
     def tables(self) -> dict[str, DataFrame]:
         """All tables of one commit."""
-        version = self.version()
-        return {name: self.table(name, version) for name in TABLES}
+        manifest = self.manifest()
+        return {name: self._read(name, sorted(manifest["tables"][name].values())) for name in TABLES}
 
-    def commit(self, tables: dict[str, DataFrame], base: int | None = None) -> int:
-        """Writes a new version; tables that aren't given stay as they are. base: the version that they derive from."""
+    def _of_key(self, name: str, key: str) -> DataFrame:
+        """Rows of one key: its bucket is all that is read."""
+        bucket = self.spark.range(1).select(bucket_of(F.lit(key))).first()[0]
+        folder = self.manifest()["tables"][name].get(str(bucket))
+        return self._read(name, [folder] if folder else []).filter(F.col(KEYS[name]) == key)
+
+    def document(self, path: str) -> DataFrame:
+        return self._of_key("documents", path)
+
+    def chunks_of(self, path: str) -> DataFrame:
+        return self._of_key("chunks", path).orderBy("ordinal")
+
+    # Commits ---------------------------------------------------------------------------------------------------------
+
+    def check_dimensions(self, dimensions: int) -> None:
+        known = self.manifest()["dimensions"]
+        if known is not None and known != dimensions:
+            raise IndexSchemaError(f"vectors have {known} dimensions, not {dimensions}")
+
+    def commit(self, changes: dict[str, DataFrame | Change], base: int | None = None, dimensions: int | None = None) -> int:
+        """Publishes a version with new tables (all rows) or changed ones; others stay. base: the version they derive from."""
         base = self.version() if base is None else base
-        new = base + 1
-        for name in TABLES:
-            rows = tables[name] if name in tables else self.table(name, base)
-            rows.select(*(f.name for f in self.spark.createDataFrame([], TABLES[name]).schema)).write.mode("overwrite").parquet(str(self._path(f"v={new}", name)))
-        if self.version() != base:
+        if base != self.version():
             raise RuntimeError("another writer has committed")
-        self.spark.createDataFrame([(str(new),)], "value string").coalesce(1).write.mode("overwrite").text(str(self._path("CURRENT")))
-        return new
+        manifest = self.manifest(base)
+        for name, change in changes.items():
+            manifest["tables"][name] = self._written(name, change, manifest["tables"][name])
+        if dimensions is not None:
+            manifest["dimensions"] = dimensions
+        self._publish(base + 1, manifest)
+        return base + 1
+
+    def _written(self, name: str, change: DataFrame | Change, folders: dict[str, str]) -> dict[str, str]:
+        key, columns = KEYS[name], [f.name for f in self.spark.createDataFrame([], TABLES[name]).schema]
+        touched = None
+        if isinstance(change, Change):
+            keys = change.keys.toDF(key).distinct()
+            found = keys.select(bucket_of(key)).union(change.rows.select(bucket_of(key))).distinct().collect()  # at most BUCKETS rows
+            touched = {str(r[0]) for r in found}
+            old = self._read(name, [f for b, f in folders.items() if b in touched])
+            rows = old.join(keys, key, "left_anti").select(*columns).unionByName(change.rows.select(*columns))
+        else:
+            rows = change.select(*columns)
+        kept = {b: f for b, f in folders.items() if touched is not None and b not in touched}
+        if touched is not None and not touched:
+            return kept
+        folder = f"data/{name}/{uuid.uuid4().hex}"
+        # Buckets of any size: large ones are split, small ones share a task.
+        rows.withColumn("bucket", bucket_of(key)).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(str(self._path(folder)))
+        new = {n.removeprefix("bucket="): f"{folder}/{n}" for n in self._names(folder) if n.startswith("bucket=")}
+        return kept | new

@@ -39,34 +39,52 @@ def debounced(rows: DataFrame, quiet: str = "200 milliseconds", late: str = "1 s
     return rows.withWatermark("ts", late).groupBy("path", F.session_window("ts", quiet)).agg(F.max_by("action", F.struct("ts", "seq")).alias("action"), F.count(F.lit(1)).alias("events"))
 
 
+#: Paths of a batch that are read by name; beyond, the vault is read and joined.
+DUE = 10_000
+
+
 def apply_batch(index: Index, root: str, due: DataFrame, parsing: Parsing | None = None, embedding: Embedding | None = None) -> dict:
-    """Applies actions (path, action; one a path)."""
+    """Applies actions (path, action; one a path). Of few paths only these files are opened."""
     due = due.persist()
     try:
         if not due.filter("action = 'scan'").isEmpty():
             return ingest(index, root, parsing, embedding)
-        files = read_vault(index.spark, root).join(due.filter("action = 'upsert'").select("path"), "path", "left_semi")
+        new = due.filter("action = 'upsert'").select("path")
+        paths = [r[0] for r in new.limit(DUE + 1).collect()]
+        files = read_vault(index.spark, root, paths) if len(paths) <= DUE else read_vault(index.spark, root).join(new, "path", "left_semi")
         return ingest_files(index, files, parsing, embedding, deleted=due.filter("action = 'delete'").select("path"))
     finally:
         due.unpersist()
 
 
-def watch(index: Index, root: str, events: DataFrame, checkpoint: str, parsing: Parsing | None = None, embedding: Embedding | None = None, interval: str | None = None, attempts: int = 3, wait: Callable[[float], None] | None = None) -> StreamingQuery:
+def watch(
+    index: Index, root: str, events: DataFrame, checkpoint: str, parsing: Parsing | None = None, embedding: Embedding | None = None, interval: str | None = None, attempts: int = 3,
+    wait: Callable[[float], None] | None = None, quiet: str | None = None, reconcile: float | None = None,
+) -> StreamingQuery:
     """Starts the stream: it applies what each trigger brings, retrying with growing pauses. interval None: what there
-    is, then it stops. A full ingest beside it (say every five minutes) catches what events missed."""
+    is, then it stops. quiet: a path's events are held, as state of the stream, until it had none for so long; None: the last
+    event of a batch counts. reconcile: seconds after which a batch ingests the whole vault, which catches what
+    events missed; it needs events to go on, so a host without any calls ingest() by itself."""
     import time
 
-    pause = wait or time.sleep
+    pause, last = wait or time.sleep, [time.monotonic()]
+    rows = debounced(actions(events), quiet) if quiet else events
 
     def batch(rows: DataFrame, _: int) -> None:
         for attempt in range(attempts):
             try:
-                apply_batch(index, root, latest(actions(rows)), parsing, embedding)
+                # More than one burst of a path may end in one batch.
+                due = latest(rows.withColumnRenamed("session_window", "ts").withColumn("seq", F.lit(0)) if quiet else actions(rows))
+                if reconcile is not None and time.monotonic() - last[0] >= reconcile:
+                    ingest(index, root, parsing, embedding)
+                    last[0] = time.monotonic()
+                elif not quiet or not rows.isEmpty():
+                    apply_batch(index, root, due, parsing, embedding)
                 return
             except Exception:
                 if attempt + 1 == attempts:
                     raise
                 pause(min(30.0, 2.0**attempt))
 
-    writer = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    writer = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

@@ -125,7 +125,7 @@ def test_language_model_layer(spark):
     found = {r["sha256"]: (r["llm"]["status"], r["risk_score"]) for r in audit.evaluate(items, config).collect()}
     assert found == {"a": ("ok", 2), "b": ("error", 5), "c": ("parse_error", 0), "d": ("skipped", 0), "e": ("ok", 10)}
     lowered = audit.AuditConfig(risk_policy=lambda rows: F.lit(99))
-    assert {r[0] for r in audit.evaluate(items, lowered).select("risk_score").collect()} == {10}
+    assert {(r[0], r[1]) for r in audit.evaluate(items, lowered).select("skip_reason", "risk_score").collect()} == {(None, 10), ("oversize", 0)}
     for bad in ("", "[1]", '{"risk_score": true}', '{"a": 1}'):
         with pytest.raises(ValueError):
             audit.reply(bad)
