@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.jsonkind import as_type, json_value, kind_of
 
-FIELD = re.compile(r"[A-Za-z_][A-Za-z0-9_-]*(\.[A-Za-z_][A-Za-z0-9_-]*)*")
+FIELD = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)*")
 ORDER = ("lt", "lte", "gt", "gte")
 #: Limits of requests.
 FIELDS, FIELD_LENGTH, VALUES, TEXT_LENGTH = 20, 128, 20, 1000

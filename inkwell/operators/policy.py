@@ -13,13 +13,17 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+ACTIONS = ("allow", "hide", "null")
 DECISION = "action string, disclose_metadata boolean, disclose_source boolean, disclose_attributes boolean"
 
 
 def decision(action: Column | str = "allow", metadata: Column | bool = True, source: Column | bool = True, attributes: Column | bool = True) -> Column:
-    """action: allow, hide (the row) or null (its content)."""
+    """action: allow, hide (the row) or null (its content). Any other one, or none, fails the query; a null disclosure is
+    none."""
     col = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return F.struct(col(action).alias("action"), col(metadata).alias("disclose_metadata"), col(source).alias("disclose_source"), col(attributes).alias("disclose_attributes"))
+    known = F.when(col(action).isin(*ACTIONS), col(action)).otherwise(F.raise_error(F.lit("a policy gave no valid decision")))
+    shown = lambda x: F.coalesce(col(x), F.lit(False))
+    return F.struct(known.alias("action"), shown(metadata).alias("disclose_metadata"), shown(source).alias("disclose_source"), shown(attributes).alias("disclose_attributes"))
 
 
 @dataclass
@@ -47,7 +51,7 @@ def python_decision(function: Callable[..., dict[str, Any]], *columns: str) -> C
         for series in batches:
             series = (series,) if isinstance(series, pd.Series) else series
             rows = [{"action": "allow", "disclose_metadata": True, "disclose_source": True, "disclose_attributes": True} | function(*values) for values in zip(*series, strict=True)]
-            if any(set(r) != {"action", "disclose_metadata", "disclose_source", "disclose_attributes"} or r["action"] not in ("allow", "hide", "null") for r in rows):
+            if any(set(r) != {"action", "disclose_metadata", "disclose_source", "disclose_attributes"} or r["action"] not in ACTIONS for r in rows):
                 raise ValueError("a policy gave no valid decision")
             yield pd.DataFrame(rows, columns=["action", "disclose_metadata", "disclose_source", "disclose_attributes"])
 

@@ -1,18 +1,22 @@
 """Search over an index: documents, chunks, and attributes that belong to a content hash.
 
 documents(path, metadata_json, body_sha256, ...), chunks(chunk_id, source_path, ordinal, content, content_sha256, tokens,
-embedding), attributes(domain, sha256, attributes_json). Every tool builds one lazy DataFrame: joins, filters and the
-policy come before the order and the limit, which Spark runs as one top-k."""
+embedding), attributes(domain, sha256, attributes_json). Every tool builds one DataFrame: joins, filters and the policy
+come before the order and the limit, which Spark runs as one top-k. It is lazy, but for what a request has to know first:
+corpus statistics of a phrase without a policy, and the embedding spaces there are (one small row each)."""
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType
 
 from inkwell.functions.jsonkind import as_type, json_value, kind_of
 from inkwell.functions.text import cosine_distance, fold, phrase_count
@@ -49,17 +53,23 @@ class SearchConfig:
 
 @dataclass
 class Page:
-    """Rows of one request, still lazy, one more than asked for if there are more."""
+    """Rows of one request, still lazy, one more than asked for if there are more. Of a hybrid request the column arms_full
+    tells that an arm had more rows than its window."""
 
     rows: DataFrame
     limit: int
     offset: int = 0
+    window: int | None = None
 
     def collect(self) -> dict[str, Any]:
         found = [r.asDict(recursive=True) for r in self.rows.collect()]
+        full = any([r.pop("arms_full", False) for r in found])
         more = len(found) > self.limit
         after = self.offset + self.limit
-        return {"results": found[: self.limit], "truncated": more, "next_offset": after if more and after <= OFFSETS else None, "pagination_truncated": more and after > OFFSETS}
+        page = {"results": found[: self.limit], "truncated": more or full}
+        if self.window is not None:
+            return page | {"candidate_window": self.window}
+        return page | {"next_offset": after if more and after <= OFFSETS else None, "pagination_truncated": more and after > OFFSETS}
 
 
 def bm25(f: Column, length: Column, rows: int, matching: int, average: float) -> Column:
@@ -75,6 +85,12 @@ def limit_of(limit: int, most: int) -> int:
     return limit
 
 
+def offset_of(offset: int) -> int:
+    if isinstance(offset, bool) or not isinstance(offset, int) or not 0 <= offset <= OFFSETS:
+        raise ValueError(f"offset is 0 to {OFFSETS}")
+    return offset
+
+
 def text_of(query: str) -> str:
     if not isinstance(query, str) or not 1 <= len(query) <= 1000 or not query.strip():
         raise ValueError("a query has 1 to 1000 characters")
@@ -107,10 +123,14 @@ class Search:
         rows = rows.filter(F.col("document_decision.action") != "hide").filter(where(metadata, "metadata_json")).filter(where(attributes, "document_attributes_json"))
         if metadata:
             rows = rows.filter("document_decision.disclose_metadata")
-        if any(f.split(".")[0] in self.config.document_attribute_keys for f in attributes or {}):
+        if self._gated(attributes, self.config.document_attribute_keys):
             rows = rows.filter("document_decision.disclose_attributes")
         return rows
 
+    def _gated(self, filters: dict | None, keys: tuple[str, ...]) -> bool:
+        """Whether a filter names an exposed key, so that its answer would tell an attribute that isn't disclosed."""
+        return any(f.split(".")[0] in keys for f in filters or {})
+
     def _chunks(self, metadata: dict | None, document_attributes: dict | None, attributes: dict | None) -> DataFrame:
         known = self._attributes("chunk", "chunk")
         own = self._documents(metadata, document_attributes)
@@ -120,16 +140,14 @@ class Search:
         rows = rows.filter(F.col("chunk_decision.action") != "hide").filter(where(attributes, "chunk_attributes_json"))
         if metadata:
             rows = rows.filter("chunk_decision.disclose_metadata")
-        if any(f.split(".")[0] in self.config.chunk_attribute_keys for f in attributes or {}):
-            rows = rows.filter("chunk_decision.disclose_attributes")
+        if self._gated(document_attributes, self.config.document_attribute_keys) or self._gated(attributes, self.config.chunk_attribute_keys):
+            rows = rows.filter("document_decision.disclose_attributes and chunk_decision.disclose_attributes")
         return rows
 
     def _only(self, column: str, keys: tuple[str, ...]) -> Column:
-        """The exposed keys of an attributes object, as a map to JSON texts; null without an object."""
-        value = F.try_parse_json(F.col(column))
-        entries = [F.struct(F.lit(k).alias("key"), F.to_json(F.try_variant_get(value, f"$.{k}", "variant")).alias("value")) for k in keys]
-        some = F.filter(F.array(*entries), lambda e: e["value"].isNotNull()) if entries else F.array().cast("array<struct<key: string, value: string>>")
-        return F.when(F.col(column).isNotNull(), F.map_from_entries(some))
+        """The exposed keys of an attributes object, as a map to JSON texts; null without an object. It is edited as text for
+        the rows of a page alone: a variant would turn 1.0 into 1."""
+        return exposed(F.col(column), F.lit(",".join(keys))) if keys else F.when(F.col(column).isNotNull(), F.create_map().cast("map<string, string>"))
 
     def _document_columns(self, decisions: tuple[str, ...]) -> list[Column]:
         def shown(what: str, value: Column) -> Column:
@@ -150,7 +168,7 @@ class Search:
         return [
             F.col("chunk_id"),
             *self._document_columns(("document_decision", "chunk_decision")),
-            F.when(F.col("chunk_decision.disclose_attributes"), self._only("chunk_attributes_json", self.config.chunk_attribute_keys)).alias("chunk_attributes"),
+            F.when(F.col("document_decision.disclose_attributes") & F.col("chunk_decision.disclose_attributes"), self._only("chunk_attributes_json", self.config.chunk_attribute_keys)).alias("chunk_attributes"),
             F.when(~null, F.substring("content", 1, most)).alias("content"),
             (~null & (F.length("content") > most)).alias("content_truncated"),
         ]
@@ -164,9 +182,7 @@ class Search:
 
     def metadata_search(self, metadata_filters: dict | None = None, limit: int = 10, offset: int = 0, document_attribute_filters: dict | None = None) -> Page:
         a = self._request("metadata_search", metadata_filters=metadata_filters, limit=limit, offset=offset, document_attribute_filters=document_attribute_filters)
-        n, skip = limit_of(a["limit"], self.config.max_limit), a["offset"]
-        if isinstance(skip, bool) or not isinstance(skip, int) or not 0 <= skip <= OFFSETS:
-            raise ValueError(f"offset is 0 to {OFFSETS}")
+        n, skip = limit_of(a["limit"], self.config.max_limit), offset_of(a["offset"])
         rows = self._documents(a["metadata_filters"], a["document_attribute_filters"]).orderBy("path").offset(skip).limit(n + 1)
         return Page(rows.select(*self._document_columns(("document_decision",))), n, skip)
 
@@ -236,18 +252,19 @@ class Search:
     def hybrid_knowledge_search(self, semantic_query: str, keyword_query: str, metadata_filters: dict | None = None, limit: int = 10, document_attribute_filters: dict | None = None, chunk_attribute_filters: dict | None = None) -> Page:
         a = self._request("hybrid_knowledge_search", semantic_query=semantic_query, keyword_query=keyword_query, metadata_filters=metadata_filters, limit=limit, document_attribute_filters=document_attribute_filters, chunk_attribute_filters=chunk_attribute_filters)
         n = limit_of(a["limit"], self.config.max_limit)
-        rows = self._chunks(a["metadata_filters"], a["document_attribute_filters"], a["chunk_attribute_filters"])
-        texts = self._ranked_text(a["keyword_query"], rows).select("chunk_id", *self.ORDER[:2], "score")
-        vectors = self._ranked_vectors(self._embedded(a["semantic_query"]), rows).select("chunk_id", *self.ORDER[:2], "distance")
-        both = fuse(texts, vectors, self.config.candidate_limit, self.ORDER)
-        found = both.join(rows.drop("source_path", "ordinal"), "chunk_id").orderBy(F.desc("relevance"), *self.ORDER).limit(n + 1)
-        return Page(found.select(*self._chunk_columns(), "relevance", "fts_rank", F.col("score").alias("fts_score"), "vector_rank", "distance"), n)
+        rows, window = self._chunks(a["metadata_filters"], a["document_attribute_filters"], a["chunk_attribute_filters"]), self.config.candidate_limit
+        # The arms' windows carry what is needed for the output, so that the rows aren't looked up again.
+        carried = [c for c in (*self.ORDER, "content", "metadata_json", "path", "document_attributes_json", "chunk_attributes_json", "document_decision", "chunk_decision")]
+        texts = self._ranked_text(a["keyword_query"], rows).select(*carried, "score")
+        vectors = self._ranked_vectors(self._embedded(a["semantic_query"]), rows).select(*carried, "distance")
+        found = fuse(texts, vectors, window, self.ORDER).orderBy(F.desc("relevance"), *self.ORDER).limit(n + 1)
+        return Page(found.select(*self._chunk_columns(), "relevance", "fts_rank", F.col("score").alias("fts_score"), "vector_rank", "distance", "arms_full"), n, window=window)
 
     def get_distinct_metadata(self, field_name: str, limit: int = 10, offset: int = 0) -> Page:
         a = self._request("get_distinct_metadata", field=field_name, limit=limit, offset=offset)
-        n = limit_of(a["limit"], self.config.max_limit)
+        n, skip = limit_of(a["limit"], self.config.max_limit), offset_of(a["offset"])
         rows = self._documents(None, None).filter("document_decision.disclose_metadata")
-        return Page(distinct_values(rows, "metadata_json", a["field"]).orderBy("kind", "number", "value").offset(a["offset"]).limit(n + 1).drop("number"), n, a["offset"])
+        return Page(distinct_values(rows, "metadata_json", a["field"]).orderBy("kind", "number", "value").offset(skip).limit(n + 1).drop("number"), n, skip)
 
     def get_chunk(self, chunk_id: str) -> dict[str, Any] | None:
         a = self._request("get_chunk", chunk_id=chunk_id)
@@ -258,22 +275,49 @@ class Search:
 
 
 def fuse(texts: DataFrame, vectors: DataFrame, window: int, order: tuple[str, ...]) -> DataFrame:
-    """Reciprocal-rank fusion of two arms with score and distance, each cut to its best `window` rows first.
+    """Reciprocal-rank fusion of two arms with score and distance, each cut to its best `window` rows first. Other columns
+    are the same in both. arms_full tells whether an arm had more rows.
 
-    Windows without a partition see those rows only."""
+    Windows without a partition see those rows (and one more) only."""
 
     def arm(rows: DataFrame, by: str, rank: str) -> DataFrame:
-        top = rows.orderBy(by, *order).limit(window)
-        return top.withColumn(rank, F.row_number().over(Window.orderBy(by, *order)).cast("bigint"))
+        top = rows.orderBy(by, *order).limit(window + 1)
+        ranked = top.withColumn(rank, F.row_number().over(Window.orderBy(by, *order)).cast("bigint"))
+        return ranked.withColumn("arms_full", F.max(F.col(rank) > window).over(Window.partitionBy())).filter(F.col(rank) <= window)
 
+    shared = [c for c in texts.columns if c in vectors.columns and c != "chunk_id"]
     a = arm(texts, "score", "fts_rank")
-    b = arm(vectors, "distance", "vector_rank").withColumnsRenamed({c: f"_{c}" for c in order if c != "chunk_id"})
+    b = arm(vectors, "distance", "vector_rank").withColumnsRenamed({c: f"_{c}" for c in [*shared, "arms_full"]})
     both = a.join(b, "chunk_id", "full_outer")
-    for c in order:
-        if c != "chunk_id":
-            both = both.withColumn(c, F.coalesce(c, f"_{c}")).drop(f"_{c}")
+    for c in shared:
+        both = both.withColumn(c, F.coalesce(c, f"_{c}")).drop(f"_{c}")
+    full = F.max(F.coalesce("arms_full", F.lit(False)) | F.coalesce("_arms_full", F.lit(False))).over(Window.partitionBy())
     share = lambda rank: F.coalesce(1.0 / (F.lit(RRF) + F.col(rank)), F.lit(0.0))
-    return both.withColumn("relevance", share("fts_rank") + share("vector_rank"))
+    return both.withColumn("arms_full", full).drop("_arms_full").withColumn("relevance", share("fts_rank") + share("vector_rank"))
+
+
+@F.pandas_udf(MapType(StringType(), StringType()))
+def exposed(objects: pd.Series, keys: pd.Series) -> pd.Series:
+    """Some keys of JSON objects with their values as JSON texts."""
+
+    def some(text: str | None, names: str) -> dict[str, str] | None:
+        if text is None:
+            return None
+        found = json.loads(text)
+        return {k: json.dumps(found[k], ensure_ascii=False, sort_keys=True, separators=(",", ":")) for k in names.split(",") if k in found}
+
+    return pd.Series([some(o, k) for o, k in zip(objects, keys, strict=True)])
+
+
+def untyped_values(rows: DataFrame, column: str, field_name: str) -> DataFrame:
+    """Distinct scalars at a path, whatever their kinds: class (0 null or nothing, 1 numbers and booleans, 2 texts: their
+    order), number, value. 1, 1.0 and true are one."""
+    found = rows.select(json_value(column, field_name).alias("v"))
+    kind = kind_of(F.col("v"))
+    number = F.when(kind.isin("integer", "real"), as_type(F.col("v"), "double")).when(kind.isin("true", "false"), (kind == "true").cast("double"))
+    text = F.when(kind == "text", as_type(F.col("v"), "string"))
+    rank = F.when(number.isNotNull(), 1).when(text.isNotNull(), 2).when(kind.isNull() | (kind == "null"), 0)
+    return found.select(rank.alias("class"), number.alias("number"), text.alias("value")).filter("class is not null").distinct()
 
 
 def distinct_values(rows: DataFrame, column: str, field_name: str) -> DataFrame:

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
 from inkwell.functions.jsonkind import json_kind
-from inkwell.operators import attributes, audit, filters
+from inkwell.operators import attributes, audit, filters, textquery
 from inkwell.operators.policy import Policy, decision
-from inkwell.operators.search import Search, SearchConfig, bm25, distinct_values, fuse
+from inkwell.operators.search import Search, SearchConfig, distinct_values, untyped_values
 from inkwell.plans.ingest import backoff, changed, ledger, vanished
 from inkwell.sources.markdown import Chunking, Parsing, hashing_embedding, parse
-from inkwell.streaming.watch import latest
+from inkwell.streaming.watch import debounced, latest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,8 +35,14 @@ def query(sql: str | None = None):
     return add
 
 
+#: Bytes a core below which documents are dealt out anew: so small a file may be one row group, which one task would read alone.
+SMALL = 8 << 20
+
+
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name == "documents" and df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < SMALL * cores else df
 
 
 def corpus(spark: SparkSession, d: str, nulls: bool = False) -> DataFrame:
@@ -143,8 +149,7 @@ def distinct_meta(spark, d):
 
 @query(f"WITH {CORPUS} SELECT DISTINCT CASE WHEN quality IS NULL THEN 0 ELSE 1 END AS class, CAST(quality AS DOUBLE) AS number FROM c")
 def distinct_values_untyped(spark, d):
-    value = distinct_values(corpus(spark, d, nulls=True), "metadata_json", "quality")
-    return value.select(F.when(F.col("kind") == "null", 0).when(F.col("number").isNotNull(), 1).otherwise(2).alias("class"), "number").distinct()
+    return untyped_values(corpus(spark, d, nulls=True), "metadata_json", "quality").select("class", "number")
 
 
 # Full text -----------------------------------------------------------------------------------------------------------
@@ -159,33 +164,64 @@ def matched(*phrase: str) -> str:
 
 SCORED = """s AS (SELECT count(*) AS rows_all, count(*) FILTER (WHERE f > 0) AS hits, avg(n) AS mean FROM f),
 i AS (SELECT *, CASE WHEN ln((rows_all - hits + 0.5) / (hits + 0.5)) > 0 THEN ln((rows_all - hits + 0.5) / (hits + 0.5)) ELSE 1e-6 END AS idf FROM s)
-SELECT path, f, round(-idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS score FROM f, i WHERE f > 0"""
+SELECT path, round(-idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS score FROM f, i WHERE f > 0"""
 
 
-def scored(spark: SparkSession, d: str, words: str, condition: Column | None = None) -> DataFrame:
-    rows = chunked(corpus(spark, d))
-    f = T.phrase_count(F.col("tokens"), T.fold(words))
-    counted = rows.select(F.col("source_path").alias("path"), f.alias("f"), F.size("tokens").alias("n"))
-    total = counted.agg(F.count(F.lit(1)), F.count_if(F.col("f") > 0), F.avg("n")).first()
-    return counted.filter("f > 0").select("path", F.col("f").cast("bigint").alias("f"), F.round(bm25(F.col("f"), F.col("n"), *total), 6).alias("score"))
+def scored(spark: SparkSession, d: str, expression: textquery.Expression) -> DataFrame:
+    """All matching rows of a text query with their scores. Counts are found once a row and kept for the two passes."""
+    words = chunked(corpus(spark, d)).select(F.col("source_path").alias("path"), "tokens")
+    return textquery.ranked(words, expression).select("path", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {CORPUS}, {WORDS}, {matched('of')}, {SCORED}")
 def fts_term(spark, d):
-    return scored(spark, d, "of")
+    return scored(spark, d, textquery.phrase("of"))
 
 
 @query(f"WITH {CORPUS}, {WORDS}, {matched('of', 'the')}, {SCORED}")
 def fts_phrase(spark, d):
-    return scored(spark, d, "of the")
+    return scored(spark, d, textquery.phrase("of the"))
 
 
-@query(f"WITH {CORPUS}, {WORDS}, {matched('of')}, {SCORED} AND lang = 'en' AND quality = 1 ORDER BY -idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean)), path LIMIT 11".replace("SELECT path, f,", "SELECT path AS source_file,"))
+@query(f"WITH {CORPUS}, {WORDS}, {matched('of')}, {SCORED} AND lang = 'en' AND quality = 1 ORDER BY -idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean)), path LIMIT 11".replace("SELECT path,", "SELECT path AS source_file,"))
 def fts_filtered(spark, d):
     page = engine(spark, d).full_text_search("of", {"lang": "en", "quality": 1}, limit=10)
     return page.rows.select("source_file", F.round("score", 6).alias("score"))
 
 
+def hits(name: str, condition: str) -> str:
+    """How often a lambda's condition on a place i (from 1) holds in t."""
+    return f"len(list_filter(range(1, len(t) + 1), lambda i: {condition})) AS {name}"
+
+
+def several(*names: str) -> str:
+    """Sum of the scores of counts, in all rows."""
+    stats = ", ".join(f"count(*) FILTER (WHERE {n} > 0) AS h_{n}" for n in names)
+    idf = lambda n: f"CASE WHEN ln((rows_all - h_{n} + 0.5) / (h_{n} + 0.5)) > 0 THEN ln((rows_all - h_{n} + 0.5) / (h_{n} + 0.5)) ELSE 1e-6 END"
+    score = " + ".join(f"(-({idf(n)}) * {n} * 2.2 / ({n} + 1.2 * (0.25 + 0.75 * len(t) / mean)))" for n in names)
+    return f"s AS (SELECT count(*) AS rows_all, avg(len(t)) AS mean, {stats} FROM f) SELECT path, round({score}, 6) AS score FROM f, s"
+
+
+@query(f"WITH {CORPUS}, {WORDS}, f AS (SELECT *, {hits('a', "t[i] = 'of' AND t[i + 1] = 'the'")}, {hits('b', "t[i] = 'license'")}, {hits('x', "t[i] = 'in'")} FROM w), {several('a', 'b')} WHERE (a > 0 OR b > 0) AND x = 0")
+def fts_boolean(spark, d):
+    return scored(spark, d, textquery.all_of(textquery.any_of(textquery.phrase("of the"), textquery.phrase("LICENSE")), textquery.none_of(textquery.phrase("in"))))
+
+
+@query(f"WITH {CORPUS}, {WORDS}, f AS (SELECT *, {hits('a', "starts_with(t[i], 'licen')")} FROM w), {several('a')} WHERE a > 0")
+def fts_prefix(spark, d):
+    return scored(spark, d, textquery.prefix("licen"))
+
+
+@query(f"WITH {CORPUS}, {WORDS}, f AS (SELECT *, {hits('a', "t[i] = 'under'")}, {hits('b', "t[i] = 'license'")}, {hits('p', "t[i] = 'under' AND list_contains(t[greatest(i - 4, 1):i + 4], 'license')")} FROM w), {several('a', 'b')} WHERE p > 0")
+def fts_near(spark, d):
+    return scored(spark, d, textquery.near(textquery.phrase("under"), textquery.phrase("license"), distance=3))
+
+
+@query(f"WITH {CORPUS}, {WORDS}, f AS (SELECT *, CASE WHEN t[1] = 'the' THEN 1 ELSE 0 END AS a FROM w), {several('a')} WHERE a > 0")
+def fts_first(spark, d):
+    return scored(spark, d, textquery.phrase("the", first=True))
+
+
 def no_toxic() -> Policy:
     return Policy(document=lambda: decision(F.when(F.get_json_object("metadata_json", "$.toxic") == "1", "hide").otherwise("allow")))
 
@@ -218,14 +254,30 @@ def vec_distances(spark, d):
     return distances(spark, d).select("vec_id", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
+def vectors(spark: SparkSession, d: str) -> tuple[Search, list[float]]:
+    """embeddings as documents of one chunk, their labels as metadata; and the first vector."""
+    rows = read(spark, d, "embeddings").withColumn("path", F.lpad(F.col("vec_id").cast("string"), 12, "0"))
+    documents = rows.select("path", F.to_json(F.struct("label")).alias("metadata_json"), T.content_hash("path").alias("body_sha256"), F.lit("m").alias("embedding_model"), F.lit("1").alias("embedding_version"))
+    chunks = rows.select(T.chunk_id(F.col("path"), F.lit(0)).alias("chunk_id"), F.col("path").alias("source_path"), F.lit(0).alias("ordinal"), F.lit("").alias("content"), T.content_hash("path").alias("content_sha256"), F.array().cast("array<string>").alias("tokens"), "embedding")
+    one = [float(x) for x in rows.orderBy("vec_id").limit(1).first()["embedding"]]
+    config = SearchConfig(embedding_space="given", embedding_model="m", embedding_version="1", dimensions=len(one))
+    return Search(documents, chunks, labels_as_attributes(spark, d).limit(0), config), one
+
+
+def nearest(page: DataFrame) -> DataFrame:
+    return page.select(F.col("source_file").cast("bigint").alias("vec_id"), (F.round("distance", 6) + 0.0).alias("distance"))
+
+
 @query(f"WITH {NEAREST} SELECT vec_id, round(dist.distance, 6) + 0.0 AS distance FROM dist ORDER BY dist.distance, vec_id LIMIT 20")
 def vec_topk(spark, d):
-    return distances(spark, d).orderBy("distance", "vec_id").limit(20).select("vec_id", (F.round("distance", 6) + 0.0).alias("distance"))
+    search, one = vectors(spark, d)
+    return nearest(search.vector_search(one, "given", limit=19).rows)
 
 
 @query(f"WITH {NEAREST} SELECT vec_id, round(dist.distance, 6) + 0.0 AS distance FROM dist WHERE label = 3 ORDER BY dist.distance, vec_id LIMIT 20")
 def vec_filtered(spark, d):
-    return distances(spark, d).filter("label = 3").orderBy("distance", "vec_id").limit(20).select("vec_id", (F.round("distance", 6) + 0.0).alias("distance"))
+    search, one = vectors(spark, d)
+    return nearest(search.vector_search(one, "given", {"label": 3}, limit=19).rows)
 
 
 @query()
@@ -238,21 +290,33 @@ def semantic_topk(spark, d):
     return search.semantic_search("the end of the world", limit=10).rows.select("source_file", F.round("distance", 6).alias("distance"))
 
 
-@query(
-    f"""WITH {CORPUS}, {WORDS}, {matched('the')}, s AS (SELECT count(*) AS rows_all, count(*) FILTER (WHERE f > 0) AS hits, avg(n) AS mean FROM f),
+HYBRID = f"""WITH {CORPUS}, {WORDS}, {matched('the')}, {NEAREST},
+b AS (SELECT f.*, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS p, distance FROM f JOIN dist ON vec_id = doc_id),
+s AS (SELECT count(*) AS rows_all, count(*) FILTER (WHERE f > 0) AS hits, avg(n) AS mean FROM b),
 i AS (SELECT *, CASE WHEN ln((rows_all - hits + 0.5) / (hits + 0.5)) > 0 THEN ln((rows_all - hits + 0.5) / (hits + 0.5)) ELSE 1e-6 END AS idf FROM s),
-texts AS (SELECT doc_id, -idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean)) AS score FROM f, i WHERE f > 0),
-{NEAREST}, tr AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9), doc_id) AS fts_rank FROM texts QUALIFY fts_rank <= 100),
-vr AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY round(distance, 9), vec_id) AS vector_rank FROM dist QUALIFY vector_rank <= 100)
-SELECT coalesce(tr.doc_id, vr.doc_id) AS doc_id, coalesce(fts_rank, 0) AS fts_rank, coalesce(vector_rank, 0) AS vector_rank, round(coalesce(1.0 / (60 + fts_rank), 0) + coalesce(1.0 / (60 + vector_rank), 0), 9) AS relevance FROM tr FULL OUTER JOIN vr ON tr.doc_id = vr.doc_id"""
-)
+tr AS (SELECT p, row_number() OVER (ORDER BY -idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean)), p) AS fts_rank FROM b, i WHERE f > 0 QUALIFY fts_rank <= 100),
+vr AS (SELECT p, row_number() OVER (ORDER BY distance, p) AS vector_rank FROM b QUALIFY vector_rank <= 100),
+u AS (SELECT coalesce(tr.p, vr.p) AS p, coalesce(fts_rank, 0) AS fts_rank, coalesce(vector_rank, 0) AS vector_rank, coalesce(1.0 / (60 + fts_rank), 0) + coalesce(1.0 / (60 + vector_rank), 0) AS relevance FROM tr FULL OUTER JOIN vr ON tr.p = vr.p)
+SELECT CAST(p AS BIGINT) AS doc_id, fts_rank, vector_rank, round(relevance, 9) AS relevance FROM u ORDER BY u.relevance DESC, p LIMIT """
+
+
+def hybrid(spark: SparkSession, d: str, limit: int) -> DataFrame:
+    given, one = vectors(spark, d)
+    texts = read(spark, d, "documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("source_path"), F.col("text").alias("content"), T.tokens("text").alias("tokens"))
+    own = given.chunks.drop("content", "tokens").join(texts, "source_path")
+    search = Search(given.documents, own, given.attributes, given.config, embed=lambda _: [one])
+    found = search.hybrid_knowledge_search("the first vector", "the", limit=limit).rows
+    return found.select(F.col("source_file").cast("bigint").alias("doc_id"), *(F.coalesce(r, F.lit(0)).alias(r) for r in ("fts_rank", "vector_rank")), F.round("relevance", 9).alias("relevance"))
+
+
+@query(HYBRID + "51")
 def hybrid_rrf(spark, d):
-    rows = chunked(corpus(spark, d)).withColumn("doc_id", F.regexp_extract("source_path", r"/(\d+)\.md$", 1).cast("bigint"))
-    f = T.phrase_count(F.col("tokens"), ["the"])
-    total = rows.agg(F.count(F.lit(1)), F.count_if(f > 0), F.avg(F.size("tokens"))).first()
-    texts = rows.filter(f > 0).select(F.col("doc_id").alias("chunk_id"), F.round(bm25(f, F.size("tokens"), *total), 9).alias("score"))
-    vectors = distances(spark, d).select(F.col("vec_id").alias("chunk_id"), F.round("distance", 9).alias("distance"))
-    return fuse(texts, vectors, 100, ("chunk_id",)).select(F.col("chunk_id").alias("doc_id"), *(F.coalesce(r, F.lit(0)).alias(r) for r in ("fts_rank", "vector_rank")), F.round("relevance", 9).alias("relevance"))
+    return hybrid(spark, d, 50)
+
+
+@query(HYBRID + "11")
+def hybrid_page(spark, d):
+    return hybrid(spark, d, 10)
 
 
 # Content -------------------------------------------------------------------------------------------------------------
@@ -321,10 +385,10 @@ def attr_upsert(spark, d):
     return after.select("sha256", number("$.review.quality").alias("quality"), number("$.length", "bigint").alias("length"))
 
 
-@query(f"WITH {ATTRIBUTES} SELECT count(*) AS n, count(DISTINCT sha256) AS n_hashes FROM (SELECT sha256 FROM a UNION ALL SELECT DISTINCT sha256(text) FROM documents WHERE sha256(text) NOT IN (SELECT sha256 FROM a))")
+@query(f"WITH {ATTRIBUTES} SELECT sha256, quality FROM a UNION ALL SELECT DISTINCT sha256(text) AS sha256, -1 AS quality FROM documents WHERE sha256(text) NOT IN (SELECT sha256 FROM a)")
 def attr_insert_absent(spark, d):
     new = corpus(spark, d).select(F.lit("document").alias("domain"), F.col("body_sha256").alias("sha256"), F.lit("{}").alias("attributes_json"), F.lit("2024-01-01").cast("timestamp").alias("updated_at"))
-    return attributes.insert_absent(labels_as_attributes(spark, d), new).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sha256").alias("n_hashes"))
+    return attributes.insert_absent(labels_as_attributes(spark, d), new).select("sha256", number("$.review.quality").alias("quality"))
 
 
 # Policies ------------------------------------------------------------------------------------------------------------
@@ -342,14 +406,26 @@ def policy_null(spark, d):
     return engine(spark, d, policy).full_text_search("the", limit=10).rows.select("source_file", "content", "content_truncated")
 
 
-@query(f"WITH {CORPUS} SELECT path AS source_file, CASE WHEN lang = 'en' THEN n_chars END AS n_chars FROM c WHERE quality = 1 AND lang = 'en' ORDER BY path LIMIT 51")
+def english_only(**what: Column) -> Policy:
+    """Of notes in other languages nothing of the given kinds is told."""
+    english = F.coalesce(F.get_json_object("metadata_json", "$.lang") == "en", F.lit(False))
+    return Policy(document=lambda: decision(**dict.fromkeys(what, english)))
+
+
+@query(f"WITH {CORPUS} SELECT path AS source_file, CASE WHEN lang = 'en' THEN n_chars END AS n_chars FROM c ORDER BY path LIMIT 51")
 def policy_disclosure(spark, d):
-    english = F.get_json_object("metadata_json", "$.lang") == "en"
-    policy = Policy(document=lambda: decision(metadata=F.coalesce(english, F.lit(False))))
-    rows = engine(spark, d, policy).metadata_search({"quality": 1}, limit=50).rows  # a filter needs disclosed metadata
+    rows = engine(spark, d, english_only(metadata=True)).metadata_search(limit=50).rows
     return rows.select("source_file", F.get_json_object("metadata", "$.n_chars").cast("bigint").alias("n_chars"))
 
 
+@query(f"WITH {CORPUS}, {ATTRIBUTES} SELECT path AS source_file, quality FROM (SELECT c.path, c.lang, a.quality FROM c JOIN a ON a.sha256 = sha256(c.text) WHERE a.quality = 1) WHERE lang = 'en' ORDER BY path LIMIT 51")
+def policy_attribute_gate(spark, d):
+    """A filter on an attribute finds no chunk whose attributes aren't disclosed, whatever the chunk's own decision."""
+    search = engine(spark, d, english_only(attributes=True))
+    rows = search._chunks(None, {"review.quality": 1}, None).orderBy(*search.ORDER).limit(51).select(*search._chunk_columns())
+    return rows.select("source_file", F.get_json_object(F.col("document_attributes")["review"], "$.quality").cast("bigint").alias("quality"))
+
+
 # Incremental ---------------------------------------------------------------------------------------------------------
 
 
@@ -359,19 +435,20 @@ def reconcile_delete(spark, d):
     return vanished(rows, rows.filter(F.get_json_object("metadata_json", "$.lang") != "fr"))
 
 
-@query(f"WITH {CORPUS} SELECT path, sha256(text) AS sha256 FROM c WHERE toxic = 1")
+@query(f"WITH {CORPUS} SELECT path, sha256(text) AS sha256 FROM c WHERE toxic = 1 OR quality = 0 OR lang = 'fr'")
 def change_detect(spark, d):
+    """Before, toxic notes had other bytes, bad ones were read in another way, and French ones weren't there."""
     rows = corpus(spark, d)
-    before = rows.select("path", F.when(F.col("toxic") == 1, F.sha2(F.lower("body"), 256)).otherwise(F.col("body_sha256")).alias("sha256"), F.lit("p").alias("processing_fingerprint")).filter("sha256 is not null")
-    before = before.withColumn("sha256", F.when(F.length("sha256") == 64, F.col("sha256")))
-    same_anyway = rows.filter(F.lower("body") == F.col("body")).select("path")
-    found = changed(rows.select("path", F.col("body_sha256").alias("sha256")), before, "p")
-    return found.unionByName(rows.filter("toxic = 1").join(same_anyway, "path", "left_semi").select("path", F.col("body_sha256").alias("sha256"))).distinct()
+    french = F.get_json_object("metadata_json", "$.lang") == "fr"
+    before = rows.filter(~french).select(
+        "path", F.when(F.col("toxic") == 1, F.sha2(F.concat("body", F.lit(" before")), 256)).otherwise(F.col("body_sha256")).alias("sha256"), F.when(F.col("quality") == 0, "q").otherwise("p").alias("processing_fingerprint")
+    )
+    return changed(rows.select("path", F.col("body_sha256").alias("sha256")), before, "p").select("path", "sha256")
 
 
 @query(
     """WITH e AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), l AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last FROM events GROUP BY 1)
-SELECT CAST(e.user_id AS VARCHAR) AS source_path, event_type AS stage, n + CASE WHEN last <> 'click' AND last = event_type THEN 1 ELSE 0 END AS attempt_count, CASE WHEN last <> 'click' AND last = event_type THEN 'unresolved' ELSE 'resolved' END AS status FROM e JOIN l USING (user_id)"""
+SELECT CAST(e.user_id AS VARCHAR) AS source_path, event_type AS stage, n + CASE WHEN last <> 'click' AND last = event_type THEN 1 ELSE 0 END AS attempt_count, CASE WHEN last <> 'click' AND last = event_type THEN 'unresolved' ELSE 'resolved' END AS status, TIMESTAMP '2030-01-01' AS last_attempt_at FROM e JOIN l USING (user_id)"""
 )
 def error_ledger(spark, d):
     events = read(spark, d, "events").withColumn("path", F.col("user_id").cast("string"))
@@ -380,7 +457,7 @@ def error_ledger(spark, d):
     )
     last = events.groupBy("path").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last"))
     outcomes = last.select("path", F.sha2("path", 256).alias("source_hash"), F.when(F.col("last") != "click", F.col("last")).alias("stage"), F.when(F.col("last") != "click", F.lit("again")).alias("error"))
-    return ledger(errors, outcomes, now=F.lit("2030-01-01").cast("timestamp")).select("source_path", "stage", F.col("attempt_count").cast("bigint").alias("attempt_count"), "status")
+    return ledger(errors, outcomes, now=F.lit("2030-01-01").cast("timestamp")).select("source_path", "stage", F.col("attempt_count").cast("bigint").alias("attempt_count"), "status", F.col("last_attempt_at").cast("timestamp_ntz").alias("last_attempt_at"))
 
 
 @query("SELECT user_id, event_type, least(30.0, pow(2.0, count(*) - 1)) AS delay FROM events GROUP BY 1, 2")
@@ -400,9 +477,8 @@ s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS bu
 SELECT user_id, arg_max(event_type, (ts, event_id)) AS action, count(*) AS events FROM s GROUP BY user_id, burst"""
 )
 def debounce_bursts(spark, d):
-    rows = read(spark, d, "events")
-    found = rows.groupBy("user_id", F.session_window("ts", "10 minutes")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("action"), F.count(F.lit(1)).alias("events"))
-    return found.select("user_id", "action", "events")
+    rows = read(spark, d, "events").select(F.col("user_id").alias("path"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("action"))
+    return debounced(rows, "10 minutes").select(F.col("path").alias("user_id"), "action", "events")
 
 
 # Audit ---------------------------------------------------------------------------------------------------------------
@@ -444,13 +520,20 @@ def audit_entropy(spark, d):
 
 
 def evaluated(spark: SparkSession, d: str) -> DataFrame:
+    """The audit's own pass over all documents, with its limits and all of its rules."""
     items = corpus(spark, d).select("doc_id", F.lit("document").alias("domain"), F.col("body_sha256").alias("sha256"), F.col("body").alias("content"))
-    rows = items.withColumn("oversize", F.length("content") > 4000).withColumn("findings", F.filter(audit.findings(F.col("content")), lambda f: f["type"].isin(*audit.RULES)))
-    rows = rows.withColumn("findings", F.when(F.col("oversize"), F.slice("findings", 1, 0)).otherwise(F.col("findings"))).withColumn("matched", F.size("findings") > 0)
-    return rows.withColumn("llm", F.struct(F.lit("disabled").alias("status"))).withColumn("risk_score", audit.fused_risk(F.col("matched")))
+    return audit.evaluate(items)
+
 
+def random_sql(name: str) -> str:
+    """Documents with a quoted string of the rule's form and entropy."""
+    pattern, least = audit.RANDOM[name]
+    return f"""SELECT DISTINCT doc_id FROM (SELECT doc_id, value, -sum(k / length(value) * log2(k / length(value))) AS bits FROM (SELECT doc_id, value, ch, count(*) AS k FROM (
+    SELECT doc_id, value, unnest(string_split(value, '')) AS ch FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{pattern.replace("'", "''")}', 1)) AS value FROM documents)) GROUP BY 1, 2, 3) GROUP BY 1, 2) WHERE bits > {least}"""
 
-RISK_SQL = f"m AS (SELECT DISTINCT doc_id FROM ({RULES_SQL})), r AS (SELECT d.doc_id, length(text) > 4000 AS oversize, m.doc_id IS NOT NULL AND length(text) <= 4000 AS matched FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id)"
+
+MOST = audit.AuditConfig().limits["document"]
+RISK_SQL = f"m AS (SELECT doc_id FROM ({RULES_SQL}) UNION SELECT doc_id FROM ({random_sql('hex_entropy')}) UNION SELECT doc_id FROM ({random_sql('base64_entropy')})), r AS (SELECT d.doc_id, length(text) > {MOST} AS oversize, m.doc_id IS NOT NULL AND length(text) <= {MOST} AS matched FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id)"
 
 
 @query(f"WITH {RISK_SQL} SELECT doc_id, oversize, matched, CASE WHEN matched THEN 8 ELSE 0 END AS risk_score FROM r")
@@ -458,25 +541,35 @@ def audit_risk(spark, d):
     return evaluated(spark, d).select("doc_id", "oversize", "matched", "risk_score")
 
 
-@query(f"WITH {RISK_SQL} SELECT count(*) FILTER (WHERE NOT oversize) AS scanned, count(*) FILTER (WHERE oversize) AS skipped, count(*) FILTER (WHERE matched) AS flagged, 0 AS errors FROM r")
+@query(f"WITH {RISK_SQL} SELECT count(*) AS scanned, count(*) FILTER (WHERE oversize) AS skipped, count(*) FILTER (WHERE matched) AS flagged, 0 AS errors FROM r")
 def audit_report(spark, d):
     return audit.report(evaluated(spark, d))
 
 
-@query(f"WITH {ATTRIBUTES} SELECT sha256, quality FROM a WHERE toxic <> 1 UNION ALL SELECT sha256, -1 AS quality FROM a WHERE toxic = 1")
+@query(f"WITH {ATTRIBUTES} SELECT sha256, -1 AS quality, true AS touched FROM a WHERE toxic = 1 UNION ALL SELECT sha256, quality, false AS touched FROM a WHERE toxic <> 1")
 def audit_reset(spark, d):
+    """Labels as results of a scanner: toxic content has risk 8 and is reset."""
     own = labels_as_attributes(spark, d)
-    value = F.try_variant_get(F.try_parse_json("attributes_json"), "$.toxic", "int")
-    chosen = own.filter(value == 1)
-    after = audit.reset(chosen, key="review").unionByName(own.filter(value != 1))
-    return after.select("sha256", number("$.review.quality").alias("quality"))
+    toxic = F.try_variant_get(F.try_parse_json("attributes_json"), "$.toxic", "int") == 1
+    quality = F.get_json_object("attributes_json", "$.review.quality").cast("int")
+    own = own.withColumn("attributes_json", F.to_json(F.struct(F.struct(quality.alias("quality"), F.when(toxic, 8).otherwise(0).alias("risk_score")).alias("review"), F.lit(1).alias("other"))))
+    after = audit.reset(own, key="review", least_risk=5, now=F.lit("2030-01-01").cast("timestamp"))
+    return after.select("sha256", number("$.review.quality").alias("quality"), (F.year("updated_at") == 2030).alias("touched"))
 
 
 @query(f"WITH {ATTRIBUTES}, {CORPUS} SELECT sha256(text) AS sha256, count(*) AS n_paths, min(path) AS first_path FROM c WHERE sha256(text) NOT IN (SELECT sha256 FROM a) GROUP BY 1")
 def audit_work(spark, d):
     rows = corpus(spark, d)
     items = audit.work(rows, chunked(rows).limit(0), labels_as_attributes(spark, d))
-    return items.select("sha256", F.size("source_paths").cast("bigint").alias("n_paths"), F.get("source_paths", F.lit(0)).alias("first_path"))
+    return items.select("sha256", F.col("n_places").alias("n_paths"), "first_path")
+
+
+@query(f"WITH {ATTRIBUTES}, {CORPUS} SELECT sha256(text) AS sha256, path, lang FROM c WHERE sha256(text) NOT IN (SELECT sha256 FROM a)")
+def audit_places(spark, d):
+    rows = corpus(spark, d)
+    none = chunked(rows).limit(0)
+    found = audit.places(rows, none, audit.work(rows, none, labels_as_attributes(spark, d)))
+    return found.select("sha256", "path", F.get_json_object("metadata_json", "$.lang").alias("lang"))
 
 
 # Markdown and turns --------------------------------------------------------------------------------------------------
