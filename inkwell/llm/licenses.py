@@ -1,8 +1,8 @@
 """Licence scans by sentence rules.
 
 Texts are split into sentences; a normalised sentence that a table knows becomes its identifier; and a licence is
-recognised where a document's identifiers contain a rule's in order. Rules are tried in order, longest first, so that a
-whole licence counts before a notice in it. The tables are fixed and small; each document is scanned whole where it is
+recognised where a document's identifiers contain a rule's in order, with at most GAP unknown sentences between two of
+them. Rules are tried in order, longest first, so that a whole licence counts before a notice in it. The tables are fixed and small; each document is scanned whole where it is
 read, and nothing is shuffled."""
 
 from __future__ import annotations
@@ -57,11 +57,32 @@ SENTENCES = {
     "gpl3-grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "mpl-grant": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "apache-copy": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "lgpl21-grant": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl3-grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-warranty": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "epl2-grant": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at http://www.eclipse.org/legal/epl-2.0.",
+    "unlicense-domain": "This is free and unencumbered software released into the public domain.",
+    "unlicense-grant": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "isc-warranty": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    "bsd-warranty": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "cc0-waiver": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
 RULES = (
     ("MIT", ("mit-grant", "mit-notice", "mit-warranty", "mit-liability")),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-warranty")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    ("Apache-2.0", ("apache-grant", "apache-copy", "apache-terms")),
+    ("LGPL-2.1", ("lgpl21-grant", "lgpl-warranty")),
+    ("LGPL-3.0", ("lgpl3-grant", "gpl-warranty")),
+    ("AGPL-3.0", ("agpl3-grant", "gpl-warranty")),
+    ("Unlicense", ("unlicense-domain", "unlicense-grant")),
+    ("ISC", ("isc-grant", "isc-warranty")),
+    ("MPL-2.0", ("mpl-grant", "mpl-copy")),
     ("GPL-2.0", ("gpl2-grant", "gpl-warranty")),
     ("GPL-3.0", ("gpl3-grant", "gpl-warranty")),
     ("Apache-2.0", ("apache-grant", "apache-terms")),
@@ -72,6 +93,12 @@ RULES = (
     ("Apache-2.0", ("apache-grant",)),
     ("MIT", ("mit-grant",)),
     ("MPL-2.0", ("mpl-grant",)),
+    ("LGPL-2.1", ("lgpl21-grant",)),
+    ("LGPL-3.0", ("lgpl3-grant",)),
+    ("AGPL-3.0", ("agpl3-grant",)),
+    ("EPL-2.0", ("epl2-grant",)),
+    ("Unlicense", ("unlicense-domain",)),
+    ("CC0-1.0", ("cc0-waiver",)),
 )
 #: Unknown sentences that may stand between two of a rule.
 GAP = 2
@@ -86,6 +113,17 @@ def normal(sentence: str) -> str:
     return OTHER.sub(" ", sentence.lower()).strip()
 
 
+def last_word(sentence: str) -> str:
+    """Of its normal form, without making the whole of it."""
+    end = len(sentence)
+    while end and not sentence[end - 1].isalnum():
+        end -= 1
+    begin = end
+    while begin and sentence[begin - 1].isalnum():
+        begin -= 1
+    return sentence[begin:end].lower()
+
+
 def tables() -> tuple[dict[str, str], list[tuple[str, tuple[str, ...]]]]:
     """Normalised sentences with their identifiers, and rules in the order in which they are tried."""
     known, rules = {}, list(RULES)
@@ -124,7 +162,7 @@ class Scanner:
 
         Notices without a full stop stand in one sentence. Runs are sought from the last line up and don't overlap."""
         own = text[a:b]
-        found = self.known.get(normal(own)) if len(own) <= 2 * self.widest else None
+        found = self.known.get(normal(own)) if last_word(own) in self.lasts else None
         if found:
             return [(found, a, b)]
         if "\n" not in own.strip():
