@@ -19,7 +19,7 @@ PATTERNS = {
     "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/.-]*\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]*\d)",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3}\1\d{4})(?!\d)",
-    "number": r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\d)",
+    "number": r"(?<![A-Za-z\d])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![A-Za-z\d])",
 }
 DATES = ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd.MM.yyyy")
 #: Days are permuted within blocks of this size, counted from 1900-01-01: 256 times 288 days, over 201 years.
@@ -110,13 +110,17 @@ def described(v: Column) -> Column:
 def taken_apart(x: Column) -> Column:
     """Adds body (text to be permuted) or a, b, m, n (numbers to be permuted); neither for values that aren't valid.
 
-    Emails keep their domain, phone numbers a country code, long numbers all but their last digit is body, IBANs without
-    country and check digits. Addresses are two halves, dates days within a block, security numbers their rank."""
+    Emails keep their domain, phone numbers (7 to 15 digits) a country code, IBANs (with a valid check) country and check
+    digits. Long numbers are valid if their check digit is right, or with 16 digits, as accounts without a check have; all
+    but the last digit is body. Addresses are two halves, dates days within a block, security numbers their rank."""
     v, kind = x["v"], x["kind"]
     plain = F.replace(v, F.lit(" "), F.lit(""))
     account = F.when(mod97(F.concat(F.substring(plain, 5, 40), F.substring(plain, 1, 4))) == 1, F.substring(v, 5, 60))
     code = F.length(F.regexp_extract(v, r"^\+\d{1,3}(?=[ .(-])", 0))
-    body = case(kind, email=F.substring_index(v, "@", 1), phone=F.substring(v, code + 1, F.lit(60)), number=F.call_function("left", v, F.length(v) - 1), iban=account)
+    n_digits = F.length(digits(v))
+    phone = F.when(n_digits.between(7, 15), F.substring(v, code + 1, F.lit(60)))
+    number = F.when((n_digits == 16) | (luhn(digits(v)) == 0), F.call_function("left", v, F.length(v) - 1))
+    body = case(kind, email=F.substring_index(v, "@", 1), phone=phone, number=number, iban=account)
     m, n = DAYS
     at = F.pmod(x["days"], F.lit(m * n))
     part = lambda i: F.get(F.split(v, r"\."), F.lit(i)).cast("long")
@@ -151,8 +155,8 @@ def put_together(x: Column) -> Column:
     new = case(
         x["kind"],
         email=F.concat(text, F.lit("@"), F.substring_index(v, "@", -1)),
-        phone=F.concat(code, text),
-        number=F.concat(text, check.cast("string")),
+        phone=F.when(text.isNotNull(), F.concat(code, text)),
+        number=F.when(text.isNotNull(), F.concat(text, check.cast("string"))),
         iban=F.concat(country, checks, text),
         ip=F.when(a.isNotNull(), octets),
         # A year beyond four digits has no place in the format: such a date (after 9700) stays.
@@ -166,15 +170,19 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", kinds_col: s
     """Replaces text_col by the text with pseudonyms and adds kinds_col, the kinds of the values found, in their order.
 
     A null text stays null, without kinds. Values that match a pattern but aren't valid stay as they are, and so does
-    all other text. Rows, their number and other columns stay."""
+    all other text. Rows, their number and other columns stay, whatever their names; a column named as kinds_col is refused.
+    The key stands in the plan: give it by a name that the session redacts, or keep plans and event logs private."""
+    if kinds_col in docs.columns:
+        raise ValueError(f"there is a column {kinds_col}: choose another name for kinds_col")
+    found_col, new_col = "__inkwell_found", "__inkwell_new"
     pattern = union_pattern()
     text = F.col(text_col).cast("string")
     some = F.when(F.regexp_like(text, F.lit("[0-9@]")), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    df = docs.withColumn("_found", some)
-    df = df.withColumn("_new", F.transform("_found", described))
+    df = docs.withColumn(found_col, some)
+    df = df.withColumn(new_col, F.transform(found_col, described))
     for step in (taken_apart, lambda x: permuted(key, x), put_together):
-        df = df.withColumn("_new", F.transform("_new", step))
+        df = df.withColumn(new_col, F.transform(new_col, step))
     between = F.split(text, pattern, -1)
-    joined = F.array_join(F.flatten(F.zip_with(between, F.col("_new"), lambda t, v: F.array(t, F.coalesce(v["value"], F.lit(""))))), "")
-    kinds = F.coalesce(F.filter(F.transform("_new", lambda v: v["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
-    return df.withColumn(kinds_col, kinds).withColumn(text_col, F.when(F.size("_found") > 0, joined).otherwise(text)).drop("_found", "_new")
+    joined = F.array_join(F.flatten(F.zip_with(between, F.col(new_col), lambda t, v: F.array(t, F.coalesce(v["value"], F.lit(""))))), "")
+    kinds = F.coalesce(F.filter(F.transform(new_col, lambda v: v["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
+    return df.withColumn(kinds_col, kinds).withColumn(text_col, F.when(F.size(found_col) > 0, joined).otherwise(text)).drop(found_col, new_col)
