@@ -11,7 +11,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm._tables import stash, with_position
+from inkwell.llm._tables import partitions, stash, with_position
 
 #: Bits of each dimension.
 BITS = 5
@@ -60,12 +60,18 @@ def numeric_level(df: DataFrame, column: str, bits: int = BITS) -> Column:
     return F.coalesce(F.size(F.filter(cuts, lambda c: c < F.col(column))), F.lit(0))
 
 
-def category_levels(df: DataFrame, column: str, bits: int = BITS) -> DataFrame:
-    """A row for each value of a string column with its level: its rank by code point, scaled. Null is first."""
-    values = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = with_position(values.select(column), [F.col(column).asc_nulls_first()], "_rank")
+def category_level(df: DataFrame, column: str, bits: int = BITS) -> Column:
+    """Level of a string column: its value's rank by code point among the distinct ones, scaled. Null is first.
+
+    The driver and the plan hold the first value of each level (2**bits at most), so that rows aren't joined."""
+    ranked = with_position(df.select(column).distinct(), [F.col(column).asc_nulls_first()], "_rank")
     most = max(ranked.count(), 1)
-    return ranked.select(F.col(column).alias("_value"), F.expr(f"int(_rank * {1 << bits} div {most})").alias(f"_{column}"))
+    level = F.expr(f"int(_rank * {1 << bits} div {most})")
+    firsts = sorted((r[0], r[1]) for r in ranked.groupBy(level.alias("level")).agg(F.min_by(column, "_rank")).collect())
+    out = F.lit(0)
+    for value, first in firsts:
+        out = out if first is None else F.when(F.col(column) >= F.lit(first), value).otherwise(out)
+    return F.coalesce(out, F.lit(0))
 
 
 def hilbert_shards(docs: DataFrame, shards: int, numbers: tuple[str, ...], categories: tuple[str, ...], ties: tuple[str, ...], bits: int = BITS) -> DataFrame:
@@ -74,12 +80,8 @@ def hilbert_shards(docs: DataFrame, shards: int, numbers: tuple[str, ...], categ
     Rows with equal cells go by the columns in ties, so that equal values there come to lie in a row; equal rows are
     interchangeable. Nulls are a value of their own in every dimension. An empty table gives an empty result."""
     df = stash(docs, "metadata")
-    levels = [numeric_level(df, c, bits) for c in numbers] + [F.col(f"_{c}") for c in categories]
-    wide = df
-    for c in categories:
-        table = category_levels(df, c, bits)
-        wide = wide.join(table, wide[c].eqNullSafe(table["_value"])).drop("_value")
-    cells = wide.select(*docs.columns, hilbert_index(levels, bits).alias("_cell"))
+    levels = [numeric_level(df, c, bits) for c in numbers] + [category_level(df, c, bits) for c in categories]
+    cells = df.select(*docs.columns, hilbert_index(levels, bits).alias("_cell"))
     placed = with_position(cells, [F.col("_cell"), *(F.col(c).asc_nulls_last() for c in ties)], "_place")
     rows = max(placed.count(), 1)
     begins = F.lit([*accumulate([rows // shards + (k < rows % shards) for k in range(shards)], initial=0)][:-1]).cast("array<bigint>")
@@ -101,6 +103,7 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "lang", "source")
 
 
-def write_shards(placed: DataFrame, path: str, shards: int) -> None:
-    """Writes a folder a shard, rows in the order of their slots."""
-    placed.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(placed: DataFrame, path: str) -> None:
+    """Writes a folder a shard, rows in the order of their slots. Ranges of (shard, slot) go to tasks, so that a shard larger
+    than a task's share gets several files, each a run of slots."""
+    placed.repartitionByRange(partitions(placed.sparkSession), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
