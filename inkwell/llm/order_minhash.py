@@ -7,6 +7,7 @@ hashes that tuple. Two texts agree in a component if they have the same minimal
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import _registers, _text
-from inkwell.llm._tables import partitions
+from inkwell.llm._tables import partitions, with_position
 
 K, TAKE, COMPONENTS = 8, 2, 64
 FACTORS = _text.mix(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
@@ -105,50 +106,43 @@ def edited(text: str, other: str) -> str:
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """bucket, halo, id, text, dealt out so that a bucket holds a run of ids, followed by the row with halo set that
-    comes next: ids descend, null is last, and after the last comes the first.
-
-    The driver sees a bucket's bounds and first id, no more; each text moves once (a bucket's first one twice)."""
-    spark = docs.sparkSession
-    count = 2 * partitions(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = rows.agg(F.percentile_approx("id", [i / count for i in range(1, count)], 10_000)).first()[0] or []
-    cuts = np.array(sorted(set(found)), dtype=np.int64)
-    last = len(cuts) + 1  # of null ids
-
-    def bucket(batch: pa.RecordBatch) -> np.ndarray:
-        ids = batch.column(0)
-        place = len(cuts) - np.searchsorted(cuts, ids.fill_null(0).to_numpy(), side="left")
-        return np.where(ids.is_null().to_numpy(zero_copy_only=False), last, place)
-
-    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(bucket(batch), pa.int32()), batch.column(0)], names=["bucket", "id"])
-
-    top = {r[0]: r[1] for r in rows.select("id").mapInArrow(tops, "bucket int, id long").groupBy("bucket").agg(F.max("id")).collect()}
-    order = sorted(top)
-    follows = {b: order[(i + 1) % len(order)] for i, b in enumerate(order)}
-    before = {after: b for b, after in follows.items()}
+    """bucket, halo, id, text, dealt out so that a task holds a run of rows, then the row with halo set that comes next: ids
+    descend, null is last, rows of one id go by a hash of their text, and after the last comes the first.
+
+    Runs are cut at places in the order of (id, hash, row number), found on these columns alone, so that rows of one id, of
+    none or of one text are split as others are. The driver sees one row a cut; each text moves once (those
+    at a cut twice)."""
+    count = 2 * partitions(docs.sparkSession)
+    value = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(value).alias("hash"), F.monotonically_increasing_id().alias("row"), value.alias("text"))
+    placed = with_position(rows.drop("text"), [F.col("id").asc_nulls_first(), F.col("hash"), F.col("row")], "_position")
+    size = placed.count()
+    each = max(1, -(-size // count))
+    last = placed.filter(((F.col("_position") + 1) % each == 0) | (F.col("_position") == size - 1)).orderBy("_position")
+    cuts = [(r["id"] is not None, r["id"], r["hash"], r["row"]) for r in last.select("id", "hash", "row").collect()]
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = ["bucket", "halo", "id", "hash", "row", "text"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = bucket(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(np.zeros(len(own), bool)), *batch.columns], names=["bucket", "halo", "id", "text"])
-            ids = batch.column(0).to_pylist()
-            first = [i for i, b in enumerate(own.tolist()) if ids[i] == top[b]]
-            if first:
-                more = batch.take(pa.array(first))
-                yield pa.RecordBatch.from_arrays([pa.array([before[own[i]] for i in first], pa.int32()), pa.array([True] * len(first)), *more.columns], names=["bucket", "halo", "id", "text"])
+            keys = [(i is not None, i, h, r) for i, h, r in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)]
+            own = [bisect_left(cuts, k) for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([False] * len(own)), *batch.columns], names=names)
+            # The greatest row of a run is what comes after the least one of the run above.
+            ends = [i for i, b in enumerate(own) if keys[i] == cuts[b]]
+            if ends:
+                yield pa.RecordBatch.from_arrays([pa.array([(own[i] + 1) % len(cuts) for i in ends], pa.int32()), pa.array([True] * len(ends)), *batch.take(pa.array(ends)).columns], names=names)
 
-    dealt = rows.mapInArrow(deal, "bucket int, halo boolean, id long, text string")
-    return dealt.repartition(count, "bucket").sortWithinPartitions("bucket", "halo", F.col("id").desc_nulls_last(), "text")
+    dealt = rows.mapInArrow(deal, f"bucket int, halo boolean, id {kind}, hash long, row long, text string")
+    dealt = dealt.repartitionById(max(1, len(cuts)), F.col("bucket")) if cuts else dealt
+    return dealt.sortWithinPartitions("bucket", "halo", F.col("id").desc_nulls_last(), F.col("hash").desc(), F.col("row").desc()).select("bucket", "halo", "id", "text")
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, take: int = TAKE, components: int = COMPONENTS) -> DataFrame:
     """One row a document: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The next document is the one with the next lower id (ties by text, null ids last, after the last the first). A null
-    text counts as empty. Rows of one id that differ follow each other; extra columns don't matter; an empty table
+    The next document is the one with the next lower id (ties by a hash of the text, null ids last, after the last the
+    first). Ids of any type that has an order will do. A null text counts as empty. Rows of one id that differ follow each other; extra columns don't matter; an empty table
     gives no rows."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +161,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 other = spell(fingerprints(texts, k, take, components))
                 yield pa.RecordBatch.from_pydict(
                     {
-                        id_col: pa.array([x[2] for x, _ in pairs], pa.int64()),
+                        id_col: pa.array([x[2] for x, _ in pairs], batch.schema.field(2).type),
                         "n_chars": pa.array([len(x[3]) for x, _ in pairs], pa.int64()),
                         "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts],
                         "fingerprint": [x[4] for x, _ in pairs],
@@ -180,5 +174,5 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     import pyarrow.compute  # noqa: F401
 
     return with_next(docs, id_col, text_col).mapInArrow(
-        sketch, f"{id_col} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+        sketch, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
