@@ -32,9 +32,9 @@ WORDS, THRESHOLD = 5, 0.8
 DAMPED = 8
 #: Registers (a power of 2) and those in a band. At similarity 0.8 a pair shares none of 64 bands with probability 8e-6.
 REGISTERS, ROWS = 512, 8
-#: Multipliers of a shingle's words and of a band's registers, odd numbers made from this rule.
 #: Places in the bitmap that tells the second reading which documents are needed; the others that pass cost time only.
 PLACES = 1 << 26
+#: Multipliers of a shingle's words and of a band's registers, odd numbers made from this rule.
 FACTORS = _text.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -239,6 +239,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     links = links.union(stash(verified(rest, sets, threshold), "more"))
     label = components(links).withColumnRenamed("node", "row")
     classes = nodes.join(label, "row", "left").select("whole", "best", "n", F.coalesce("label", "row").alias("label"))
-    total = classes.groupBy("label").agg(F.min("best").alias("top"), F.sum("n").alias("class_size"))
+    # Written, so that the join can split the texts of a large class among tasks.
+    total = stash(classes.groupBy("label").agg(F.min("best").alias("top"), F.sum("n").alias("class_size")), "totals")
     named = stash(classes.join(total, "label").select("whole", "top", "class_size"), "classes")
     return rows.select("id", "row", "text_hash", "whole").join(named, "whole").select(F.col("id").alias(id_col), F.col("top.id").alias("class_id"), "class_size", (F.col("row") == F.col("top.row")).alias("kept"), "text_hash")
