@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm._tables import running_sum, stash, text_hash, with_position
-from inkwell.llm.stages import MINE, TIMES, repeat_mixed, repeated
+from inkwell.llm.stages import ID, MINE, TEXT, TIMES, agreed, key_hash, repeat_mixed, repeated
 
 SEED = 20_240_607
 #: Weights of sources in turn, and how many times its size a source's target may be.
@@ -31,7 +31,7 @@ def text_quality(text: str) -> Column:
     """A weight in (0, 1] from the text alone: the share of lower-case (or caseless) letters, marks on them and white
     space, times ln(distinct words) / ln(words), which hardly depends on a text's length; to the power SHARP."""
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    plain = F.regexp_count(value, F.lit(r"[\p{Ll}\p{Lo}\p{M}\s]")) / F.greatest(F.length(value), F.lit(1))
+    plain = F.length(F.regexp_replace(value, r"[^\p{Ll}\p{Lo}\p{M}\s]+", "")) / F.greatest(F.length(value), F.lit(1))
     words = F.split(F.lower(value), r"[\x20\x09-\x0D]+")
     variety = F.log(F.size(F.array_distinct(words)) + F.lit(1.0)) / F.log(F.size(words) + F.lit(1.0))
     return F.greatest(F.pow(plain * variety, F.lit(float(SHARP))), F.lit(1e-6))
@@ -112,12 +112,17 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     ends = stash(ends, "ends")
     if ends.count() > SOURCES:
         return repeat_mixed(docs, marks)
+    key, end = F.col(MINE + "key"), F.col(MINE + "end")
+    close = lambda k, times: F.coalesce(F.abs(k - end) <= times * ROUNDING * end, F.lit(False))
+    near = marks.withColumn(MINE + "source", F.xxhash64("source", F.isnull("source"))).join(F.broadcast(ends), MINE + "source").filter(close(F.col("key"), 2))
+    near = stash(near.select("doc_id", "source", "text_hash", "copies"), "near")
+    sure = stash(agreed(near, F.col("copies"), ("doc_id", "source")), "sure")
     rows = docs.withColumns({MINE + "source": F.xxhash64("source", F.isnull("source")), MINE + "key": draw_key("text", quality, seed)})
     rows = rows.join(F.broadcast(ends), MINE + "source")  # two numbers a source
-    key, end = F.col(MINE + "key"), F.col(MINE + "end")
-    tied = F.coalesce(F.abs(key - end) <= ROUNDING * end, F.lit(False))
     once = (word_count("text") > 0) & F.coalesce(key < end, F.lit(False))
-    clear = repeated(rows.filter(~tied).withColumn(TIMES, F.col(MINE + "epochs") + once.cast("long")).filter(F.col(TIMES) > 0), docs.columns)
-    near = marks.withColumn(MINE + "source", F.xxhash64("source", F.isnull("source"))).join(F.broadcast(ends), MINE + "source")
-    near = near.filter(F.coalesce(F.abs(F.col("key") - end) <= 2 * ROUNDING * end, F.lit(False)))
-    return clear.unionByName(repeat_mixed(rows.filter(tied).select(*docs.columns), near))
+    if sure.count() == near.count() <= SOURCES:  # as a rule one row a source
+        rows = rows.withColumns({ID: key_hash(("doc_id", "source")), TEXT: text_hash("text")}).join(F.broadcast(sure), [ID, TEXT], "left")
+        copies = F.when(close(key, 1), F.coalesce(TIMES, F.lit(0))).otherwise(F.col(MINE + "epochs") + once.cast("long"))
+        return repeated(rows.withColumn(TIMES, copies).filter(F.col(TIMES) > 0), docs.columns)
+    clear = rows.filter(~close(key, 1)).withColumn(TIMES, F.col(MINE + "epochs") + once.cast("long")).filter(F.col(TIMES) > 0)
+    return repeated(clear, docs.columns).unionByName(repeat_mixed(rows.filter(close(key, 1)).select(*docs.columns), near))

@@ -44,6 +44,12 @@ def repeated(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumn(MINE + "copy", F.explode(F.sequence(F.lit(1), F.col(TIMES).cast("int")))).select(*columns)
 
 
+def agreed(marks: DataFrame, copies: Column, keys: tuple[str, ...]) -> DataFrame:
+    """Hashes of ids and texts that have one mark, and how often it says."""
+    own = marks.select(key_hash(keys).alias(ID), F.col("text_hash").alias(TEXT), copies.cast("long").alias(TIMES))
+    return own.groupBy(ID, TEXT).agg(F.count(F.lit(1)).alias(N), F.max(TIMES).alias(TIMES)).filter(F.col(N) == 1).drop(N)
+
+
 def decided(docs: DataFrame, marks: DataFrame, copies: Column, keys: tuple[str, ...], text_col: str) -> DataFrame:
     """Repeats each document as often as its mark says; every document has one.
 
