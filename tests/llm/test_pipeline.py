@@ -50,3 +50,29 @@ def test_the_whole_pipeline(spark, small):
     found = rows(corpus_pipeline.run(spark, small))
     assert found and max(Counter(r["sequence_id"] for r in found).values()) >= 1
     assert all(r["length"] <= 2048 for r in found)
+
+
+def test_stages_of_edge_and_empty_tables(spark, edge, empty, small):
+    """Null, empty and long texts, repeated rows, and columns named as what the stages use inside."""
+    clashing = edge.withColumns({c: F.lit(c) for c in ("_host", "_path", "_p", "_y", "_n", "_found", "_new", "copies", "n", "total", "times", "key", "_text", "_id", "text_hash", "host_posterior", "posterior")})
+    for name, stage in corpus_pipeline.STAGES:
+        assert rows(stage(spark, empty, small)) == []
+        before, found = Counter(map(str, rows(clashing))), stage(spark, clashing, small)
+        if name == "packing":
+            assert {r["doc_id"] for r in rows(found)} == {r["doc_id"] for r in rows(edge)}
+            continue
+        assert found.columns == clashing.columns
+        after = Counter(map(str, rows(found)))
+        assert set(after) <= set(before) and (name == "mixing" or not after - before)
+
+
+def test_decisions_too_many_to_be_sent(spark, monkeypatch):
+    from inkwell.llm import stages
+
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"), F.lit("s").alias("source"))
+    marks = docs.withColumns({"text_hash": text_hash("text"), "kept": F.col("doc_id") % 3 == 0, "copies": F.col("doc_id") % 4})
+    for places, sent in ((64, 250_000), (64, 0), (1 << 26, 0)):  # full bitmaps, too large tables
+        monkeypatch.setattr(stages, "PLACES", places)
+        monkeypatch.setattr(stages, "SENT", sent)
+        assert sorted(r["doc_id"] for r in rows(keep_marked(docs, marks))) == list(range(0, 500, 3))
+        assert Counter(r["doc_id"] for r in rows(repeat_mixed(docs, marks))) == +Counter({k: k % 4 for k in range(500)})
