@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 ROW_BITS = 33
 
 
-#: Bytes a core below which a table is dealt out anew: so small a file may be one row group, which one task would read alone.
+#: Bytes a core below which a table is dealt out anew, if it has fewer files than cores: so small a file may be one row group, which one task would read alone.
 SMALL = 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < SMALL * cores else df
+    return df.repartition(cores) if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < SMALL * cores and len(df.inputFiles()) < cores else df
 
 
 def text_hash(column: str) -> Column:
