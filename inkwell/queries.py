@@ -35,14 +35,15 @@ def query(sql: str | None = None):
     return add
 
 
-#: Bytes a core below which documents are dealt out anew: so small a file may be one row group, which one task would read alone.
+#: Bytes a core below which documents are dealt out anew, if they have fewer files than cores: so small a
+#: file may be one row group, which one task would read alone.
 SMALL = 8 << 20
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{d}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name == "documents" and df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < SMALL * cores else df
+    return df.repartition(cores) if name == "documents" and df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < SMALL * cores and len(df.inputFiles()) < cores else df
 
 
 def corpus(spark: SparkSession, d: str, nulls: bool = False) -> DataFrame:
