@@ -1,6 +1,6 @@
 """Quality by hierarchical empirical Bayes.
 
-A document classifier turns a text's statistics into a probability of good quality. Sites (a host, and a path under it)
+A document classifier turns a text's statistics and its hashed words and pairs of words into a probability of good quality. Sites (a host, and a path under it)
 have posterior rates from their documents' probabilities, or labels where there are any: a path is shrunk toward its
 host and a host toward the global rate, the more the fewer documents it has and the less sites differ. A document's
 evidence and its site's posterior, without the document itself, are combined as log odds."""
@@ -19,12 +19,18 @@ from inkwell.llm import _text
 from inkwell.llm._tables import stash, text_hash
 from inkwell.llm.stages import keep_marked
 
-#: Labelled rows that the classifier is fitted on at most, chosen by a hash of their ids; it has 2 * FEATURES + 1 weights.
+#: Labelled rows that the classifier is fitted on at most, chosen by a hash of their ids.
 SAMPLE = 20_000
 #: Site tables of at most so many rows are sent to every executor; larger ones are joined by shuffles.
 SITES = 50_000
 KEEP = 0.5
-FEATURES = 14
+#: Statistics of a text, and the places that its words and pairs of words are hashed to (a power of 2).
+STATISTICS, HASHED = 14, 64
+FEATURES = STATISTICS + HASHED
+#: Weights of the classifier: one alone, those of statistics and their squares, those of hashed words.
+WEIGHTS = 1 + 2 * STATISTICS + HASHED
+#: How much more the weights of hashed words are held back than others: they count where there are many labels.
+HELD = 30.0
 
 KINDS = np.full(256, 4, dtype=np.uint8)  # other marks
 KINDS[[*range(65, 91)]] = 0
@@ -35,7 +41,8 @@ KINDS[[ord(c) for c in ".,;:'\"!?()-"]] = 5  # marks of prose
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Statistics of each text (one row each): shares of kinds of bytes, repetition, lengths of words."""
+    """Numbers of each text (one row each): shares of kinds of bytes, repetition, lengths of words; then signed shares of
+    its words and pairs of words by a part of their hash."""
     units, n = data[offsets[0] : offsets[-1]], len(offsets) - 1
     at = offsets - offsets[0]
     words, first = _text.words(data, offsets)
@@ -49,18 +56,21 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         ranked = np.sort(w)
         new = ranked[1:] != ranked[:-1]
         runs = np.diff(np.flatnonzero(np.concatenate([[True], new, [True]]))) if len(w) else np.zeros(1)
-        pairs = np.sort(w[1:] * _text.FACTOR + w[:-1]) if len(w) > 1 else w[:0]
+        pairs = np.sort(_text.mix(w[1:] * _text.FACTOR + w[:-1])) if len(w) > 1 else w[:0]
         other = units[at[i] : at[i + 1]]
-        out[i] = [
+        out[i, :STATISTICS] = [
             *shares, np.log1p(len(w)), len(k) / m / 10, (new.sum() + 1) / m if len(w) else 0, runs.max() / m,
             ((pairs[1:] != pairs[:-1]).sum() + 1) / max(len(pairs), 1), np.count_nonzero(again[at[i] : at[i + 1]]) / size, np.count_nonzero(other == 124) / m, np.count_nonzero(other == 10) / m,
         ]
+        grams = np.concatenate([ranked, pairs])
+        sign = (grams & np.uint64(1)).astype(np.float64) * 2 - 1
+        out[i, STATISTICS:] = np.bincount((grams >> np.uint64(1)).astype(np.int64) % HASHED, sign, HASHED) / m
     return out
 
 
 @dataclass
 class Classifier:
-    """Logistic regression on standardised features and their squares."""
+    """Logistic regression on standardised statistics, their squares, and hashed words."""
 
     mean: np.ndarray
     scale: np.ndarray
@@ -68,7 +78,8 @@ class Classifier:
 
     def design(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -6, 6)
-        return np.hstack([np.ones((len(x), 1)), z, z * z - 1])
+        own = z[:, :STATISTICS]
+        return np.hstack([np.ones((len(x), 1)), own, own * own - 1, z[:, STATISTICS:]])
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.design(x) @ self.weights, -30, 30)))
@@ -78,13 +89,14 @@ class Classifier:
         """Newton's method. Without rows of both classes it gives every text the (smoothed) rate of the labels."""
         rate = (y.sum() + 1) / (len(y) + 2)
         if not 0 < y.sum() < len(y):
-            one = cls(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(2 * FEATURES + 1))
+            one = cls(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(WEIGHTS))
             one.weights[0] = np.log(rate / (1 - rate))
             return one
-        own = cls(x.mean(axis=0), x.std(axis=0) + 1e-6, np.zeros(2 * FEATURES + 1))
+        own = cls(x.mean(axis=0), x.std(axis=0) + 1e-6, np.zeros(WEIGHTS))
         a = own.design(x)
         penalty = np.full(a.shape[1], ridge)
         penalty[0] = 0
+        penalty[1 + 2 * STATISTICS :] *= HELD
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(a @ own.weights, -30, 30)))
             step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty + 1e-9), a.T @ (y - p) - penalty * own.weights)
@@ -117,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), text_hash(text_col).alias("_hash")).join(F.broadcast(chosen.withColumnRenamed(id_col, "_id")), "_id")  # at most `sample` rows
     found = over_texts(rows, "_text", "_x", "array<double>", features).select(F.xxhash64("_id").alias("_order"), "_hash", "_y", "_x")
     found = found.orderBy("_order", "_hash").limit(2 * sample).toArrow()  # repeated ids, too, have a bound and an order
-    x = np.array(found.column("_x").to_pylist(), dtype=float).reshape(-1, FEATURES)
+    x = np.concatenate([np.zeros(0), *(c.flatten().to_numpy() for c in found.column("_x").chunks)]).reshape(-1, FEATURES)
     return Classifier.fit(x, (found.column("_y").to_numpy() >= 0.5).astype(float))
 
 
