@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,8 +23,9 @@ def folding() -> tuple[str, str]:
 
 def tokens(text: Column | str) -> Column:
     """Lower-case words without diacritics: maximal runs of letters, numbers and private-use characters; combining marks
-    count as nothing."""
-    plain = F.regexp_replace(F.translate(F.lower(text), *folding()), r"\p{Mn}", "")
+    count as nothing. Texts of one byte a character have neither."""
+    lower = F.lower(text)
+    plain = F.when(F.octet_length(lower) == F.char_length(lower), lower).otherwise(F.regexp_replace(F.translate(lower, *folding()), r"\p{Mn}", ""))
     return F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
 
 
@@ -46,6 +48,12 @@ def phrase_count(words: Column, phrase: list[str]) -> Column:
     return F.regexp_count(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit(f"(?<= ){first}(?= {rest} )"))
 
 
+def with_counts(rows: DataFrame, words: str, found: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Adds columns that are made of a row's words. They are made once a row, however often later filters and columns name
+    them: the words are a lambda's variable, and what a generator gives isn't put back into a filter as an expression."""
+    return rows.select("*", F.inline(F.transform(F.array(words), lambda w: F.struct(*(make(w).alias(name) for name, make in found.items())))))
+
+
 def content_hash(text: Column | str) -> Column:
     return F.sha2(text, 256)
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType
 
 from inkwell.functions.jsonkind import as_type, json_value, kind_of
-from inkwell.functions.text import cosine_distance, fold, phrase_count
+from inkwell.functions.text import cosine_distance, fold, phrase_count, with_counts
 from inkwell.operators.filters import FIELD, where
 from inkwell.operators.policy import Policy, decision
 
@@ -189,11 +189,12 @@ class Search:
     def _ranked_text(self, query: str, rows: DataFrame) -> DataFrame:
         """Adds score; with a policy it is null, and the order by path tells nothing of hidden rows."""
         phrase = fold(text_of(query))
-        f = phrase_count(F.col("tokens"), phrase)
+        counts = {"_n": F.size, "_f": lambda words: phrase_count(words, phrase)}
+        found = with_counts(rows, "tokens", counts).filter("_f > 0")
         if self.policy:
-            return rows.filter(f > 0).withColumn("score", F.lit(None).cast("double"))
-        total = self.chunks.agg(F.count(F.lit(1)), F.count_if(f > 0), F.avg(F.size("tokens"))).first()
-        return rows.filter(f > 0).withColumn("score", bm25(f, F.size("tokens"), total[0], total[1], total[2]))
+            return found.withColumn("score", F.lit(None).cast("double")).drop(*counts)
+        total = with_counts(self.chunks.select("tokens"), "tokens", counts).agg(F.count(F.lit(1)), F.count_if(F.col("_f") > 0), F.avg("_n")).first()
+        return found.withColumn("score", bm25(F.col("_f"), F.col("_n"), total[0], total[1], total[2])).drop(*counts)
 
     ORDER = ("source_path", "ordinal", "chunk_id")
 

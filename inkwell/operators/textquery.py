@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.functions.text import fold, phrase_count
+from inkwell.functions.text import fold, phrase_count, with_counts
 from inkwell.operators.search import bm25
 
 
@@ -129,7 +129,8 @@ def ranked(rows: DataFrame, query: Expression, words: str = "tokens") -> DataFra
     """Rows that match, with score: the sum of BM25 over the scored phrases, lower is better. Corpus statistics (rows, rows
     with each phrase, average length) are one aggregation over all rows, one row on the driver."""
     own = query.scored()
-    counts = {f"_f{k}": p.count(F.col(words)) for k, p in enumerate(own)}
-    total = rows.select(F.size(words).alias("_n"), *(c.alias(n) for n, c in counts.items())).agg(F.count(F.lit(1)), F.avg("_n"), *(F.count_if(F.col(n) > 0) for n in counts)).first()
-    score = reduce(lambda a, b: a + b, (bm25(c, F.size(words), total[0], hits, total[1]) for c, hits in zip(counts.values(), total[2:], strict=True)), F.lit(0.0))
-    return rows.filter(query.matches(F.col(words))).withColumn("score", score)
+    counts = {f"_f{k}": p.count for k, p in enumerate(own)}
+    found = with_counts(rows, words, {"_n": F.size, **counts, "_match": query.matches})
+    total = found.agg(F.count(F.lit(1)), F.avg("_n"), *(F.count_if(F.col(n) > 0) for n in counts)).first()
+    score = reduce(lambda a, b: a + b, (bm25(F.col(n), F.col("_n"), total[0], hits, total[1]) for n, hits in zip(counts, total[2:], strict=True)), F.lit(0.0))
+    return found.filter("_match").withColumn("score", score).drop("_n", *counts, "_match")

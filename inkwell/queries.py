@@ -165,13 +165,13 @@ def matched(*phrase: str) -> str:
 
 SCORED = """s AS (SELECT count(*) AS rows_all, count(*) FILTER (WHERE f > 0) AS hits, avg(n) AS mean FROM f),
 i AS (SELECT *, CASE WHEN ln((rows_all - hits + 0.5) / (hits + 0.5)) > 0 THEN ln((rows_all - hits + 0.5) / (hits + 0.5)) ELSE 1e-6 END AS idf FROM s)
-SELECT path, round(-idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS score FROM f, i WHERE f > 0"""
+SELECT path, round(-idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean)), 6) + 0.0 AS score FROM f, i WHERE f > 0"""
 
 
 def scored(spark: SparkSession, d: str, expression: textquery.Expression) -> DataFrame:
-    """All matching rows of a text query with their scores. Counts are found once a row and kept for the two passes."""
+    """All matching rows of a text query with their scores."""
     words = chunked(corpus(spark, d)).select(F.col("source_path").alias("path"), "tokens")
-    return textquery.ranked(words, expression).select("path", F.round("score", 6).alias("score"))
+    return textquery.ranked(words, expression).select("path", (F.round("score", 6) + 0.0).alias("score"))  # no negative zero
 
 
 @query(f"WITH {CORPUS}, {WORDS}, {matched('of')}, {SCORED}")
@@ -187,7 +187,7 @@ def fts_phrase(spark, d):
 @query(f"WITH {CORPUS}, {WORDS}, {matched('of')}, {SCORED} AND lang = 'en' AND quality = 1 ORDER BY -idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean)), path LIMIT 11".replace("SELECT path,", "SELECT path AS source_file,"))
 def fts_filtered(spark, d):
     page = engine(spark, d).full_text_search("of", {"lang": "en", "quality": 1}, limit=10)
-    return page.rows.select("source_file", F.round("score", 6).alias("score"))
+    return page.rows.select("source_file", (F.round("score", 6) + 0.0).alias("score"))
 
 
 def hits(name: str, condition: str) -> str:
@@ -200,7 +200,7 @@ def several(*names: str) -> str:
     stats = ", ".join(f"count(*) FILTER (WHERE {n} > 0) AS h_{n}" for n in names)
     idf = lambda n: f"CASE WHEN ln((rows_all - h_{n} + 0.5) / (h_{n} + 0.5)) > 0 THEN ln((rows_all - h_{n} + 0.5) / (h_{n} + 0.5)) ELSE 1e-6 END"
     score = " + ".join(f"(-({idf(n)}) * {n} * 2.2 / ({n} + 1.2 * (0.25 + 0.75 * len(t) / mean)))" for n in names)
-    return f"s AS (SELECT count(*) AS rows_all, avg(len(t)) AS mean, {stats} FROM f) SELECT path, round({score}, 6) AS score FROM f, s"
+    return f"s AS (SELECT count(*) AS rows_all, avg(len(t)) AS mean, {stats} FROM f) SELECT path, round({score}, 6) + 0.0 AS score FROM f, s"
 
 
 @query(f"WITH {CORPUS}, {WORDS}, f AS (SELECT *, {hits('a', "t[i] = 'of' AND t[i + 1] = 'the'")}, {hits('b', "t[i] = 'license'")}, {hits('x', "t[i] = 'in'")} FROM w), {several('a', 'b')} WHERE (a > 0 OR b > 0) AND x = 0")
