@@ -4,7 +4,8 @@ Hashes are 64-bit polynomials over bytes or code points, finished by a mixer; th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,20 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers: dict[str, np.ndarray] = {}
 
 
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """work for mapInArrow, with memory that is free given back to the system at a task's end: idle workers would keep the
+    peak of their last task beside the needs of the next stage."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim:
+            trim(0)
+
+    return run
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE to the power 0 .. n-1 and the inverses, modulo 2**64."""
     if len(_powers.get("up", ())) < n:

@@ -72,7 +72,7 @@ def recipes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string"), text_hash(text_col))
-    return rows.mapInArrow(chunk, f"row long, id {kind}, text_hash long, n_points long, text_sha256 string, chunks array<struct<key: long, digest: binary, size: long>>")
+    return rows.mapInArrow(_text.tidy(chunk), f"row long, id {kind}, text_hash long, n_points long, text_sha256 string, chunks array<struct<key: long, digest: binary, size: long>>")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -131,7 +131,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string"), text_hash(text_col))
-    return rows.mapInArrow(sketch, f"row long, id {kind}, text_hash long, whole binary, size long, bits array<long>, nibbles array<long>, bands array<long>")
+    return rows.mapInArrow(_text.tidy(sketch), f"row long, id {kind}, text_hash long, whole binary, size long, bits array<long>, nibbles array<long>, bands array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
@@ -158,7 +158,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
                         found[key] = np.unique(shingles(words[at[i] : at[i + 1]]).astype(np.uint32)).view(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.list_(pa.int32()))], names=["whole", "shingles"])
 
-    found = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(build, "whole binary, shingles array<int>")
+    found = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(_text.tidy(build), "whole binary, shingles array<int>")
     return found.groupBy("whole").agg(F.first("shingles").alias("shingles")).join(wanted, "whole").select("row", "shingles")
 
 

@@ -250,7 +250,7 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int
 
     rows = docs.select(F.col(text).cast("string").alias("_text"), *keep)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(cut, f"{kept}, piece int, start long, length long, ids binary")
+    return rows.mapInArrow(_text.tidy(cut), f"{kept}, piece int, start long, length long, ids binary")
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:

@@ -119,7 +119,7 @@ def over_texts(docs: DataFrame, text_col: str, name: str, kind: str, work) -> Da
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*names, name])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kept}, `{name}` {kind}")
+    return docs.mapInArrow(_text.tidy(run), f"{kept}, `{name}` {kind}")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Classifier:
