@@ -60,6 +60,29 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Rows and bytes of a batch that goes to Python, at most (a longer row is taken whole).
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs within send rows to Python in small batches: a batch of whole texts is held several times, by the JVM while its
+    buffer grows and by the worker. Settings of the session are as before at its end; smaller ones stay."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {name: spark.conf.get(name, None) for name in limits}
+    for name, limit in limits.items():
+        if not before[name] or not re.fullmatch(r"\d+", before[name]) or not 0 < int(before[name]) <= limit:
+            spark.conf.set(name, limit)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def stash(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: later jobs don't repeat its work, a lost executor
     costs nothing that was written, and ids that depend on the order of evaluation are fixed. Gone when the
@@ -67,7 +90,8 @@ def stash(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/inkwell-{uuid.uuid4().hex}/{name}"
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     if _open and not keep:
         _open[-1].append(folder)

@@ -20,32 +20,52 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers: dict[str, np.ndarray] = {}
+#: What this worker holds between tasks, by name: tables and tokenizers that are dear to make.
+held: dict[str, object] = {}
 
 
-def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """work for mapInArrow, with memory that is free given back to the system at a task's end: idle workers would keep the
-    peak of their last task beside the needs of the next stage."""
+def let_go(holds: tuple[str, ...]) -> None:
+    for name in held.keys() - {"powers", *holds}:
+        del held[name]
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], holds: tuple[str, ...] = ()):
+    """work for mapInArrow in a worker that later stages use too. What other work holds, beyond what is named in holds, is
+    let go at the start; memory that is free is given back to the system at the end, as idle workers would keep the peak of
+    their last task beside the needs of the next stage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(holds)  # these are functions of the module: what is within this one is sent to workers as a copy
         yield from work(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-        if trim:
-            trim(0)
+        give_back()
 
     return run
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE to the power 0 .. n-1 and the inverses, modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, STEP + 1)
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            x = np.full(size, base, dtype=np.uint64)
+    """BASE to the power 0 .. n-1 and the inverses, modulo 2**64. Those for a step are held, more are made anew."""
+
+    def make(size: int) -> tuple[np.ndarray, np.ndarray]:
+        both = np.empty((2, size), dtype=np.uint64)
+        for x, base in zip(both, (BASE, pow(BASE, -1, 1 << 64)), strict=True):
+            x[:] = base
             x[0] = 1
-            _powers[name] = np.cumprod(x, dtype=np.uint64)
-    return _powers["up"][:n], _powers["down"][:n]
+            np.cumprod(x, dtype=np.uint64, out=x)
+        return both[0], both[1]
+
+    if n > STEP + 1:
+        return make(n)
+    if "powers" not in held:
+        held["powers"] = make(STEP + 1)
+    up, down = held["powers"]
+    return up[:n], down[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

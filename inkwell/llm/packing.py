@@ -212,13 +212,10 @@ class Encoder:
         return ids, np.append(0, ends_at)[np.searchsorted(starts, rows)]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if path not in (own := _text.held.setdefault("encoders", {})):
+        own[path] = Encoder(path)
+    return own[path]
 
 
 def tokenise(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -250,7 +247,7 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int
 
     rows = docs.select(F.col(text).cast("string").alias("_text"), *keep)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(_text.tidy(cut), f"{kept}, piece int, start long, length long, ids binary")
+    return rows.mapInArrow(_text.tidy(cut, ("encoders",)), f"{kept}, piece int, start long, length long, ids binary")
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm import _text
-from inkwell.llm._tables import stash, text_hash
+from inkwell.llm._tables import small_batches, stash, text_hash
 from inkwell.llm.stages import keep_marked
 
 #: Labelled rows that the classifier is fitted on at most, chosen by a hash of their ids.
@@ -128,7 +128,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(sample)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), text_hash(text_col).alias("_hash")).join(F.broadcast(chosen.withColumnRenamed(id_col, "_id")), "_id")  # at most `sample` rows
     found = over_texts(rows, "_text", "_x", "array<double>", features).select(F.xxhash64("_id").alias("_order"), "_hash", "_y", "_x")
-    found = found.orderBy("_order", "_hash").limit(2 * sample).toArrow()  # repeated ids, too, have a bound and an order
+    with small_batches(docs.sparkSession):
+        found = found.orderBy("_order", "_hash").limit(2 * sample).toArrow()  # repeated ids, too, have a bound and an order
     x = np.concatenate([np.zeros(0), *(c.flatten().to_numpy() for c in found.column("_x").chunks)]).reshape(-1, FEATURES)
     return Classifier.fit(x, (found.column("_y").to_numpy() >= 0.5).astype(float))
 
