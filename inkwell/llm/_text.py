@@ -5,6 +5,7 @@ Hashes are 64-bit polynomials over bytes or code points, finished by a mixer; th
 from __future__ import annotations
 
 import ctypes
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -127,3 +128,51 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     first = offsets[:-1] - offsets[0]
     starts, ends = spans(SPACE[units], first[first < len(units)])
     return hashes(LOWER[units] if lower else units, starts, ends), np.append(np.searchsorted(starts, first), len(starts))
+
+
+#: Letters and digits of ASCII and all that is beyond it.
+TERM = np.zeros(256, dtype=bool)
+TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+#: Bytes of a span up to which checksums are taken for many spans at once.
+SHORT = 64
+
+
+def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of rows with A-Z in lower case, starts and ends of their terms (maximal runs of ASCII letters, digits and all
+    beyond ASCII), and where each row's terms begin."""
+    units = data[offsets[0] : offsets[-1]]
+    first = offsets[:-1] - offsets[0]
+    starts, ends = spans(~TERM[units], first[first < len(units)])
+    return LOWER[units], starts, ends, np.append(np.searchsorted(starts, first), len(starts))
+
+
+def crc_table() -> np.ndarray:
+    value = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        value = np.where(value & np.uint32(1), (value >> np.uint32(1)) ^ np.uint32(0xEDB88320), value >> np.uint32(1))
+    return value
+
+
+CRC = crc_table()
+
+
+def crc32s(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """zlib.crc32 of each span of bytes: a table look-up a byte for all spans that are longer, the longest first."""
+    size = ends - starts
+    order = np.argsort(-np.minimum(size, SHORT + 1).astype(np.int16), kind="stable")
+    at, size = starts[order], size[order]
+    out = np.full(len(order), 0xFFFFFFFF, dtype=np.uint32)
+    longer = int(np.searchsorted(-size, -SHORT, side="left"))
+    left = np.append(np.cumsum(np.bincount(np.minimum(size, SHORT), minlength=SHORT + 1)[::-1])[::-1], 0)  # spans of so many bytes or more
+    for k in range(SHORT):
+        n = int(left[k + 1])
+        if n == longer:
+            break
+        x = out[longer:n]
+        out[longer:n] = CRC[(x ^ units[at[longer:n] + k]) & np.uint32(255)] ^ (x >> np.uint32(8))
+    out ^= np.uint32(0xFFFFFFFF)
+    for i in range(longer):
+        out[i] = zlib.crc32(units[at[i] : at[i] + size[i]])
+    back = np.empty_like(out)
+    back[order] = out
+    return back

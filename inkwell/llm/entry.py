@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import brown, exact, licenses, mixing, near, order_minhash, packing, pii, quality, sharding
+from inkwell.llm import brown, exact, licenses, mixing, near, order_minhash, packing, pii, quality, resample, sharding
 from inkwell.llm._tables import read
 
 
@@ -57,6 +57,10 @@ def op10_pii(spark: SparkSession, sf_dir: str, key: str = "inkwell demonstration
     return pii.pseudonymise(read(spark, sf_dir, "documents"), key).select("doc_id", "kinds", "text")
 
 
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,7 +68,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_hilbert, op3_licenses, op4_near_dedup, op5_exact_dedup, op6_brown, op7_order_minhash, op8_packing, op9_quality, op10_pii, pipeline)}
+    return {f.__name__: f for f in (op1_mixing, op2_hilbert, op3_licenses, op4_near_dedup, op5_exact_dedup, op6_brown, op7_order_minhash, op8_packing, op9_quality, op10_pii, op12_resample, pipeline)}
 
 
 OP5_SQL = r"""
@@ -75,5 +79,28 @@ SELECT g.doc_id, k.keep_id, g.group_size, g.r = 1 AS kept, g.text_sha256 FROM g
 """
 
 
+#: crc32 by its table of 256 entries; each distinct word is hashed once.
+OP12_SQL = r"""
+WITH t AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc FROM range(256) r(i)),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+q AS (SELECT regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+dw AS (SELECT r, unnest(words) AS w FROM d),
+qw AS (SELECT unnest(words) AS w FROM q),
+v AS (SELECT DISTINCT w FROM (SELECT w FROM dw UNION ALL SELECT w FROM qw)),
+h AS (SELECT w, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen(w)), lambda k: ('0x' || substr(hex(encode(w)), 2 * k + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t.crc[(xor(c, b) & 255) + 1]))) % 10000 AS b FROM v, t),
+s AS (SELECT b, count(*) AS n FROM dw JOIN h USING (w) GROUP BY b),
+g AS (SELECT b, count(*) AS n FROM qw JOIN h USING (w) GROUP BY b),
+total AS (SELECT coalesce((SELECT sum(n) FROM s), 0)::DOUBLE AS s, coalesce((SELECT sum(n) FROM g), 0)::DOUBLE AS t),
+gain AS (SELECT i.b, floor(1000 * ln((coalesce(g.n, 0) + 1)::DOUBLE * (total.s + 10000) / ((coalesce(s.n, 0) + 1)::DOUBLE * (total.t + 10000))))::BIGINT AS gain
+         FROM range(10000) i(b) LEFT JOIN s USING (b) LEFT JOIN g USING (b), total),
+f AS (SELECT r, count(*) AS n, sum(gain)::BIGINT AS total FROM dw JOIN h USING (w) JOIN gain USING (b) GROUP BY r),
+x AS (SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce(CASE WHEN total < 0 THEN -((-total + n - 1) // n) ELSE total // n END, 0) AS weight,
+             ('0x' || substr(sha256('2024:' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN f USING (r)),
+y AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) FILTER (n_features >= 20) OVER () AS n FROM y)
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score, CASE WHEN n_features >= 20 AND place <= (10 * n) // 100 THEN place END AS rank FROM z
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op12_resample": OP12_SQL}
