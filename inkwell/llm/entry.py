@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import brown, exact, licenses, mixing, near, order_minhash, packing, pii, quality, resample, sharding
+from inkwell.llm import brown, exact, licenses, mixing, near, order_minhash, packing, pii, quality, resample, sharding, token_files
 from inkwell.llm._tables import read
 
 
@@ -61,6 +61,10 @@ def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.written_and_read(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_hilbert, op3_licenses, op4_near_dedup, op5_exact_dedup, op6_brown, op7_order_minhash, op8_packing, op9_quality, op10_pii, op12_resample, pipeline)}
+    return {f.__name__: f for f in (op1_mixing, op2_hilbert, op3_licenses, op4_near_dedup, op5_exact_dedup, op6_brown, op7_order_minhash, op8_packing, op9_quality, op10_pii, op12_resample, op13_token_files, pipeline)}
 
 
 OP5_SQL = r"""
