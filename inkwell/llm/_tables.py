@@ -83,15 +83,15 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(name, value)
 
 
-def stash(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def stash(df: DataFrame, name: str, keep: bool = False, options: dict[str, int] | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: later jobs don't repeat its work, a lost executor
     costs nothing that was written, and ids that depend on the order of evaluation are fixed. Gone when the
-    application ends, or (unless keep is set) the scratch() around it."""
+    application ends, or (unless keep is set) the scratch() around it. options: of the Parquet writer."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/inkwell-{uuid.uuid4().hex}/{name}"
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
     with small_batches(spark):
-        df.write.parquet(path)
+        df.write.options(**(options or {})).parquet(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     if _open and not keep:
         _open[-1].append(folder)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import brown, exact, licenses, mixing, near, order_minhash, packing, pii, quality, resample, sharding, token_files
+from inkwell.llm import brown, exact, lexical, licenses, mixing, near, order_minhash, packing, pii, quality, resample, sharding, token_files
 from inkwell.llm._tables import read
 
 
@@ -57,6 +57,10 @@ def op10_pii(spark: SparkSession, sf_dir: str, key: str = "inkwell demonstration
     return pii.pseudonymise(read(spark, sf_dir, "documents"), key).select("doc_id", "kinds", "text")
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -72,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_hilbert, op3_licenses, op4_near_dedup, op5_exact_dedup, op6_brown, op7_order_minhash, op8_packing, op9_quality, op10_pii, op12_resample, op13_token_files, pipeline)}
+    return {f.__name__: f for f in (op1_mixing, op2_hilbert, op3_licenses, op4_near_dedup, op5_exact_dedup, op6_brown, op7_order_minhash, op8_packing, op9_quality, op10_pii, op11_lexical, op12_resample, op13_token_files, pipeline)}
 
 
 OP5_SQL = r"""
@@ -83,6 +87,19 @@ SELECT g.doc_id, k.keep_id, g.group_size, g.r = 1 AS kept, g.text_sha256 FROM g
 """
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+q AS (SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+k AS (SELECT i, item_id, w, count(*) AS times FROM q GROUP BY ALL),
+s AS (SELECT count(*) FILTER (len(words) > 0) AS n, sum(len(words))::BIGINT AS l FROM d),
+p AS (SELECT r, w, count(*) AS tf FROM (SELECT r, unnest(words) AS w FROM d) WHERE w IN (SELECT w FROM k) GROUP BY r, w),
+f AS (SELECT w, floor(1000 * ln((2 * s.n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, s GROUP BY w, s.n),
+v AS (SELECT p.r, d.doc_id, p.w, f.weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * len(d.words) * s.n) // s.l))) AS worth FROM p JOIN d USING (r) JOIN f USING (w), s),
+t AS (SELECT i, item_id, r, doc_id, sum(times * worth)::BIGINT AS score FROM k JOIN v USING (w) GROUP BY ALL),
+o AS (SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM t WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10
+"""
+
 #: crc32 by its table of 256 entries; each distinct word is hashed once.
 OP12_SQL = r"""
 WITH t AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc FROM range(256) r(i)),
@@ -107,4 +124,4 @@ SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op12_resample": OP12_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op11_lexical": OP11_SQL, "op12_resample": OP12_SQL}
