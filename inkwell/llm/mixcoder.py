@@ -21,9 +21,12 @@ U = np.uint64
 #: Ids of a vocabulary at most.
 MOST = 1 << 22
 #: Bits of the mixture's weights, at most; lanes of a block at most, and ids of a lane at least.
-WEIGHT_BITS, LANES, LANE_IDS = 12, 2048, 256
+WEIGHT_BITS, LANES, LANE_IDS = 12, 4096, 256
 #: Bits of the order-2 table; a step of the schedule on which order-0 frequencies are taken anew.
 PAIR_BITS, ANEW = 18, 1.125
+#: By confidence, and 8 more after a hit: whether the id that came takes the place, or how the confidence changes.
+TAKEN = np.array([sure < 2 for sure in range(8)] + [sure < 1 for sure in range(8)])
+CHANGE = np.array([-1 % (1 << 32)] * 8 + [1] * 7 + [0], dtype=np.uint32)
 LOW32 = U(0xFFFFFFFF)
 HEADER = struct.Struct("<4sIIII")
 MAGIC = b"ICM1"
@@ -54,7 +57,7 @@ class Model:
         self.before = np.zeros(lanes, dtype=np.int64)
         self.earlier = np.zeros(lanes, dtype=np.int64)
         self.seen, self.hits = np.full(128, 4, dtype=np.int64), np.ones((2, 128), dtype=np.int64)
-        self.step, self.next, self.recent = 0, 1, []
+        self.step, self.next, self.recent, self.told = 0, 1, [], []
         self.take_weights()
         self.take_frequencies()
 
@@ -79,6 +82,12 @@ class Model:
 
     def take_weights(self) -> None:
         """Weights of the two predictions for each kind of confidences, and what is left for order 0."""
+        if self.told:
+            found = np.bincount(np.concatenate(self.told), minlength=512).reshape(128, 4)
+            self.told = []
+            self.seen += found.sum(axis=1)
+            self.hits[0] += found[:, 2] + found[:, 3]
+            self.hits[1] += found[:, 1]
         most = (1 << self.weight_bits) - 64
         two = np.minimum((self.hits[0] << self.weight_bits) // self.seen, most)
         one = np.minimum((self.hits[1] << self.weight_bits) // self.seen, most - two)
@@ -103,10 +112,9 @@ class Model:
         """The interval of each id, or of a new one, and which ids are coded as new."""
         begin, size = self.place(ids)
         new = np.flatnonzero(size == 0)
-        if len(new):
-            coded = ids.copy()
-            coded[new] = self.vocabulary
-            begin, size = self.place(coded)
+        if len(new):  # what comes after all ids
+            begin[new] = self.base[new] * self.below[-1] + self.mass_two[new] + self.mass_one[new]
+            size[new] = self.base[new] * self.share[-1]
         return begin, size, new
 
     def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,15 +132,12 @@ class Model:
 
     def learn(self, ids: np.ndarray) -> None:
         by_two, by_one = ids == self.by_two, ids == self.by_one
-        found = np.bincount(self.kind * 4 + by_two * 2 + (by_one & ~by_two), minlength=512).reshape(128, 4)
-        self.seen += found.sum(axis=1)
-        self.hits[0] += found[:, 2]
-        self.hits[1] += found[:, 1]
+        self.told.append(self.kind * 4 + by_two * 2 + by_one)
         self.recent.append(ids)
         fresh = (ids.astype(np.uint32) << np.uint32(3)) | np.uint32(1)
         for table, at, was, hit in ((self.two, self.pair, self.was_two, by_two), (self.one, self.before, self.was_one, by_one)):
-            sure = was & np.uint32(7)
-            table[at] = np.where(hit & (sure > 0), was + (sure < 7), np.where(sure > 1, was - np.uint32(1), fresh))
+            case = (was & np.uint32(7)) + (hit * np.uint32(8))
+            table[at] = np.where(TAKEN[case], fresh, was + CHANGE[case])
         self.earlier, self.before = self.before, ids
         self.step += 1
         if self.step < 32 or self.step % 8 == 0:
