@@ -4,9 +4,10 @@ Documents are vectors of the items' terms. Random hyperplanes give each a code;
 together, and ranges of that order are segments of the index. In a segment each term's posting list keeps the order and is
 cut into blocks; a block's summary is the coordinatewise maximum of its documents' vectors, rounded up to a byte.
 
-An item goes through the lists of its terms, the heaviest first. A document without the terms of earlier lists can't have
-more than its block's summary allows for the later ones, so that a block is skipped only if this bound is below the worst
-score of the ten best so far; all documents of other blocks are scored exactly."""
+An item goes through the lists of its terms, the heaviest first. A document that is first met in a list has none of the
+heavier terms, so a block's summary has the coordinates of its list's term and of lighter ones alone. A block is skipped only
+if this exact bound is below the worst score of the ten best so far; all documents of other blocks are scored. A short
+list's blocks are single documents, whose bound is their score."""
 
 from __future__ import annotations
 
@@ -24,8 +25,8 @@ from inkwell.llm._tables import partitions, small_batches, stash, with_position
 
 #: Documents of a segment, and cells of its table of documents and terms, at most.
 SEGMENT, CELLS = 4096, 1 << 24
-#: Documents of a block at least (a shorter list is one block), and blocks of a list in a segment at most.
-BLOCK, BLOCKS = 32, 16
+#: Documents of a list up to which its blocks are single documents; of other blocks at least, and such blocks of a list at most.
+SINGLE, BLOCK, BLOCKS = 24, 64, 16
 #: Random hyperplanes of a code. Distinct terms and terms (with items) of the items that are searched for at once.
 PLANES, TERMS, QUERIES = 24, 8192, 1 << 20
 #: A vector's values are below 10**6: shifted by so many bits (rounded up) they fit a byte.
@@ -118,15 +119,16 @@ def holding(vectors: DataFrame, terms: int) -> np.ndarray:
     return out
 
 
-def coded(vectors: DataFrame, weight: np.ndarray, documents: int, words: int) -> DataFrame:
+def coded(vectors: DataFrame, weight: np.ndarray, rank: np.ndarray, documents: int, words: int) -> DataFrame:
     """id, code, terms, values (binary, 32-bit) of documents that hold a term: bits of the code are the sides of random
-    hyperplanes on which the weighted vector lies."""
+    hyperplanes on which the weighted vector lies. Terms are numbered anew by rank; weight is by the new numbers."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = _text.mix(np.arange(1, len(weight) + 1, dtype=np.uint64) * np.uint64(_text.BASE))
         sides = np.where((bits[:, None] >> np.arange(PLANES, dtype=np.uint64)) & np.uint64(1), 1.0, -1.0).astype(np.float32)
         for batch in batches:
             term, at = numbers(batch.column(2))
+            term = rank[term]
             times, _ = numbers(batch.column(3))
             n = batch.column(1).to_numpy()
             value = saturation(times, np.repeat(n, np.diff(at)), documents, words)
@@ -136,43 +138,52 @@ def coded(vectors: DataFrame, weight: np.ndarray, documents: int, words: int) ->
                 for plane in range(PLANES):
                     key = key << 1 | (np.add.reduceat(power * sides[term, plane], at[:-1]) > 0)
             raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(value.astype("<i4").tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key), batch.column(4), batch.column(2), raw], names=["id", "code", "_row", "terms", "values"])
+            name = pa.Array.from_buffers(pa.binary(), len(n), [None, raw.buffers()[1], pa.py_buffer(term.astype("<i4").tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key), batch.column(4), name, raw], names=["id", "code", "_row", "terms", "values"])
 
     rows = vectors.filter("length(terms) > 0").select("id", "n", "terms", "times", "_row")
     return rows.mapInArrow(code, f"id {vectors.schema['id'].dataType.simpleString()}, code long, _row long, terms binary, values binary")
 
 
-FIELDS = {"starts": "<i4", "terms": "<i4", "values": "<i4", "lists": "<i4", "cuts": "<i4", "postings": "<i4", "rows": "<i4", "coordinates": "<u2", "maxima": "u1"}
+FIELDS = ("starts", "terms", "values", "lists", "postings", "blocks", "cuts", "rows", "coordinates", "maxima")
+
+
+def stored(field: str, width: int) -> str:
+    """How a field's numbers are stored: a segment has at most 2**16 documents, an index mostly as few terms."""
+    return "u1" if field == "maxima" else "<u2" if field == "postings" or field in ("terms", "coordinates") and width <= 1 << 16 else "<i4"
+
+
+def upper(values: np.ndarray) -> np.ndarray:
+    return (values + (1 << SHIFT) - 1) >> SHIFT
 
 
 def segment(ids: pa.Array, starts: np.ndarray, terms: np.ndarray, values: np.ndarray, width: int) -> pa.RecordBatch:
-    """One row of the index: documents, the blocks of their terms' lists, and the blocks' summaries.
+    """One row of the index: documents, the posting lists of terms, their blocks, and the blocks' summaries.
 
-    lists: where each term's blocks begin; cuts: where each block's postings begin; postings: documents of the segment; rows,
-    coordinates, maxima: the summaries' values that aren't zero, block by block."""
+    lists: where each term's postings begin; blocks: its blocks, none for a list of single documents; cuts: the bounds of
+    blocks among postings, two a block; rows, coordinates, maxima: summaries, block by block."""
     n = len(ids)
     owner = np.repeat(np.arange(n), np.diff(starts))
     table = np.zeros((n, width), dtype=np.uint8)
-    table[owner, terms] = (values + (1 << SHIFT) - 1) >> SHIFT
+    table[owner, terms] = upper(values)
     order = np.argsort(terms, kind="stable")
     posting, length = owner[order], np.bincount(terms, minlength=width)
+    lists = np.append(0, np.cumsum(length))
     # Blocks of nearly equal size, documents in the order of codes.
-    blocks = np.minimum(-(-length // BLOCK), BLOCKS)
-    lists = np.append(0, np.cumsum(blocks))
-    of = np.repeat(np.arange(width), blocks)
-    turn = np.arange(len(of)) - lists[of]
-    first = np.cumsum(length) - length
-    cuts = np.append(first[of] + turn * length[of] // np.maximum(blocks[of], 1), len(posting))
-    summary = np.empty((len(of), width), dtype=np.uint8)
-    size = np.diff(cuts)
-    lone = size == 1
-    summary[lone] = table[posting[cuts[:-1][lone]]]
-    for b in np.flatnonzero(~lone).tolist():
-        np.max(table[posting[cuts[b] : cuts[b + 1]]], axis=0, out=summary[b])
-    many = np.flatnonzero(size > 1)  # a block of one document has that document's own vector
-    at, coordinate = np.nonzero(summary[many])
-    found = {"starts": starts, "terms": terms, "values": values, "lists": lists, "cuts": cuts, "postings": posting, "rows": np.append(0, np.cumsum(np.bincount(at, minlength=len(many)))), "coordinates": coordinate, "maxima": summary[many][at, coordinate]}
-    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids), *(pa.array([found[k].astype(t).tobytes()], pa.binary()) for k, t in FIELDS.items())], names=["ids", *FIELDS])
+    many = np.where(length > SINGLE, np.minimum(-(-length // BLOCK), BLOCKS), 0)
+    blocks = np.append(0, np.cumsum(many))
+    of = np.repeat(np.arange(width), many)
+    turn = np.arange(len(of)) - blocks[of]
+    cuts = np.stack([lists[of] + turn * length[of] // many[of], lists[of] + (turn + 1) * length[of] // many[of]], axis=1)
+    coordinates, maxima = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint8)]
+    for term, (a, b) in zip(of.tolist(), cuts.tolist(), strict=True):
+        most = table[posting[a:b], term:].max(axis=0)
+        used = np.flatnonzero(most)
+        coordinates.append(used + term)
+        maxima.append(most[used])
+    rows = np.cumsum([0, *map(len, coordinates[1:])])
+    found = {"starts": starts, "terms": terms, "values": values, "lists": lists, "postings": posting, "blocks": blocks, "cuts": cuts.ravel(), "rows": rows, "coordinates": np.concatenate(coordinates), "maxima": np.concatenate(maxima)}
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids), *(pa.array([found[k].astype(stored(k, width)).tobytes()], pa.binary()) for k in FIELDS)], names=["ids", *FIELDS])
 
 
 def build_index(rows: DataFrame, width: int) -> DataFrame:
@@ -204,58 +215,59 @@ def build_index(rows: DataFrame, width: int) -> DataFrame:
     return dealt.mapInArrow(_text.tidy(build), f"ids array<{kind}>, " + ", ".join(f"{k} binary" for k in FIELDS))
 
 
+def ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """first[0] .. last[0] - 1, first[1] .. and so on."""
+    n = last - first
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 class Segment:
     def __init__(self, fields: dict[str, np.ndarray], width: int):
-        self.__dict__.update(fields)
-        self.starts = self.starts.astype(np.int64)
-        size = np.diff(self.cuts)
-        self.summary = np.zeros((len(size), width), dtype=np.uint8)
-        many, lone = np.flatnonzero(size > 1), np.flatnonzero(size == 1)
-        self.summary[np.repeat(many, np.diff(self.rows)), self.coordinates] = self.maxima
-        doc = self.postings[self.cuts[:-1][lone]]
-        n = self.starts[doc + 1] - self.starts[doc]
-        pick = np.repeat(self.starts[doc] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        self.summary[np.repeat(lone, n), self.terms[pick]] = (self.values[pick] + (1 << SHIFT) - 1) >> SHIFT
+        self.__dict__.update({k: v.astype(np.int64) if k in ("starts", "lists", "blocks", "cuts") else v for k, v in fields.items()})
+        self.cuts = self.cuts.reshape(-1, 2)
+        self.summary = np.zeros((len(self.cuts), width), dtype=np.uint8)
+        self.summary[np.repeat(np.arange(len(self.cuts)), np.diff(self.rows)), self.coordinates] = self.maxima
 
     def scores(self, docs: np.ndarray, power: np.ndarray) -> np.ndarray:
-        n = self.starts[docs + 1] - self.starts[docs]
-        begin = np.cumsum(n) - n
-        pick = np.repeat(self.starts[docs] - begin, n) + np.arange(int(n.sum()))
-        return np.add.reduceat(power[self.terms[pick]] * self.values[pick], begin)
+        first, last = self.starts[docs], self.starts[docs + 1]
+        pick = ranges(first, last)
+        return np.add.reduceat(power[self.terms[pick]] * self.values[pick], np.cumsum(last - first) - (last - first))
 
     def best(self, terms: np.ndarray, weights: np.ndarray, power: np.ndarray, least: int, count: int) -> tuple[np.ndarray, np.ndarray]:
         """Documents with a score of at least `least` and above 0 that may be among the best `count`, and their scores.
 
-        terms: an item's, the heaviest first; weights: theirs; power: the same by term number."""
-        first, last = self.lists[terms], self.lists[terms + 1]
-        n = last - first
-        block = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        if not len(block):
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        turn = np.repeat(np.arange(len(terms)), n)
-        allowed = self.summary[block[:, None], terms[None, :]].astype(np.int64) * np.where(np.arange(len(terms)) >= turn[:, None], weights << SHIFT, 0)
-        bound = allowed.sum(axis=1)
+        terms: an item's, in order of their numbers, which is from the heaviest on; weights: theirs with repeats; power: the
+        same by term number."""
+        done = np.zeros(len(self.starts) - 1, dtype=bool)
+        docs, scores = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+
+        def score(postings: np.ndarray) -> None:
+            nonlocal least
+            own = np.zeros(len(done), dtype=bool)
+            own[postings] = True
+            own = np.flatnonzero(own & ~done)
+            if not len(own):
+                return
+            done[own] = True
+            docs.append(own)
+            scores.append(self.scores(own, power))
+            known = np.concatenate(scores)
+            if len(known) >= count:
+                least = max(least, int(np.partition(known, len(known) - count)[len(known) - count]))
+
+        n = self.blocks[terms + 1] - self.blocks[terms]
+        alone = terms[n == 0]
+        score(self.postings[ranges(self.lists[alone], self.lists[alone + 1])])
+        block = ranges(self.blocks[terms], self.blocks[terms + 1])
+        # A summary has no coordinates of terms heavier than its list's.
+        bound = self.summary[block[:, None], terms[None, :]].astype(np.int64) @ (weights << SHIFT)
         order = np.argsort(-bound, kind="stable")
         block, bound = block[order], bound[order]
-        done = np.zeros(len(self.starts) - 1, dtype=bool)
-        docs, scores, a, step = [], [], 0, 4
+        a, step = 0, 4
         while a < len(block) and bound[a] >= max(least, 1):
             b = min(int(np.searchsorted(-bound, -max(least, 1), side="right")), a + step)
-            size = self.cuts[block[a:b] + 1] - self.cuts[block[a:b]]
-            own = self.postings[np.repeat(self.cuts[block[a:b]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-            new = np.zeros(len(done), dtype=bool)
-            new[own] = True
-            own = np.flatnonzero(new & ~done)
-            done[own] = True
-            if len(own):
-                docs.append(own)
-                scores.append(self.scores(own, power))
-                known = np.concatenate(scores)
-                if len(known) >= count:
-                    least = max(least, int(np.partition(known, len(known) - count)[len(known) - count]))
+            score(self.postings[ranges(self.cuts[block[a:b], 0], self.cuts[block[a:b], 1])])
             a, step = b, 2 * step
-        if not docs:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         docs, scores = np.concatenate(docs), np.concatenate(scores)
         fit = scores >= max(least, 1)
         return docs[fit], scores[fit]
@@ -271,7 +283,7 @@ def search_index(index: DataFrame, queries: list[tuple[int, np.ndarray, np.ndarr
         top: list[list] = [[] for _ in queries]
         ordered = []
         for _, terms, weights in queries:
-            heavy = np.argsort(-weights, kind="stable")
+            heavy = np.argsort(terms)
             ordered.append((terms[heavy], weights[heavy]))
         power = np.zeros(width, dtype=np.int64)
         id_type = None
@@ -281,7 +293,7 @@ def search_index(index: DataFrame, queries: list[tuple[int, np.ndarray, np.ndarr
                 id_type = ids.type
                 place = np.empty(len(ids), dtype=np.int64)
                 place[pc.sort_indices(ids, null_placement="at_end").to_numpy()] = np.arange(len(ids))
-                own = Segment({k: np.frombuffer(batch.column(1 + j)[i].as_buffer(), dtype=t) for j, (k, t) in enumerate(FIELDS.items())}, width)
+                own = Segment({k: np.frombuffer(batch.column(1 + j)[i].as_buffer(), dtype=stored(k, width)) for j, k in enumerate(FIELDS)}, width)
                 for q, (terms, weights) in enumerate(ordered):
                     power[terms] = weights
                     docs, scores = own.best(terms, weights, power, -top[q][-1][0] if len(top[q]) == count else 0, count)
@@ -298,14 +310,17 @@ def search_index(index: DataFrame, queries: list[tuple[int, np.ndarray, np.ndarr
     return index.mapInArrow(_text.tidy(search), f"item long, id {kind}, score long")
 
 
-def write_index(docs: DataFrame, terms: list[bytes], id_col: str, text_col: str) -> tuple[DataFrame, np.ndarray]:
-    """The index of documents for terms, written; and the terms' weights."""
+def write_index(docs: DataFrame, terms: list[bytes], id_col: str, text_col: str) -> tuple[DataFrame, dict[bytes, int], np.ndarray]:
+    """The index of documents for terms, written; the terms' numbers in it, from the heaviest on, and their weights."""
     vectors = term_vectors(docs, terms, id_col, text_col)
     documents, words = vectors.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
     weight = np.array([term_weight(documents, n) for n in holding(vectors, len(terms)).tolist()], dtype=np.int64)
-    index = build_index(coded(vectors, weight, documents, words), len(terms))
+    heavy = np.argsort(-weight, kind="stable")
+    rank = np.empty(len(terms), dtype=np.int64)
+    rank[heavy] = np.arange(len(terms))
+    index = build_index(coded(vectors, weight[heavy], rank, documents, words), len(terms))
     # A segment is some MB: row groups are small, so that few are held at once.
-    return stash(index, "index", options={"parquet.block.size": 16 << 20}), weight
+    return stash(index, "index", options={"parquet.block.size": 8 << 20}), dict(zip(terms, rank.tolist(), strict=True)), weight[heavy]
 
 
 def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", count: int = 10) -> DataFrame:
@@ -333,8 +348,7 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
         if not own:
             continue
         terms = sorted({bytes(r["term"]) for r in own})
-        number = {t: i for i, t in enumerate(terms)}
-        index, weight = write_index(docs, terms, id_col, text_col)
+        index, number, weight = write_index(docs, terms, id_col, text_col)
         queries: dict[int, dict[int, int]] = {}
         for r in own:
             queries.setdefault(r["item"], {})[number[bytes(r["term"])]] = r["times"]
