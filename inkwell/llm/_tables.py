@@ -31,15 +31,21 @@ def text_hash(column: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
+#: The temporary folder of a local run without a shared one.
+_local: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Only where it is unset and all tasks run in the driver's own process (local runs,
     tests) a temporary one is made: on a cluster each executor would write to a disk of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and _local:
+        return _local[0]
     if not folder:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("on a cluster, spark.checkpoint.dir has to name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="inkwell-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        _local.append(folder)
     return folder.rstrip("/")
 
 

@@ -234,7 +234,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     x, y = parts.filter(F.col("part") != F.col("head")).alias("x"), parts.alias("y")
     alike = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") != F.col("y.part")) & plausible("x.own", "y.own", threshold)
     alike &= (F.col("y.part") == F.col("y.head")) | (F.col("x.row") < F.col("y.row"))  # pairs of others once
-    alike &= F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == F.col("x.bucket")  # and in the first bucket they share
+    alike &= F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.bucket")  # and in the least bucket they share, whichever side is x
     rest = x.join(y, alike).select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
     links = links.union(stash(verified(rest, sets, threshold), "more"))
     label = components(links).withColumnRenamed("node", "row")

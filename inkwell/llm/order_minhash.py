@@ -109,33 +109,34 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """bucket, halo, id, text, dealt out so that a task holds a run of rows, then the row with halo set that comes next: ids
     descend, null is last, rows of one id go by a hash of their text, and after the last comes the first.
 
-    Runs are cut at places in the order of (id, hash, row number), found on these columns alone, so that rows of one id, of
-    none or of one text are split as others are. The driver sees one row a cut; each text moves once (those
-    at a cut twice)."""
+    Runs are cut at keys (id, hash), found on these columns alone, so that rows of one id, or of none, are split as others
+    are. A cut is a key and not a row: rows that agree in id and text are in one run, and it makes no difference if the table
+    gives its rows in another order when it is read again. The driver sees one key a cut; each text moves once (those at a
+    cut twice)."""
     count = 2 * partitions(docs.sparkSession)
     value = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(value).alias("hash"), F.monotonically_increasing_id().alias("row"), value.alias("text"))
-    placed = with_position(rows.drop("text"), [F.col("id").asc_nulls_first(), F.col("hash"), F.col("row")], "_position")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(value).alias("hash"), value.alias("text"))
+    placed = with_position(rows.drop("text"), [F.col("id").asc_nulls_first(), F.col("hash")], "_position")
     size = placed.count()
     each = max(1, -(-size // count))
-    last = placed.filter(((F.col("_position") + 1) % each == 0) | (F.col("_position") == size - 1)).orderBy("_position")
-    cuts = [(r["id"] is not None, r["id"], r["hash"], r["row"]) for r in last.select("id", "hash", "row").collect()]
+    last = placed.filter(((F.col("_position") + 1) % each == 0) | (F.col("_position") == size - 1)).select("id", "hash").distinct()
+    cuts = sorted((r["id"] is not None, r["id"], r["hash"]) if r["id"] is not None else (False, 0, r["hash"]) for r in last.collect())
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["bucket", "halo", "id", "hash", "row", "text"]
+    names = ["bucket", "halo", "id", "hash", "text"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [(i is not None, i, h, r) for i, h, r in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)]
+            keys = [(i is not None, i if i is not None else 0, h) for i, h in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True)]
             own = [bisect_left(cuts, k) for k in keys]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([False] * len(own)), *batch.columns], names=names)
-            # The greatest row of a run is what comes after the least one of the run above.
+            # The greatest key of a run is what comes after the least one of the run above; equal rows do as well.
             ends = [i for i, b in enumerate(own) if keys[i] == cuts[b]]
             if ends:
                 yield pa.RecordBatch.from_arrays([pa.array([(own[i] + 1) % len(cuts) for i in ends], pa.int32()), pa.array([True] * len(ends)), *batch.take(pa.array(ends)).columns], names=names)
 
-    dealt = rows.mapInArrow(deal, f"bucket int, halo boolean, id {kind}, hash long, row long, text string")
+    dealt = rows.mapInArrow(deal, f"bucket int, halo boolean, id {kind}, hash long, text string")
     dealt = dealt.repartitionById(max(1, len(cuts)), F.col("bucket")) if cuts else dealt
-    return dealt.sortWithinPartitions("bucket", "halo", F.col("id").desc_nulls_last(), F.col("hash").desc(), F.col("row").desc()).select("bucket", "halo", "id", "text")
+    return dealt.sortWithinPartitions("bucket", "halo", F.col("id").desc_nulls_last(), F.col("hash").desc()).select("bucket", "halo", "id", "text")
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, take: int = TAKE, components: int = COMPONENTS) -> DataFrame:
