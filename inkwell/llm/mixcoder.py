@@ -24,8 +24,8 @@ MOST = 1 << 22
 WEIGHT_BITS, LANES, LANE_IDS = 12, 4096, 256
 #: Bits of the order-2 table; a step of the schedule on which order-0 frequencies are taken anew.
 PAIR_BITS, ANEW = 18, 1.125
-#: By confidence, and 8 more after a hit: whether the id that came takes the place, or how the confidence changes.
-TAKEN = np.array([sure < 2 for sure in range(8)] + [sure < 1 for sure in range(8)])
+#: By confidence, and 8 more after a hit: whether the id that came takes the place (all bits set), or how the confidence changes.
+TAKEN = np.array([sure < 2 for sure in range(8)] + [sure < 1 for sure in range(8)]) * np.uint32(0xFFFFFFFF)
 CHANGE = np.array([-1 % (1 << 32)] * 8 + [1] * 7 + [0], dtype=np.uint32)
 LOW32 = U(0xFFFFFFFF)
 HEADER = struct.Struct("<4sIIII")
@@ -126,8 +126,8 @@ class Model:
         rest = value - self.mass_two * (value >= two_end) - self.mass_one * (value >= one_end)
         # Within the interval of a predicted id the rest may pass the table's end: it isn't used there.
         ids = self.at[np.minimum((rest.astype(np.float64) / self.base).astype(np.int64), self.total - 1)]
-        ids = np.where((value >= two_at) & (value < two_end), self.by_two, ids)
-        ids = np.where((value >= one_at) & (value < one_end), self.by_one, ids)
+        for inside, own in (((value >= two_at) & (value < two_end), self.by_two), ((value >= one_at) & (value < one_end), self.by_one)):
+            ids = ids + (own - ids) * inside
         return ids, *self.place(ids)
 
     def learn(self, ids: np.ndarray) -> None:
@@ -136,8 +136,9 @@ class Model:
         self.recent.append(ids)
         fresh = (ids.astype(np.uint32) << np.uint32(3)) | np.uint32(1)
         for table, at, was, hit in ((self.two, self.pair, self.was_two, by_two), (self.one, self.before, self.was_one, by_one)):
-            case = (was & np.uint32(7)) + (hit * np.uint32(8))
-            table[at] = np.where(TAKEN[case], fresh, was + CHANGE[case])
+            case = (was & np.uint32(7)).astype(np.intp) + hit * 8
+            taken = TAKEN[case]
+            table[at] = fresh & taken | (was + CHANGE[case]) & ~taken
         self.earlier, self.before = self.before, ids
         self.step += 1
         if self.step < 32 or self.step % 8 == 0:

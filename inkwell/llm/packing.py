@@ -116,13 +116,19 @@ class Encoder:
         for kind, pattern in ((1, r"\p{L}+"), (2, r"\p{N}+"), (3, r"\p{White_Space}+")):
             for m in regex.finditer(pattern, points):
                 self.kind[m.start() : m.end()] = kind
-        self.letters = dict(zip(range(256), byte_letters(), strict=True))
+        self.letters = np.array([ord(c) for c in byte_letters()], dtype="<u2")
         self.forget()
 
-    def one(self, pre_token: str) -> list[int]:
-        if pre_token in self.added:
-            return [self.added[pre_token]]
-        return [x.id for x in self.tokenizer.model.tokenize(pre_token.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters))]
+    def many(self, text: str, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, literal: bool) -> list[list[int]]:
+        """Ids of pre-tokens, given by their code points in text, whose bytes are raw."""
+        byte = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+        spelled, tokenize = self.letters[raw].tobytes().decode("utf-16-le"), self.tokenizer.model.tokenize
+        found = [[x.id for x in tokenize(spelled[a:b])] for a, b in zip(byte[starts].tolist(), byte[ends].tolist(), strict=True)]
+        if literal:  # an added token that stands in the text
+            for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+                if text[a:b] in self.added:
+                    found[i] = [self.added[text[a:b]]]
+        return found
 
     def forget(self) -> None:
         self.known = np.zeros(0, dtype=np.uint64)
@@ -198,7 +204,7 @@ class Encoder:
         new = np.ones(len(unique), dtype=bool) if not len(self.known) else self.known[np.minimum(at, len(self.known) - 1)] != unique
         if new.any():
             pick = sample[new]
-            found = [self.one(text[a:b]) for a, b in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)]
+            found = self.many(text, raw, starts[pick], ends[pick], len(spans) > 0)
             n = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
             where = len(self.ids) + np.cumsum(n) - n
             self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(n.sum()))])
