@@ -72,6 +72,26 @@ def permute_pair(key: str, kind: Column, a: Column, b: Column, m: Column, n: Col
     return F.aggregate(F.lit(list(range(ROUNDS))), F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")), step)
 
 
+def bare(value: Column) -> Column:
+    """Letters and digits alone: what is permuted, however a value is spelled."""
+    return F.regexp_replace(value, "[^0-9A-Za-z]", "")
+
+
+def laid(form: Column, plain: Column) -> Column:
+    """The letters and digits of plain where form has some; form's separators stay."""
+
+    def step(s: Column, c: Column) -> Column:
+        own = c.between("0", "9") | c.between("a", "z") | c.between("A", "Z")
+        return F.struct((s["i"] + own.cast("int")).alias("i"), F.concat(s["s"], F.when(own, F.substring(plain, s["i"] + 1, F.lit(1))).otherwise(c)).alias("s"))
+
+    return F.aggregate(letters(form), F.struct(F.lit(0).alias("i"), F.lit("").alias("s")), step, lambda s: s["s"])
+
+
+def cased(form: Column, plain: Column) -> Column:
+    """plain with capitals where form, of the same length, has some."""
+    return F.array_join(F.zip_with(letters(form), letters(plain), lambda f, c: F.when(f.between("A", "Z"), F.upper(c)).otherwise(c)), "")
+
+
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -110,17 +130,18 @@ def described(v: Column) -> Column:
 def taken_apart(x: Column) -> Column:
     """Adds body (text to be permuted) or a, b, m, n (numbers to be permuted); neither for values that aren't valid.
 
-    Emails keep their domain, phone numbers (7 to 15 digits) a country code, IBANs (with a valid check) country and check
+    Of a body letters and digits are permuted as if it had no separators, of an email as if it were in lower case, so that
+    spellings of one value are linked. Emails keep their domain, phone numbers (7 to 15 digits) a country code, IBANs (with a valid check) country and check
     digits. Long numbers are valid if their check digit is right, or with 16 digits, as accounts without a check have; all
     but the last digit is body. Addresses are two halves, dates days within a block, security numbers their rank."""
     v, kind = x["v"], x["kind"]
     plain = F.replace(v, F.lit(" "), F.lit(""))
-    account = F.when(mod97(F.concat(F.substring(plain, 5, 40), F.substring(plain, 1, 4))) == 1, F.substring(v, 5, 60))
+    account = F.when(mod97(F.concat(F.substring(plain, 5, 40), F.substring(plain, 1, 4))) == 1, F.substring(plain, 5, 60))
     code = F.length(F.regexp_extract(v, r"^\+\d{1,3}(?=[ .(-])", 0))
     n_digits = F.length(digits(v))
-    phone = F.when(n_digits.between(7, 15), F.substring(v, code + 1, F.lit(60)))
-    number = F.when((n_digits == 16) | (luhn(digits(v)) == 0), F.call_function("left", v, F.length(v) - 1))
-    body = case(kind, email=F.substring_index(v, "@", 1), phone=phone, number=number, iban=account)
+    phone = F.when(n_digits.between(7, 15), bare(F.substring(v, code + 1, F.lit(60))))
+    number = F.when((n_digits == 16) | (luhn(digits(v)) == 0), F.call_function("left", digits(v), n_digits - 1))
+    body = case(kind, email=F.lower(F.substring_index(v, "@", 1)), phone=phone, number=number, iban=account)
     m, n = DAYS
     at = F.pmod(x["days"], F.lit(m * n))
     part = lambda i: F.get(F.split(v, r"\."), F.lit(i)).cast("long")
@@ -145,7 +166,7 @@ def put_together(x: Column) -> Column:
     code = F.regexp_extract(v, r"^\+\d{1,3}(?=[ .(-])", 0)
     check = (luhn(digits(v)) - luhn(F.concat(digits(text), F.lit("0"))) + 10) % 10
     country = F.substring(v, 1, 2)
-    checks = F.lpad((98 - mod97(F.concat(F.replace(text, F.lit(" "), F.lit("")), country, F.lit("00")))).cast("string"), 2, "0")
+    checks = F.lpad((98 - mod97(F.concat(text, country, F.lit("00")))).cast("string"), 2, "0")
     octets = F.concat_ws(".", *(y.cast("string") for half in (a, b) for y in (F.floor(half / 256), half % 256)))
     m, n = DAYS
     day = F.date_add(F.lit("1900-01-01").cast("date"), (F.floor(x["days"] / (m * n)) * (m * n) + a * n + b).cast("int"))
@@ -154,10 +175,10 @@ def put_together(x: Column) -> Column:
     ssn = F.concat_ws("-", *(F.lpad(y.cast("string"), k, "0") for y, k in ((F.when(area >= 665, area + 2).otherwise(area + 1), 3), (a % 99 + 1, 2), (b + 1, 4))))
     new = case(
         x["kind"],
-        email=F.concat(text, F.lit("@"), F.substring_index(v, "@", -1)),
-        phone=F.when(text.isNotNull(), F.concat(code, text)),
-        number=F.when(text.isNotNull(), F.concat(text, check.cast("string"))),
-        iban=F.concat(country, checks, text),
+        email=F.concat(cased(F.substring_index(v, "@", 1), text), F.lit("@"), F.substring_index(v, "@", -1)),
+        phone=F.when(text.isNotNull(), F.concat(code, laid(F.substring(v, F.length(code) + 1, F.lit(60)), text))),
+        number=F.when(text.isNotNull(), laid(v, F.concat(text, check.cast("string")))),
+        iban=F.concat(country, checks, laid(F.substring(v, 5, 60), text)),
         ip=F.when(a.isNotNull(), octets),
         # A year beyond four digits has no place in the format: such a date (after 9700) stays.
         date=F.when(F.length(date) == F.length(v), date),
@@ -169,7 +190,9 @@ def put_together(x: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", kinds_col: str = "kinds") -> DataFrame:
     """Replaces text_col by the text with pseudonyms and adds kinds_col, the kinds of the values found, in their order.
 
-    A null text stays null, without kinds. Values that match a pattern but aren't valid stay as they are, and so does
+    A null text stays null, without kinds; an empty one and those without a value stay as they are, an empty table gives no
+    rows, repeated rows become alike, and texts of any length are worked on whole. Numbers of 16 digits count without a right
+    check digit too (kind number): account numbers have none. Values that match a pattern but aren't valid stay as they are, and so does
     all other text. Rows, their number and other columns stay, whatever their names; a column named as kinds_col is refused.
     The key stands in the plan: give it by a name that the session redacts, or keep plans and event logs private."""
     if kinds_col in docs.columns:
