@@ -22,6 +22,7 @@ from inkwell.functions.jsonkind import as_type, json_value, kind_of
 from inkwell.functions.text import cosine_distance, fold, phrase_count, with_counts
 from inkwell.operators.filters import FIELD, where
 from inkwell.operators.policy import Policy, decision
+from inkwell.sources.index import Index, Statistics
 
 K1, B, RRF = 1.2, 0.75, 60
 OFFSETS = 10_000
@@ -105,6 +106,18 @@ class Search:
     config: SearchConfig = field(default_factory=SearchConfig)
     policy: Policy | None = None
     embed: Callable[[list[str]], list[list[float]]] | None = None
+    #: Of an index: with them full text looks words up instead of reading chunks.
+    postings: DataFrame | None = None
+    terms: DataFrame | None = None
+    statistics: Statistics | None = None
+
+    @classmethod
+    def of(cls, index: Index, config: SearchConfig | None = None, policy: Policy | None = None, embed: Callable[[list[str]], list[list[float]]] | None = None) -> Search:
+        """Search over one version of an index, with its postings and counts."""
+        manifest = index.manifest()
+        tables, counts = index.tables(manifest), index.statistics(manifest)
+        kept = {} if counts is None else {"postings": tables["postings"], "terms": tables["terms"], "statistics": counts}
+        return cls(tables["documents"], tables["chunks"], tables["attributes"], config or SearchConfig(), policy, embed, **kept)
 
     # What a caller may see -------------------------------------------------------------------------------------------
 
@@ -189,6 +202,15 @@ class Search:
     def _ranked_text(self, query: str, rows: DataFrame) -> DataFrame:
         """Adds score; with a policy it is null, and the order by path tells nothing of hidden rows."""
         phrase = fold(text_of(query))
+        if self.postings is not None:
+            from inkwell.operators import postings, textquery
+
+            whole = textquery.Phrase(tuple(phrase))
+            if self.policy:
+                found = postings.matching(self.postings, whole).select(*postings.CHUNK, F.lit(None).cast("double").alias("score"))
+            else:
+                found = postings.ranked(self.postings, self.terms, self.statistics, whole)
+            return rows.join(found, [*postings.CHUNK])
         counts = {"_n": F.size, "_f": lambda words: phrase_count(words, phrase)}
         found = with_counts(rows, "tokens", counts).filter("_f > 0")
         if self.policy:
@@ -201,9 +223,32 @@ class Search:
     def full_text_search(self, keyword_query: str, metadata_filters: dict | None = None, limit: int = 10, document_attribute_filters: dict | None = None, chunk_attribute_filters: dict | None = None) -> Page:
         a = self._request("full_text_search", keyword_query=keyword_query, metadata_filters=metadata_filters, limit=limit, document_attribute_filters=document_attribute_filters, chunk_attribute_filters=chunk_attribute_filters)
         n = limit_of(a["limit"], self.config.max_limit)
-        rows = self._ranked_text(a["keyword_query"], self._chunks(a["metadata_filters"], a["document_attribute_filters"], a["chunk_attribute_filters"]))
+        chunks = self._chunks(a["metadata_filters"], a["document_attribute_filters"], a["chunk_attribute_filters"])
+        rows = self._ranked_text(a["keyword_query"], chunks)
+        if self.postings is not None:
+            rows = self._fetched(rows, chunks, n + 1)
         return Page(rows.orderBy("score", *self.ORDER).limit(n + 1).select(*self._chunk_columns(), "score"), n)
 
+    def _fetched(self, found: DataFrame, chunks: DataFrame, count: int) -> DataFrame:
+        """The best rows of found, whose contents are read by their paths alone: the page's keys are known first."""
+        keys = found.orderBy("score", *self.ORDER).limit(count).select("source_path", "ordinal", "score").collect()  # a page at most
+        local = self.chunks.sparkSession.createDataFrame(keys, "source_path string, ordinal int, score double")
+        return chunks.filter(F.col("source_path").isin([k[0] for k in keys])).join(F.broadcast(local), ["source_path", "ordinal"])
+
+    def text_query(self, query: Any, limit: int = 10) -> DataFrame:
+        """chunk_id, source_path, ordinal and score of the best chunks for an expression of textquery, equal scores in the order
+        of path and ordinal. For hosts that see everything: no policy, no filters."""
+        from inkwell.operators import postings, textquery
+
+        if self.policy:
+            raise ValueError("a text query doesn't heed a policy")
+        count = limit_of(limit, self.config.candidate_limit)
+        if self.postings is None:
+            found = textquery.ranked(self.chunks.select("chunk_id", "source_path", "ordinal", "tokens"), query)
+        else:
+            found = postings.ranked(self.postings, self.terms, self.statistics, query).join(self.chunks.select("chunk_id", "source_path", "ordinal"), [*postings.CHUNK])
+        return found.orderBy("score", "source_path", "ordinal").limit(count).select("chunk_id", "source_path", "ordinal", "score")
+
     def _vector(self, vector: list[float]) -> list[float]:
         import numpy as np
 

@@ -25,6 +25,22 @@ class Expression:
         """Phrases whose occurrences count."""
         return []
 
+    def holds(self, counts: dict[Phrase, Column], places: dict[Phrase, Column]) -> Column:
+        """The same as matches, from how often phrases stand in a row and where."""
+        raise NotImplementedError
+
+    def phrases(self) -> list[Phrase]:
+        """All that it names, those that are left out among them."""
+        return self.scored()
+
+    def placed(self) -> list[Phrase]:
+        """Phrases whose places it needs."""
+        return []
+
+    def asks(self) -> bool:
+        """Whether a row has to hold one of its phrases."""
+        return True
+
 
 @dataclass(frozen=True)
 class Phrase(Expression):
@@ -62,6 +78,9 @@ class Phrase(Expression):
     def scored(self) -> list[Phrase]:
         return [self]
 
+    def holds(self, counts: dict[Phrase, Column], places: dict[Phrase, Column]) -> Column:
+        return counts[self] > 0
+
 
 @dataclass(frozen=True)
 class Near(Expression):
@@ -71,10 +90,19 @@ class Near(Expression):
     two: Phrase
     distance: int
 
-    def matches(self, words: Column) -> Column:
+    def _close(self, ones: Column, twos: Column) -> Column:
         a, b = (len(p.words) for p in (self.one, self.two))
         close = lambda x, y: ((y >= x + a) & (y - x - a <= self.distance)) | ((x >= y + b) & (x - y - b <= self.distance))
-        return F.exists(self.one.places(words), lambda x: F.exists(self.two.places(words), lambda y: close(x, y)))
+        return F.exists(ones, lambda x: F.exists(twos, lambda y: close(x, y)))
+
+    def matches(self, words: Column) -> Column:
+        return self._close(self.one.places(words), self.two.places(words))
+
+    def holds(self, counts: dict[Phrase, Column], places: dict[Phrase, Column]) -> Column:
+        return self._close(places[self.one], places[self.two])
+
+    def placed(self) -> list[Phrase]:
+        return [self.one, self.two]
 
     def scored(self) -> list[Phrase]:
         return [self.one, self.two]
@@ -91,6 +119,18 @@ class Combined(Expression):
     def scored(self) -> list[Phrase]:
         return list(dict.fromkeys(x for p in self.parts for x in p.scored()))
 
+    def holds(self, counts: dict[Phrase, Column], places: dict[Phrase, Column]) -> Column:
+        return reduce(lambda a, b: a & b if self.all else a | b, (p.holds(counts, places) for p in self.parts))
+
+    def phrases(self) -> list[Phrase]:
+        return list(dict.fromkeys(x for p in self.parts for x in p.phrases()))
+
+    def placed(self) -> list[Phrase]:
+        return list(dict.fromkeys(x for p in self.parts for x in p.placed()))
+
+    def asks(self) -> bool:
+        return (any if self.all else all)(p.asks() for p in self.parts)
+
 
 @dataclass(frozen=True)
 class Excluded(Expression):
@@ -99,6 +139,18 @@ class Excluded(Expression):
     def matches(self, words: Column) -> Column:
         return ~reduce(lambda a, b: a | b, (p.matches(words) for p in self.parts))
 
+    def holds(self, counts: dict[Phrase, Column], places: dict[Phrase, Column]) -> Column:
+        return ~reduce(lambda a, b: a | b, (p.holds(counts, places) for p in self.parts))
+
+    def phrases(self) -> list[Phrase]:
+        return list(dict.fromkeys(x for p in self.parts for x in p.phrases()))
+
+    def placed(self) -> list[Phrase]:
+        return list(dict.fromkeys(x for p in self.parts for x in p.placed()))
+
+    def asks(self) -> bool:
+        return False
+
 
 def phrase(text: str, first: bool = False) -> Phrase:
     return Phrase(tuple(fold(text)), first=first)

@@ -5,6 +5,7 @@ ordered turns, and events also stand for attempts and file events."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -13,10 +14,12 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import text as T
 from inkwell.functions.jsonkind import json_kind
-from inkwell.operators import attributes, audit, filters, textquery
+from inkwell.functions.tables import dealt, shared_folder
+from inkwell.operators import attributes, audit, filters, postings, textquery
 from inkwell.operators.policy import Policy, decision
 from inkwell.operators.search import Search, SearchConfig, distinct_values, untyped_values
 from inkwell.plans.ingest import backoff, changed, ledger, vanished
+from inkwell.sources.index import Index
 from inkwell.sources.markdown import Chunking, Parsing, hashing_embedding, parse
 from inkwell.streaming.watch import debounced, latest
 
@@ -35,15 +38,9 @@ def query(sql: str | None = None):
     return add
 
 
-#: Bytes a core below which documents are dealt out anew, if they have fewer files than cores: so small a
-#: file may be one row group, which one task would read alone.
-SMALL = 8 << 20
-
-
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{d}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name == "documents" and df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < SMALL * cores and len(df.inputFiles()) < cores else df
+    return dealt(df) if name == "documents" else df
 
 
 def corpus(spark: SparkSession, d: str, nulls: bool = False) -> DataFrame:
@@ -223,6 +220,73 @@ def fts_first(spark, d):
     return scored(spark, d, textquery.phrase("the", first=True))
 
 
+#: Indexes that this application has built, by application and folder of tables.
+_built: dict[tuple[str, str], Index] = {}
+
+
+def indexed(spark: SparkSession, d: str) -> Index:
+    """An index of all documents, with labels as attributes, committed once an application to the shared folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _built:
+        rows = corpus(spark, d)
+        nothing = F.lit("").alias
+        documents = rows.select("path", nothing("sha256"), nothing("processing_fingerprint"), "metadata_json", nothing("embedding_model"), nothing("embedding_version"), F.lit("2024-01-01").cast("timestamp").alias("ingested_at"), "body", "body_sha256")
+        chunks = chunked(rows).withColumn("embedding", F.array().cast("array<float>"))
+        index = Index(spark, f"{shared_folder(spark)}/inkwell-index-{uuid.uuid4().hex}", buckets=16)
+        index.commit({"documents": documents, "chunks": chunks, "attributes": labels_as_attributes(spark, d)})
+        index._files().deleteOnExit(index._path())
+        _built[key] = index
+    return _built[key]
+
+
+def looked_up(spark: SparkSession, d: str, expression: textquery.Expression) -> DataFrame:
+    """The same rows as scored, from the index's postings."""
+    own = Search.of(indexed(spark, d))
+    found = postings.ranked(own.postings, own.terms, own.statistics, expression)
+    return found.select(F.col("source_path").alias("path"), (F.round("score", 6) + 0.0).alias("score"))
+
+
+for _name, _expression in {
+    "term": textquery.phrase("of"),
+    "phrase": textquery.phrase("of the"),
+    "boolean": textquery.all_of(textquery.any_of(textquery.phrase("of the"), textquery.phrase("LICENSE")), textquery.none_of(textquery.phrase("in"))),
+    "prefix": textquery.prefix("licen"),
+    "near": textquery.near(textquery.phrase("under"), textquery.phrase("license"), distance=3),
+    "first": textquery.phrase("the", first=True),
+}.items():
+    def _run(spark: SparkSession, d: str, expression: textquery.Expression = _expression) -> DataFrame:
+        return looked_up(spark, d, expression)
+
+    _run.__name__ = f"postings_{_name}"
+    query(ORACLE[f"fts_{_name}"])(_run)
+
+
+@query(ORACLE["fts_filtered"])
+def postings_filtered(spark, d):
+    page = Search.of(indexed(spark, d), SearchConfig(document_attribute_keys=("review",))).full_text_search("of", {"lang": "en", "quality": 1}, limit=10)
+    return page.rows.select("source_file", (F.round("score", 6) + 0.0).alias("score"))
+
+
+@query(f"WITH {CORPUS}, {WORDS}, {matched('of', 'the')}, {SCORED} ORDER BY -idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean)), path LIMIT 10")
+def postings_top(spark, d):
+    found = Search.of(indexed(spark, d)).text_query(textquery.phrase("of the"))
+    return found.select(F.col("source_path").alias("path"), (F.round("score", 6) + 0.0).alias("score"))
+
+
+@query(r"SELECT term, count(*) AS chunks FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY 1")
+def index_terms(spark, d):
+    """In how many chunks each word stands, from the counts that commits keep."""
+    return Search.of(indexed(spark, d)).terms.groupBy("term").agg(F.sum("chunks").alias("chunks"))
+
+
+@query(r"SELECT count(*) AS chunks, sum(len(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')))::BIGINT AS words FROM documents")
+def index_statistics(spark, d):
+    """Counts of chunks and words from the manifest, beside those of the postings."""
+    index = indexed(spark, d)
+    counts = index.statistics()
+    return index.table("postings").agg(F.lit(counts.chunks).cast("bigint").alias("chunks"), F.when(F.count(F.lit(1)) == counts.words, F.lit(counts.words).cast("bigint")).alias("words"))
+
+
 def no_toxic() -> Policy:
     return Policy(document=lambda: decision(F.when(F.get_json_object("metadata_json", "$.toxic") == "1", "hide").otherwise("allow")))
 

@@ -21,9 +21,18 @@ TABLES = {
     "attributes": "domain string, sha256 string, attributes_json string, updated_at timestamp",
     "errors": "source_path string, source_hash string, stage string, error_details string, attempt_count int, first_seen_at timestamp, last_attempt_at timestamp, status string",
 }
-#: The column whose hash says a row's bucket, and the number of buckets.
+#: Tables that each commit of chunks derives from them, in the same buckets: where each word stands, and how many chunks of a
+#: bucket hold it.
+DERIVED = {
+    "postings": "term string, source_path string, ordinal int, place int, n_words int",
+    "terms": "term string, chunks long",
+}
+SCHEMAS = TABLES | DERIVED
+#: The column whose hash says a row's bucket, and the number of buckets of a new index if none is given.
 KEYS = {"documents": "path", "chunks": "source_path", "attributes": "sha256", "errors": "source_path"}
 BUCKETS = 64
+#: The order of rows within a file: a reader's condition on the first column skips row groups and pages.
+SORTED = {"documents": ("path",), "chunks": ("source_path", "ordinal"), "attributes": ("sha256",), "errors": ("source_path",), "postings": ("term", "source_path", "ordinal", "place"), "terms": ("term",)}
 
 
 class IndexSchemaError(Exception):
@@ -38,14 +47,34 @@ class Change:
     rows: DataFrame
 
 
-def bucket_of(key: Column | str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+@dataclass(frozen=True)
+class Statistics:
+    """Counts over all chunks, from the manifest: no table is read."""
+
+    chunks: int
+    words: int
+
+    @property
+    def average(self) -> float | None:
+        return self.words / self.chunks if self.chunks else None
+
+
+def bucket_of(key: Column | str, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def postings_of(chunks: DataFrame) -> DataFrame:
+    """A row for each word of each chunk: term, source_path, ordinal, place (from 0), n_words (of the chunk)."""
+    return chunks.select("*", F.posexplode("tokens").alias("place", "term")).withColumn("n_words", F.size("tokens"))
 
 
 @dataclass
 class Index:
+    """buckets: of a new index, the more the larger it will be: a commit rewrites the buckets that it touches."""
+
     spark: SparkSession
     root: str
+    buckets: int = BUCKETS
 
     def _path(self, *parts: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([self.root.rstrip("/"), *parts]))
@@ -67,7 +96,7 @@ class Index:
     def manifest(self, version: int | None = None) -> dict[str, Any]:
         version = self.version() if version is None else version
         if not version:
-            return {"tables": {name: {} for name in TABLES}, "dimensions": None}
+            return {"tables": {name: {} for name in SCHEMAS}, "dimensions": None, "buckets": self.buckets, "statistics": {}}
         try:
             return json.loads(self.spark.read.text(str(self._path("manifests", f"v{version:012d}.json")), wholetext=True).first()[0])
         except Exception as e:
@@ -93,7 +122,7 @@ class Index:
         last = self.version()
         kept = {n.split("/")[2] for v in range(max(1, last - keep + 1), last + 1) for t in self.manifest(v)["tables"].values() for n in t.values()}
         old = [("manifests", n) for n in self._names("manifests") if not n.startswith("v") or int(n[1:13]) <= last - keep]
-        old += [("data", name, n) for name in TABLES for n in self._names("data", name) if n not in kept] + [("staged", n) for n in self._names("staged")]
+        old += [("data", name, n) for name in SCHEMAS for n in self._names("data", name) if n not in kept] + [("staged", n) for n in self._names("staged")]
         for parts in old:
             self._files().delete(self._path(*parts), True)
         return len(old)
@@ -102,28 +131,34 @@ class Index:
 
     def _read(self, name: str, folders: list[str]) -> DataFrame:
         if not folders:
-            return self.spark.createDataFrame([], TABLES[name])
+            return self.spark.createDataFrame([], SCHEMAS[name])
         try:
             rows = self.spark.read.parquet(*(str(self._path(f)) for f in folders))
         except Exception as e:
             raise IndexSchemaError(f"{name} can't be read") from e
-        wanted = {f.name: f.dataType for f in self.spark.createDataFrame([], TABLES[name]).schema}
+        wanted = {f.name: f.dataType for f in self.spark.createDataFrame([], SCHEMAS[name]).schema}
         if any(k not in rows.columns or rows.schema[k].dataType != v for k, v in wanted.items()):
             raise IndexSchemaError(f"{name} lacks a column")
         return rows.select(*wanted)
 
     def table(self, name: str, version: int | None = None) -> DataFrame:
-        return self._read(name, sorted(self.manifest(version)["tables"][name].values()))
+        return self._read(name, sorted(self.manifest(version)["tables"].get(name, {}).values()))
 
-    def tables(self) -> dict[str, DataFrame]:
+    def tables(self, manifest: dict[str, Any] | None = None) -> dict[str, DataFrame]:
         """All tables of one commit."""
-        manifest = self.manifest()
-        return {name: self._read(name, sorted(manifest["tables"][name].values())) for name in TABLES}
+        manifest = manifest or self.manifest()
+        return {name: self._read(name, sorted(manifest["tables"].get(name, {}).values())) for name in SCHEMAS}
+
+    def statistics(self, manifest: dict[str, Any] | None = None) -> Statistics | None:
+        """Of all chunks; None for an index whose commits didn't count them."""
+        counts = (manifest or self.manifest()).get("statistics")
+        return None if counts is None else Statistics(sum(n for n, _ in counts.values()), sum(w for _, w in counts.values()))
 
     def _of_key(self, name: str, key: str) -> DataFrame:
         """Rows of one key: its bucket is all that is read."""
-        bucket = self.spark.range(1).select(bucket_of(F.lit(key))).first()[0]
-        folder = self.manifest()["tables"][name].get(str(bucket))
+        manifest = self.manifest()
+        bucket = self.spark.range(1).select(bucket_of(F.lit(key), manifest.get("buckets", BUCKETS))).first()[0]
+        folder = manifest["tables"][name].get(str(bucket))
         return self._read(name, [folder] if folder else []).filter(F.col(KEYS[name]) == key)
 
     def document(self, path: str) -> DataFrame:
@@ -145,19 +180,51 @@ class Index:
         if base != self.version():
             raise RuntimeError("another writer has committed")
         manifest = self.manifest(base)
+        buckets = manifest.get("buckets", BUCKETS)
         for name, change in changes.items():
-            manifest["tables"][name] = self._written(name, change, manifest["tables"][name])
+            before = manifest["tables"][name]
+            after, touched = self._written(name, change, before, buckets)
+            manifest["tables"][name] = after
+            if name == "chunks":
+                self._derive(manifest, {b: f for b, f in after.items() if before.get(b) != f}, touched)
         if dimensions is not None:
             manifest["dimensions"] = dimensions
         self._publish(base + 1, manifest)
         return base + 1
 
-    def _written(self, name: str, change: DataFrame | Change, folders: dict[str, str]) -> dict[str, str]:
+    def _derive(self, manifest: dict[str, Any], new: dict[str, str], touched: set[str] | None) -> None:
+        """Postings, terms and counts of the buckets of chunks that were written; those of other buckets stay."""
+        left = lambda old: {} if touched is None else {b: v for b, v in old.items() if b not in touched}
+        for name in DERIVED:
+            manifest["tables"][name] = left(manifest["tables"].get(name, {}))
+        if "statistics" in manifest or touched is None:
+            manifest["statistics"] = left(manifest.get("statistics", {}))
+        if not new:
+            return
+        folder = next(iter(new.values())).rsplit("/", 1)[0]
+        chunks = self.spark.read.parquet(str(self._path(folder))).select("bucket", "source_path", "ordinal", "tokens")
+        if "statistics" in manifest:
+            counts = chunks.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("words")).collect()  # one row a bucket
+            manifest["statistics"] |= {str(r["bucket"]): [r["n"], r["words"]] for r in counts}
+        manifest["tables"]["postings"] |= self._put("postings", postings_of(chunks))
+        each = chunks.select("bucket", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("chunks"))
+        manifest["tables"]["terms"] |= self._put("terms", each)
+
+    def _put(self, name: str, rows: DataFrame) -> dict[str, str]:
+        """Writes rows with their bucket to a new folder; gives the folders of buckets."""
+        folder, columns = f"data/{name}/{uuid.uuid4().hex}", [f.name for f in self.spark.createDataFrame([], SCHEMAS[name]).schema]
+        # Buckets of any size: large ones are split, small ones share a task.
+        dealt = rows.select("bucket", *columns).hint("rebalance", "bucket")
+        dealt.sortWithinPartitions("bucket", *SORTED[name]).write.partitionBy("bucket").parquet(str(self._path(folder)))
+        return {n.removeprefix("bucket="): f"{folder}/{n}" for n in self._names(folder) if n.startswith("bucket=")}
+
+    def _written(self, name: str, change: DataFrame | Change, folders: dict[str, str], buckets: int) -> tuple[dict[str, str], set[str] | None]:
+        """Folders of a table's buckets after a change, and which buckets were written (None: all)."""
         key, columns = KEYS[name], [f.name for f in self.spark.createDataFrame([], TABLES[name]).schema]
         touched = None
         if isinstance(change, Change):
             keys = change.keys.toDF(key).distinct()
-            found = keys.select(bucket_of(key)).union(change.rows.select(bucket_of(key))).distinct().collect()  # at most BUCKETS rows
+            found = keys.select(bucket_of(key, buckets)).union(change.rows.select(bucket_of(key, buckets))).distinct().collect()  # at most one row a bucket
             touched = {str(r[0]) for r in found}
             old = self._read(name, [f for b, f in folders.items() if b in touched])
             rows = old.join(keys, key, "left_anti").select(*columns).unionByName(change.rows.select(*columns))
@@ -165,9 +232,5 @@ class Index:
             rows = change.select(*columns)
         kept = {b: f for b, f in folders.items() if touched is not None and b not in touched}
         if touched is not None and not touched:
-            return kept
-        folder = f"data/{name}/{uuid.uuid4().hex}"
-        # Buckets of any size: large ones are split, small ones share a task.
-        rows.withColumn("bucket", bucket_of(key)).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(str(self._path(folder)))
-        new = {n.removeprefix("bucket="): f"{folder}/{n}" for n in self._names(folder) if n.startswith("bucket=")}
-        return kept | new
+            return kept, touched
+        return kept | self._put(name, rows.withColumn("bucket", bucket_of(key, buckets))), touched
