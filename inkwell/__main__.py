@@ -11,7 +11,7 @@ import tomllib
 from pathlib import Path
 from typing import Any
 
-KEYS = {"vault": str, "index": str, "events": str, "target_tokens": int, "overlap_tokens": int, "max_input_tokens": int, "dimensions": int, "hooks": list, "quiet": str, "reconcile_seconds": int, "retries": int, "audit": dict}
+KEYS = {"vault": str, "index": str, "events": str, "target_tokens": int, "overlap_tokens": int, "max_input_tokens": int, "dimensions": int, "hooks": list, "quiet_seconds": float, "reconcile_seconds": int, "retries": int, "audit": dict}
 AUDIT_KEYS = {"key": str, "prompt": str, "max_chunk_chars": int, "max_document_chars": int, "batch_size": int, "interval_seconds": int, "hooks": dict}
 AUDIT_HOOKS = {"pre_scan": 0, "on_oversize": 1, "heuristic_rules": 1, "prompt_context": 1, "risk_policy": 1, "post_scan": 1}
 
@@ -89,9 +89,6 @@ def main(arguments: list[str] | None = None) -> int:
     except (OSError, ValueError) as e:
         print(e, file=sys.stderr)
         return 2
-    if options.command == "watch" and "events" not in config:
-        print("events is missing", file=sys.stderr)
-        return 2
     if options.command == "check-config" or getattr(options, "audit", None) == "check-config":
         print("ok")
         return 0
@@ -105,7 +102,7 @@ def run(options: argparse.Namespace, config: dict[str, Any]) -> int:
     from inkwell.plans.ingest import Embedding, ingest
     from inkwell.sources.index import Index
     from inkwell.sources.markdown import Chunking, Parsing, project_id_from_path
-    from inkwell.streaming.watch import read_events, watch
+    from inkwell.streaming.watch import read_events, vault_events, watch
 
     spark = SparkSession.builder.appName("inkwell").getOrCreate()
     index = Index(spark, config["index"])
@@ -120,10 +117,12 @@ def run(options: argparse.Namespace, config: dict[str, Any]) -> int:
         print(json.dumps({"deleted": index.vacuum()}))
         return 0
     if options.command == "watch":
-        events = read_events(spark, config["events"])
-        query = watch(index, config["vault"], events, config["index"] + "/stream", parsing, embedding, "1 second", config.get("retries", 3), quiet=config.get("quiet"), reconcile=config.get("reconcile_seconds", 300))
-        # Events that come meanwhile wait in the stream.
-        ingest(index, config["vault"], parsing, embedding)
+        # Events come from the vault itself, or from files that another observer writes.
+        events = read_events(spark, config["events"]) if "events" in config else vault_events(spark, config["vault"], config["index"] + "/listings")
+        query = watch(
+            index, config["vault"], events, config["index"] + "/stream", parsing, embedding, "200 milliseconds", config.get("retries", 3),
+            quiet=config.get("quiet_seconds", 0.2), reconcile=config.get("reconcile_seconds", 300), scan_first=True,
+        )
         query.awaitTermination()
         return 0
     settings = audit_config(config["audit"])

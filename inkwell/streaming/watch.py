@@ -11,8 +11,14 @@ from pyspark.sql.streaming import StreamingQuery
 from inkwell.plans.ingest import Embedding, ingest, ingest_files
 from inkwell.sources.index import Index
 from inkwell.sources.markdown import Parsing, read_vault
+from inkwell.streaming.events import EVENTS, EventSource
+from inkwell.streaming.settle import rocks, settled
 
-EVENTS = "seq long, ts timestamp, kind string, path string, destination string, is_directory boolean"
+
+def vault_events(spark: SparkSession, root: str, state: str) -> DataFrame:
+    """A stream of what changes in a vault from now on; state: a folder of the driver's, one for each stream."""
+    spark.dataSource.register(EventSource)
+    return spark.readStream.format("vault_events").option("state", state).load(root)
 
 
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,27 +65,37 @@ def apply_batch(index: Index, root: str, due: DataFrame, parsing: Parsing | None
 
 def watch(
     index: Index, root: str, events: DataFrame, checkpoint: str, parsing: Parsing | None = None, embedding: Embedding | None = None, interval: str | None = None, attempts: int = 3,
-    wait: Callable[[float], None] | None = None, quiet: str | None = None, reconcile: float | None = None,
+    wait: Callable[[float], None] | None = None, quiet: float | None = 0.2, reconcile: float | None = None, scan_first: bool = False,
 ) -> StreamingQuery:
-    """Starts the stream: it applies what each trigger brings, retrying with growing pauses. interval None: what there
-    is, then it stops. quiet: a path's events are held, as state of the stream, until it had none for so long; None: the last
-    event of a batch counts. reconcile: seconds after which a batch ingests the whole vault, which catches what
-    events missed; it needs events to go on, so a host without any calls ingest() by itself."""
+    """Starts the stream: it applies what each trigger brings, retrying with growing pauses.
+
+    interval None: what there is, then it stops; the last event of a path in a batch counts. Else triggers go on, with or
+    without events, and quiet holds a path's events, as state of the stream, until it had none for so many seconds (None: the
+    last event of a batch counts). reconcile: seconds after which a trigger ingests the whole vault, which catches what
+    events missed. scan_first: the first batch of this run ingests the whole vault. As the stream alone commits, a scan and
+    events don't collide; events are observed from before the scan on."""
     import time
 
-    pause, last = wait or time.sleep, [time.monotonic()]
-    rows = debounced(actions(events), quiet) if quiet else events
+    pause, clock = wait or time.sleep, {"scanned": None if scan_first else time.monotonic()}
+    held = quiet is not None and interval is not None
+    rows = settled(actions(events), quiet) if held else events
 
     def batch(rows: DataFrame, _: int) -> None:
+        rows = rows.persist()
+        try:
+            apply(rows, rows.count())  # all partitions of a state are worked on once, whatever becomes of the rows
+        finally:
+            rows.unpersist()
+
+    def apply(rows: DataFrame, count: int) -> None:
         for attempt in range(attempts):
             try:
-                # More than one burst of a path may end in one batch.
-                due = latest(rows.withColumnRenamed("session_window", "ts").withColumn("seq", F.lit(0)) if quiet else actions(rows))
-                if reconcile is not None and time.monotonic() - last[0] >= reconcile:
-                    ingest(index, root, parsing, embedding)
-                    last[0] = time.monotonic()
-                elif not quiet or not rows.isEmpty():
-                    apply_batch(index, root, due, parsing, embedding)
+                scanned = clock["scanned"]
+                if scanned is None or reconcile is not None and time.monotonic() - scanned >= reconcile:
+                    ingest(index, root, parsing, embedding)  # finds what this batch's events tell as well
+                    clock["scanned"] = time.monotonic()
+                elif count:
+                    apply_batch(index, root, rows.select("path", "action") if held else latest(actions(rows)), parsing, embedding)
                 return
             except Exception:
                 if attempt + 1 == attempts:
@@ -87,4 +103,7 @@ def watch(
                 pause(min(30.0, 2.0**attempt))
 
     writer = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    if held:
+        with rocks(index.spark):
+            return writer.outputMode("update").trigger(processingTime=interval).start()
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
