@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.text import content_hash, error_text, tokens
 from inkwell.sources.index import Change, Index
-from inkwell.sources.markdown import PARSED, Parsing, hashing_embedding, parse, read_vault, walked
+from inkwell.sources.markdown import PARSED, Parsing, hashing_embedding, parse
+from inkwell.sources.walk import contents, hashed, walk
 
 
 def changed(files: DataFrame, documents: DataFrame, fingerprint: Column | str) -> DataFrame:
@@ -97,23 +98,25 @@ def new_rows(parsed: DataFrame, fingerprint: str, embedding: Embedding) -> tuple
     return documents, chunks
 
 
-def ingest_files(index: Index, files: DataFrame, parsing: Parsing | None = None, embedding: Embedding | None = None, present: DataFrame | None = None, deleted: DataFrame | None = None, failed: DataFrame | None = None) -> dict[str, Any]:
-    """Ingests files (path, content, error) and commits. present: all paths there are, if the listing was complete (the
-    others' documents are removed); deleted: paths that are known to be gone; failed: outcomes of what couldn't be listed."""
+def ingest_files(index: Index, files: DataFrame, parsing: Parsing | None = None, embedding: Embedding | None = None, deleted: DataFrame | None = None) -> dict[str, Any]:
+    """Ingests files (path, content, error) and commits. deleted: paths that are known to be gone."""
     parsing, embedding = parsing or Parsing(), embedding or Embedding()
     base, old = index.version(), index.tables()
+    todo = changed(files.withColumn("sha256", F.sha2("content", 256)), old["documents"], fingerprint_of(parsing, embedding))
+    return _commit(index, base, old, todo, files.count(), parsing, embedding, deleted)
+
+
+def fingerprint_of(parsing: Parsing, embedding: Embedding) -> str:
+    return parsing.fingerprint() + f"/{embedding.model}/{embedding.version}/{embedding.dimensions}"
+
+
+def _commit(index: Index, base: int, old: dict[str, DataFrame], todo: DataFrame, seen: int, parsing: Parsing, embedding: Embedding, removed: DataFrame | None, failed: DataFrame | None = None) -> dict[str, Any]:
+    """Parses todo (path, content, error) and publishes the version after base. failed: outcomes of what couldn't be listed."""
     index.check_dimensions(embedding.dimensions)
-    fingerprint = parsing.fingerprint() + f"/{embedding.model}/{embedding.version}/{embedding.dimensions}"
-    hashed = files.withColumn("sha256", F.sha2("content", 256))
-    todo = changed(hashed, old["documents"], fingerprint)
     staged = f"{index.root.rstrip('/')}/staged/{uuid.uuid4().hex}"
     parse(todo, parsing).write.parquet(staged)  # parsed once, used by three tables
     parsed = index.spark.read.schema(PARSED).parquet(staged)
-    documents, chunks = new_rows(parsed, fingerprint, embedding)
-    removed = deleted
-    if present is not None:
-        lost = vanished(old["documents"], present).union(old["errors"].select(F.col("source_path").alias("path")).join(present.select("path"), "path", "left_anti")).distinct()
-        removed = lost if removed is None else removed.select("path").union(lost).distinct()
+    documents, chunks = new_rows(parsed, fingerprint_of(parsing, embedding), embedding)
     gone = documents.select("path") if removed is None else documents.select("path").union(removed.select("path"))
     outcomes = parsed.select("path", F.col("sha256").alias("source_hash"), "stage", "error")
     outcomes = outcomes if failed is None else outcomes.unionByName(failed)
@@ -122,7 +125,6 @@ def ingest_files(index: Index, files: DataFrame, parsing: Parsing | None = None,
     changes = {"documents": Change(gone, documents), "chunks": Change(gone, chunks), "errors": Change(told, ledger(open_before, outcomes, removed))}
     index.commit(changes, base, embedding.dimensions)
     done = parsed.agg(F.count_if(F.col("stage").isNull()), F.count_if(F.col("stage").isNotNull())).first()
-    seen = files.count()
     return {
         "discovered": seen, "ingested": done[0], "failures": done[1], "skipped": seen - done[0] - done[1], "removed": 0 if removed is None else old["documents"].join(removed, "path", "left_semi").count(),
         "unresolved_errors": index.table("errors").filter("status = 'unresolved'").count(),
@@ -130,15 +132,22 @@ def ingest_files(index: Index, files: DataFrame, parsing: Parsing | None = None,
 
 
 def ingest(index: Index, root: str, parsing: Parsing | None = None, embedding: Embedding | None = None) -> dict[str, Any]:
-    """A whole vault. If a folder couldn't be listed, nothing is removed and the ledger has it as a failure to discover."""
-    spark = index.spark
-    paths, unread = walked(root)
-    files = read_vault(spark, root)
-    if unread:
-        failed = spark.createDataFrame([(folder, "", "discover", error) for folder, error in unread], "path string, source_hash string, stage string, error string")
-        return ingest_files(index, files, parsing, embedding, failed=failed) | {"discovery_complete": False}
-    present = spark.createDataFrame([(p,) for p in paths], "path string")
-    return ingest_files(index, files, parsing, embedding, present) | {"discovery_complete": True}
+    """A whole vault: listed once, in tasks, and hashed there; only notes that changed are read again, parsed and stored. If a
+    folder couldn't be listed, nothing is removed and the ledger has it as a failure to discover."""
+    parsing, embedding = parsing or Parsing(), embedding or Embedding()
+    staged = f"{index.root.rstrip('/')}/staged/walk-{uuid.uuid4().hex}"
+    present, unread = walk(index.spark, root, staged)
+    hashes = hashed(present, root, staged)
+    base, old = index.version(), index.tables()
+    todo = contents(changed(hashes, old["documents"], fingerprint_of(parsing, embedding)), root)
+    complete = unread.isEmpty()
+    removed = failed = None
+    if complete:
+        lost = old["errors"].select(F.col("source_path").alias("path")).join(present, "path", "left_anti")
+        removed = vanished(old["documents"], present).union(lost).distinct()
+    else:
+        failed = unread.select("path", F.lit("").alias("source_hash"), F.lit("discover").alias("stage"), "error")
+    return _commit(index, base, old, todo, hashes.count(), parsing, embedding, removed, failed) | {"discovery_complete": complete}
 
 
 def backoff(attempt: Column, base: float = 1.0, most: float = 30.0) -> Column:
