@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.jsonkind import json_kind
 from inkwell.functions.text import entropy, mask
+from inkwell.operators import models
 from inkwell.operators.attributes import drop_key, insert_absent, unscanned
 
 #: Rules as regular expressions that Java and RE2 read alike; the group is the value that is shown masked.
@@ -94,7 +95,7 @@ class AuditConfig:
     #: generate(prompt) -> reply, run within tasks; None leaves the model layer out.
     generate: Callable[[str], str] | None = None
     model: str | None = None
-    #: load() -> generate, called once a worker, before its first prompt: what fails there fails the pass.
+    #: load() -> generate, called once a worker process (which later tasks and batches use again) and model, before its first prompt: what fails there fails the pass.
     load: Callable[[], Callable[[str], str]] | None = None
     #: Rows of a batch; None: all at once.
     batch: int | None = None
@@ -107,9 +108,6 @@ class AuditConfig:
     post_scan: Callable[[DataFrame], None] | None = None
 
 
-_loaded: dict[str, Callable[[str], str]] = {}
-
-
 def answers(config: AuditConfig) -> Callable[..., Column]:
     """The model layer as a pandas UDF of text, template, matched, skip reason."""
     generate, load, name = config.generate, config.load, f"{config.model}/{config.version}"
@@ -124,10 +122,9 @@ def answers(config: AuditConfig) -> Callable[..., Column]:
             if template is None or "{content}" not in template:
                 out.append(("error", 5, 0, None, [], "hook:prompt_context: ValueError"))
                 continue
-            if load is not None and name not in _loaded:
-                _loaded[name] = load()
+            model = generate if load is None else models.held(name, load)
             try:
-                answer = (generate or _loaded[name])(template.replace("{content}", text))
+                answer = model(template.replace("{content}", text))
             except Exception as e:  # a model's failure is a result, told by its class alone
                 out.append(("error", 5, 0, None, [], f"layer:llm: {type(e).__name__}"))
                 continue
