@@ -45,6 +45,22 @@ def equal(found: Column, value: Any) -> Column:
     return same if spark_type == "boolean" else same & (as_type(found, spark_type) == F.lit(value))
 
 
+def untyped_equal(column: str, field: str, value: Any) -> Column:
+    """Whether the value at a path equals another whatever their kinds: 1, 1.0 and true are one, a text equals texts alone, and
+    null, objects, arrays and what isn't there equal nothing."""
+    if not FIELD.fullmatch(field) or len(field) > FIELD_LENGTH:
+        raise ValueError("a filter's field is not a dotted name")
+    found = json_value(column, field)
+    kind = kind_of(found)
+    if isinstance(scalar(value), str):
+        same = (kind == "text") & (as_type(found, "string") == F.lit(value))
+    else:
+        whole = isinstance(value, int)  # integers keep all their digits
+        same = F.when(kind == "integer", as_type(found, "bigint") == F.lit(int(value)) if whole else as_type(found, "double") == F.lit(float(value)))
+        same = same.when(kind == "real", as_type(found, "double") == F.lit(float(value))).when(kind.isin("true", "false"), (kind == "true").cast("double") == F.lit(float(value)))
+    return F.coalesce(same, F.lit(False))
+
+
 def predicate(column: str, field: str, condition: Any) -> Column:
     if not FIELD.fullmatch(field) or len(field) > FIELD_LENGTH:
         raise ValueError("a filter's field is not a dotted name")

@@ -103,6 +103,11 @@ for _name, _condition, _sql in (
     on_events(_name, _condition, _sql)
 
 
+@query("SELECT event_id, user_id FROM events WHERE json_type(props, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND CAST(json_extract_string(props, '$.k') AS DOUBLE) = 87")
+def meta_untyped(spark, d):
+    return read(spark, d, "events").filter(filters.untyped_equal("props", "k", 87.0)).select("event_id", "user_id")
+
+
 @query(f"SELECT user_id, count(*) FILTER (WHERE {INTEGER} = 87) AS n_integer, 0 AS n_real, count(*) AS n FROM events GROUP BY 1")
 def meta_kind_strict(spark, d):
     hit = lambda v: F.count_if(filters.where({"k": v}, "props"))
