@@ -118,8 +118,11 @@ def hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     """A hash of each span of units (bytes or code points)."""
     up, down = powers(len(units) + 1)
     total = np.zeros(len(units) + 1, dtype=np.uint64)
-    np.cumsum((units.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+    each = units.astype(np.uint64)
+    each += np.uint64(1)
+    each *= up[:-1]
+    np.cumsum(each, out=total[1:])
+    return mix((total.take(ends) - total.take(starts)) * down.take(starts))
 
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:

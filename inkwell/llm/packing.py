@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from inkwell.llm import _text
 from inkwell.llm._tables import stash, with_position
 
-#: Pre-tokens that a worker keeps ids of.
-KEPT = 600_000
+#: Pre-tokens that a worker keeps ids of (half as many more, if one step has many), and how many ids each has on the average, at most.
+KEPT, KEPT_IDS = 600_000, 8
 
 
 class CapacityTree:
@@ -119,27 +119,81 @@ class Encoder:
         self.letters = np.array([ord(c) for c in byte_letters()], dtype="<u2")
         self.forget()
 
-    def many(self, text: str, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, literal: bool) -> list[list[int]]:
-        """Ids of pre-tokens, given by their code points in text, whose bytes are raw."""
-        byte = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
-        spelled, tokenize = self.letters[raw].tobytes().decode("utf-16-le"), self.tokenizer.model.tokenize
-        found = [[x.id for x in tokenize(spelled[a:b])] for a, b in zip(byte[starts].tolist(), byte[ends].tolist(), strict=True)]
-        if literal:  # an added token that stands in the text
-            for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-                if text[a:b] in self.added:
-                    found[i] = [self.added[text[a:b]]]
-        return found
-
-    def forget(self) -> None:
-        self.known = np.zeros(0, dtype=np.uint64)
-        self.at = np.zeros(0, dtype=np.int64)
-        self.n = np.zeros(0, dtype=np.int64)
-        self.ids = np.zeros(0, dtype=np.uint32)
+    def many(self, text: str, raw: np.ndarray, byte: np.ndarray, starts: np.ndarray, ends: np.ndarray, literal: bool) -> tuple[list[int], list[int]]:
+        """Ids of pre-tokens one after another, and how many each has. They are given by their code points in text, whose bytes
+        are raw; byte: where code points begin there."""
+        size = byte[ends] - byte[starts]
+        to = np.cumsum(size)
+        own = raw[np.repeat(byte[starts] - (to - size), size) + np.arange(int(to[-1]))]
+        spelled, tokenize = self.letters[own].tobytes().decode("utf-16-le"), self.tokenizer.model.tokenize
+        added = {}
+        if literal:  # added tokens that stand in the text
+            added = {i: self.added[x] for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)) if (x := text[a:b]) in self.added}
+        ids, n = [], []
+        for i, (a, b) in enumerate(zip((to - size).tolist(), to.tolist(), strict=True)):
+            found = [added[i]] if i in added else [x.id for x in tokenize(spelled[a:b])]
+            ids += found
+            n.append(len(found))
+        return ids, n
+
+    def forget(self, least: int = 0) -> None:
+        """Room for KEPT pre-tokens, or least if that is more: at most two of three places are taken."""
+        room = max(KEPT, least)
+        self.bits = (room * 3 // 2).bit_length()
+        self.hash = np.zeros(1 << self.bits, dtype=np.uint64)  # of the pre-token at each place; 0: a free one
+        self.number = np.zeros(1 << self.bits, dtype=np.int32)
+        self.kept, self.again = 0, np.zeros(room, dtype=bool)  # by number: whether a later step had it too
+        self.first = np.zeros(room + 1, dtype=np.int64)  # where its ids begin, and end at the next
+        self.ids = np.empty(1 << 16, dtype=np.uint32)
+
+    def thin(self, least: int) -> None:
+        """Keeps the pre-tokens that later steps had too, unless they are half of the room; makes room for least more."""
+        at = np.flatnonzero(self.hash)
+        at = at[self.again[self.number[at]]]
+        keys, number = self.hash[at], self.number[at]
+        where = self.first[number]
+        n = self.first[number + 1] - where
+        ends = np.cumsum(n)
+        few = 0 < len(keys) <= KEPT // 2 and ends[-1] <= KEPT * KEPT_IDS // 2
+        ids = self.ids[np.repeat(where - (ends - n), n) + np.arange(int(ends[-1]))] if few else None
+        self.forget(least + KEPT // 2)
+        if few:
+            self.keep(keys, ids, n)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each hash, or the free one where it would go: the first from its own on."""
+        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        there = self.hash.take(at)
+        left = np.flatnonzero((there != keys) & (there != 0))
+        while len(left):
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            there = self.hash[at[left]]
+            left = left[(there != keys[left]) & (there != 0)]
+        return at
+
+    def keep(self, keys: np.ndarray, ids: list[int] | np.ndarray, n: list[int] | np.ndarray) -> None:
+        """Keeps the ids of pre-tokens that are new, given by their distinct hashes."""
+        ends = self.first[self.kept] + np.cumsum(np.array(n, dtype=np.int64))
+        before, total = int(self.first[self.kept]), int(ends[-1])
+        if total > len(self.ids):
+            more = np.empty(2 * total, dtype=np.uint32)
+            more[:before] = self.ids[:before]
+            self.ids = more
+        self.ids[before:total] = ids
+        self.first[self.kept + 1 : self.kept + len(keys) + 1] = ends
+        number = np.arange(self.kept, self.kept + len(keys), dtype=np.int32)
+        self.kept += len(keys)
+        while len(keys):
+            at = self.places(keys)
+            self.hash[at] = keys  # of several that would go to one place, one takes it
+            won = self.hash[at] == keys
+            self.number[at[won]] = number[won]
+            keys, number = keys[~won], number[~won]
 
     def starts(self, points: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Where pre-tokens begin: contractions; letters, numbers or others with one space before; other white space."""
         n = len(points)
-        kind = self.kind[points]
+        kind = self.kind.take(points)
         begins = np.zeros(n, dtype=bool)
         begins[first] = True
         white = kind == 3
@@ -181,9 +235,8 @@ class Encoder:
         raw = data[offsets[0] : offsets[-1]]
         text = raw.tobytes().decode("utf-8", "surrogatepass")
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        lead = np.zeros(len(raw) + 1, dtype=np.int64)
-        np.cumsum((raw & 0xC0) != 0x80, out=lead[1:])
-        rows = lead[offsets - offsets[0]]
+        byte = np.append(np.flatnonzero(raw.view(np.int8) >= -64), len(raw))  # all but the bytes that continue a code point
+        rows = np.searchsorted(byte, offsets - offsets[0])
         if not len(points):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(offsets), dtype=np.int64)
         spans = self.spans(text, rows)
@@ -194,27 +247,25 @@ class Encoder:
             starts = starts[(at < 0) | (starts == spans[at, 0]) | (starts >= spans[at, 1])]
         ends = np.append(starts[1:], len(points))
         keys = _text.hashes(points, starts, ends)
-        order = np.argsort(keys)
-        ranked = keys[order]
-        head = np.append(True, ranked[1:] != ranked[:-1])
-        unique, sample = ranked[head], order[head]
-        if len(self.known) + len(unique) > KEPT:
-            self.forget()
-        at = np.searchsorted(self.known, unique)
-        new = np.ones(len(unique), dtype=bool) if not len(self.known) else self.known[np.minimum(at, len(self.known) - 1)] != unique
-        if new.any():
-            pick = sample[new]
-            found = self.many(text, raw, starts[pick], ends[pick], len(spans) > 0)
-            n = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            where = len(self.ids) + np.cumsum(n) - n
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(n.sum()))])
-            self.known, self.at, self.n = np.insert(self.known, at[new], unique[new]), np.insert(self.at, at[new], where), np.insert(self.n, at[new], n)
-            at = np.searchsorted(self.known, unique)
-        mine = np.empty(len(keys), dtype=np.int64)
-        mine[order] = np.repeat(at, np.diff(np.append(np.flatnonzero(head), len(keys))))
-        n, where = self.n[mine], self.at[mine]
+        keys[keys == 0] = 1
+        at = self.places(keys)
+        new = np.flatnonzero(self.hash.take(at) == 0)
+        unique, sample = np.unique(keys[new], return_index=True)
+        if self.kept + len(unique) > KEPT or self.first[self.kept] > KEPT * KEPT_IDS:
+            self.thin(len(np.unique(keys)))
+            at = self.places(keys)
+            new = np.flatnonzero(self.hash.take(at) == 0)
+            unique, sample = np.unique(keys[new], return_index=True)
+        self.again[self.number.take(at)] = True  # (and number 0, for places that are free)
+        if len(new):
+            pick = new[sample]
+            self.keep(unique, *self.many(text, raw, byte, starts[pick], ends[pick], len(spans) > 0))
+            at[new] = self.places(keys[new])
+        number = self.number.take(at).astype(np.int64)
+        where = self.first.take(number)
+        n = self.first.take(number + 1) - where
         ends_at = np.cumsum(n)
-        ids = self.ids[np.repeat(where - (ends_at - n), n) + np.arange(int(ends_at[-1]))]
+        ids = self.ids.take(np.repeat(where - (ends_at - n), n) + np.arange(int(ends_at[-1])))
         return ids, np.append(0, ends_at)[np.searchsorted(starts, rows)]
 
 
