@@ -29,8 +29,15 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
 
 
+def words(text: Column | str) -> Column:
+    """Lower-case words as they are spelled: maximal runs of letters and numbers, with their diacritics. A character's lower
+    case is one character, wherever it stands: neither a final sigma nor a dot beside an i is made."""
+    plain = F.replace(F.replace(text, F.lit("İ"), F.lit("i")), F.lit("Σ"), F.lit("σ"))
+    return F.regexp_extract_all(F.lower(plain), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
 def fold(text: str) -> list[str]:
-    """The same of a Python string, for queries."""
+    """The words of a Python string as tokens gives them, for queries."""
     import regex
 
     plain = regex.sub(r"\p{Mn}", "", text.lower().translate(str.maketrans(*folding())))
