@@ -49,14 +49,15 @@ class Change:
 
 @dataclass(frozen=True)
 class Statistics:
-    """Counts over all chunks, from the manifest: no table is read."""
+    """Counts over all chunks, from the manifest: no table is read. filled: chunks that aren't null, over which an average is."""
 
     chunks: int
     words: int
+    filled: int
 
     @property
     def average(self) -> float | None:
-        return self.words / self.chunks if self.chunks else None
+        return self.words / self.filled if self.filled else None
 
 
 def bucket_of(key: Column | str, buckets: int = BUCKETS) -> Column:
@@ -152,7 +153,8 @@ class Index:
     def statistics(self, manifest: dict[str, Any] | None = None) -> Statistics | None:
         """Of all chunks; None for an index whose commits didn't count them."""
         counts = (manifest or self.manifest()).get("statistics")
-        return None if counts is None else Statistics(sum(n for n, _ in counts.values()), sum(w for _, w in counts.values()))
+        # Commits before the third number counted chunks and words alone.
+        return None if counts is None else Statistics(*(sum(c[i] if i < len(c) else c[0] for c in counts.values()) for i in range(3)))
 
     def _of_key(self, name: str, key: str) -> DataFrame:
         """Rows of one key: its bucket is all that is read."""
@@ -204,8 +206,8 @@ class Index:
         folder = next(iter(new.values())).rsplit("/", 1)[0]
         chunks = self.spark.read.parquet(str(self._path(folder))).select("bucket", "source_path", "ordinal", "tokens")
         if "statistics" in manifest:
-            counts = chunks.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("words")).collect()  # one row a bucket
-            manifest["statistics"] |= {str(r["bucket"]): [r["n"], r["words"]] for r in counts}
+            counts = chunks.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("words"), F.count("tokens").alias("filled")).collect()  # one row a bucket
+            manifest["statistics"] |= {str(r["bucket"]): [r["n"], r["words"], r["filled"]] for r in counts}
         manifest["tables"]["postings"] |= self._put("postings", postings_of(chunks))
         each = chunks.select("bucket", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("chunks"))
         manifest["tables"]["terms"] |= self._put("terms", each)

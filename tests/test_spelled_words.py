@@ -27,6 +27,7 @@ TEXTS = [
     "Ïn of the",
 ]
 NAMES = ["fts_term", "fts_phrase", "fts_boolean", "fts_prefix", "fts_near", "fts_first", "fts_filtered", "fts_policy_order", "token_counts", "hybrid_rrf"]
+NAMES += [f"postings_{kind}" for kind in ("term", "phrase", "boolean", "prefix", "near", "first", "filtered", "top")]
 
 
 @pytest.fixture(scope="module")
